@@ -185,7 +185,7 @@ def drop_blocks(c: Column, terms: list[str], allowed: Column) -> Column:
     hits = lambda s: reduce(lambda a, t: a | F.contains(s, F.lit(t)), terms, F.lit(False))
     run = ~F.coalesce(allowed, F.lit(False)) & hits(c)
     blocks = F.filter(
-        F.transform(F.split(c, rf"(?md)(?=^{WS}*[0-9]+\.{WS}*)"), strip), lambda b: b != ""
+        F.transform(F.split(c, rf"(?md)(?=^{WS}*[0-9]+\.{WS}*)"), lambda x: strip(x)), lambda b: b != ""
     )
 
     def topical(b: Column) -> Column:
@@ -244,7 +244,7 @@ def normalize_request(c: Column, person: Column) -> Column:
 
 
 def split_items(c: Column) -> Column:
-    return F.filter(F.transform(F.split(c, "[；;，,、]"), strip), lambda x: x != "")
+    return F.filter(F.transform(F.split(c, "[；;，,、]"), lambda x: strip(x)), lambda x: x != "")
 
 
 def to_numeral(c: Column) -> Column:
