@@ -192,14 +192,16 @@ def normalize_prediction(
 
 def reclassify(df: DataFrame, rules: Rules | None = None) -> DataFrame:
     """Recognised rows whose subtype comes out different: adds new_subtype."""
-    new = classify_subtype(F.col("type"), compact_text(F.col("text")), rules)
-    d = df.filter((F.col("status") == "completed") & (F.col("text") != "")).withColumn("new_subtype", new)
+    d = df.filter((F.col("status") == "completed") & (F.col("text") != ""))
+    d = d.withColumn("_t", compact_text(F.col("text")))
+    d = d.withColumn("new_subtype", classify_subtype(F.col("type"), F.col("_t"), rules)).drop("_t")
     return d.filter(F.col("new_subtype").isNotNull() & ~F.col("new_subtype").eqNullSafe(F.col("subtype")))
 
 
 def backfill_subtype(df: DataFrame, rules: Rules | None = None) -> DataFrame:
-    new = classify_subtype(F.col("type"), compact_text(F.col("text")), rules)
-    return df.withColumn("subtype", F.coalesce(F.nullif(F.col("subtype"), F.lit("")), new))
+    d = df.withColumn("_t", compact_text(F.col("text")))
+    new = classify_subtype(F.col("type"), F.col("_t"), rules)
+    return d.withColumn("subtype", F.coalesce(F.nullif(F.col("subtype"), F.lit("")), new)).drop("_t")
 
 
 def importance(role: Column, text: Column, core_roles=fixed.CORE_ROLES, core_words=v.CORE_WORDS) -> Column:

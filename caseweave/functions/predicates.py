@@ -7,10 +7,11 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from caseweave import fixed
 from caseweave import vocabulary as v
-from caseweave.functions.text import squeeze, strip, strip_artifacts, sub
+from caseweave.functions.text import let, squeeze, strip, strip_artifacts, sub
 
 NO = F.lit(False)
 
@@ -37,22 +38,27 @@ def matched_keywords(c: Column, ws: list[str] | Column, n: int | None = None) ->
 
 def quality_flags(c: Column, script: str = r"一-鿿") -> Column:
     raw = F.coalesce(c, F.lit(""))
-    x = strip_artifacts(raw)
-    share = F.length(sub(x, f"[^{script}]")) / F.greatest(F.length(x), F.lit(1))
-    return F.array_compact(
-        F.array(
-            F.when(F.length(x) < 80, "文字过少"),
-            F.when(raw.rlike(r"(?i)<div|!\[|\]\(|☐|☑|🔄"), "存在图片或复选框残留"),
-            F.when(F.contains(raw, F.lit("�")), "存在替换字符"),
-            F.when((x != "") & (share < 0.2), "中文占比偏低"),
-            F.when(x.rlike(r"[0-9]\s+[0-9]\s+[0-9]\s+[0-9]"), "疑似表格识别错位"),
+
+    def flags(x: Column) -> Column:
+        share = F.length(sub(x, f"[^{script}]")) / F.greatest(F.length(x), F.lit(1))
+        return F.array_compact(
+            F.array(
+                F.when(F.length(x) < 80, "文字过少"),
+                F.when(raw.rlike(r"(?i)<div|!\[|\]\(|☐|☑|🔄"), "存在图片或复选框残留"),
+                F.when(F.contains(raw, F.lit("�")), "存在替换字符"),
+                F.when((x != "") & (share < 0.2), "中文占比偏低"),
+                F.when(x.rlike(r"[0-9]\s+[0-9]\s+[0-9]\s+[0-9]"), "疑似表格识别错位"),
+            )
         )
-    )
+
+    return let(strip_artifacts(raw), flags)
 
 
 def is_signature_page(c: Column, boilerplate: str = v.SIGNATURE_BOILERPLATE, signs: list[str] = v.SIGNATURE_WORDS) -> Column:
-    x = squeeze(F.coalesce(c, F.lit("")))
-    return (F.length(x) < 120) | ((F.length(sub(x, boilerplate)) < 80) & contains_any(x, signs))
+    return let(
+        squeeze(F.coalesce(c, F.lit(""))),
+        lambda x: (F.length(x) < 120) | (contains_any(x, signs) & (F.length(sub(x, boilerplate)) < 80)),
+    )
 
 
 def is_continuation(compact: Column, titles: list[str] = v.CONTINUATION_TITLES) -> Column:
@@ -122,7 +128,7 @@ def has_positive_hit(c: Column, patterns: list[str], negatives: list[str], windo
     either = "|".join(f"(?:{p})" for p in patterns)
     x = squeeze(F.coalesce(c, F.lit("")))
 
-    @F.pandas_udf("boolean")
+    @F.pandas_udf(T.BooleanType())
     def clear_hit(s: pd.Series) -> pd.Series:
         rx = [re.compile(p) for p in patterns]
 
@@ -143,17 +149,20 @@ def has_positive_hit(c: Column, patterns: list[str], negatives: list[str], windo
 
 def has_sign(c: Column, positive: list[str], negative: list[str]) -> Column:
     x = squeeze(F.coalesce(c, F.lit("")))
-    return ~contains_any(x, negative) & contains_any(x, positive)
+    return let(x, lambda t: ~contains_any(t, negative) & contains_any(t, positive))
 
 
 def has_procedure(
     c: Column, act: str, subjects: list[str], direct: list[str], excluded: str, unless: list[str], gap: int = 12
 ) -> Column:
     """An act next to one of its subjects, unless only the excluded phrase carries it."""
-    x = squeeze(F.coalesce(c, F.lit("")))
-    near = x.rlike("(?:" + "|".join(re.escape(s) for s in subjects) + ")[^。；;，,]{0," + str(gap) + "}" + re.escape(act))
-    barred = F.contains(x, F.lit(excluded)) & ~contains_any(x, unless)
-    return F.contains(x, F.lit(act)) & ~barred & (contains_any(x, direct) | near)
+    near = "(?:" + "|".join(re.escape(s) for s in subjects) + ")[^。；;，,]{0," + str(gap) + "}" + re.escape(act)
+
+    def test(x: Column) -> Column:
+        barred = F.contains(x, F.lit(excluded)) & ~contains_any(x, unless)
+        return F.contains(x, F.lit(act)) & ~barred & (contains_any(x, direct) | x.rlike(near))
+
+    return let(squeeze(F.coalesce(c, F.lit(""))), test)
 
 
 def request_flags(c: Column, topics: dict = v.REQUEST_TOPICS) -> Column:
@@ -164,7 +173,7 @@ def request_flags(c: Column, topics: dict = v.REQUEST_TOPICS) -> Column:
 
 def has_work_trace(c: Column, bad: list[str] = v.TRACE_WORDS, opening: str = v.REQUIRED_OPENING) -> Column:
     x = squeeze(F.coalesce(c, F.lit("")))
-    return (x == "") | contains_any(x, bad) | ~F.startswith(x, F.lit(opening))
+    return let(x, lambda t: (t == "") | contains_any(t, bad) | ~F.startswith(t, F.lit(opening)))
 
 
 def text_len(c: Column) -> Column:

@@ -7,6 +7,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from caseweave import fixed
 
@@ -55,7 +56,7 @@ def blank_to_null(c: Column) -> Column:
     return F.nullif(strip(c), F.lit(""))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _unescape_rare(s: pd.Series) -> pd.Series:
     return s.map(lambda v: html.unescape(v) if v is not None else None)
 

@@ -248,12 +248,14 @@ def subtype_sql(kind, x="x"):
 @query("c01_classify_subtype", f"WITH a AS (SELECT doc_id, lang, {COMPACT} x FROM documents) SELECT doc_id, CASE lang WHEN 'en' THEN {subtype_sql('medical_record')} WHEN 'es' THEN {subtype_sql('imaging_report')} WHEN 'fr' THEN {subtype_sql('imaging_report')} END AS subtype FROM a")
 def _(t):
     kind = F.when(C("lang") == "en", "medical_record").when(C("lang").isin("es", "fr"), "imaging_report").otherwise("letter")
-    return t.documents.select("doc_id", cl.classify_subtype(kind, compact_text(C("text")), RULES).alias("subtype"))
+    d = t.documents.select("doc_id", kind.alias("kind"), compact_text(C("text")).alias("x"))
+    return d.select("doc_id", cl.classify_subtype(C("kind"), C("x"), RULES).alias("subtype"))
 
 
 @query("c02_header_subtype", f"WITH a AS (SELECT doc_id, substring({COMPACT},1,220) x FROM documents) SELECT doc_id, CASE WHEN contains(x,'THE!!') THEN 'home' WHEN contains(x,'Onretion') THEN 'admission' END AS subtype FROM a")
 def _(t):
-    return t.documents.select("doc_id", cl.header_subtype(compact_text(C("text")), RULES).alias("subtype"))
+    d = t.documents.select("doc_id", compact_text(C("text")).alias("x"))
+    return d.select("doc_id", cl.header_subtype(C("x"), RULES).alias("subtype"))
 
 
 def count_of(ws):
