@@ -13,7 +13,9 @@ from caseweave import fixed
 from caseweave import vocabulary as v
 from caseweave.functions.text import let, squeeze, strip, strip_artifacts, sub
 
-NO = F.lit(False)
+def no() -> Column:
+    return F.lit(False)
+
 
 
 def words(ws: list[str]) -> Column:
@@ -23,16 +25,16 @@ def words(ws: list[str]) -> Column:
 def contains_any(c: Column, ws: list[str] | Column) -> Column:
     """Any word literally inside ``c``; null text holds nothing."""
     if isinstance(ws, Column):
-        return F.coalesce(F.exists(ws, lambda w: F.contains(c, w)), NO)
+        return F.coalesce(F.exists(ws, lambda w: F.contains(c, w)), no())
     if not ws:
-        return NO
-    return F.coalesce(reduce(lambda a, b: a | b, [F.contains(c, F.lit(w)) for w in ws]), NO)
+        return no()
+    return F.coalesce(reduce(lambda a, b: a | b, [F.contains(c, F.lit(w)) for w in ws]), no())
 
 
 def matched_keywords(c: Column, ws: list[str] | Column, n: int | None = None) -> Column:
     """The words found, in the order of the list, at most ``n``."""
     bank = ws if isinstance(ws, Column) else words(ws)
-    hit = F.filter(bank, lambda w: F.coalesce(F.contains(c, w), NO))
+    hit = F.filter(bank, lambda w: F.coalesce(F.contains(c, w), no()))
     return hit if n is None else F.slice(hit, 1, n)
 
 
@@ -68,7 +70,7 @@ def is_continuation(compact: Column, titles: list[str] = v.CONTINUATION_TITLES)
 
 def has_title(compact: Column, kind: Column, titles: dict[str, list[str]] = v.STANDALONE_TITLES) -> Column:
     head = F.substring(compact, 1, 360)
-    return reduce(lambda a, kv: a | ((kind == kv[0]) & contains_any(head, kv[1])), titles.items(), NO)
+    return reduce(lambda a, kv: a | ((kind == kv[0]) & contains_any(head, kv[1])), titles.items(), no())
 
 
 def looks_like_lab(compact: Column, titles=v.LAB_TITLES, evidence=v.LAB_EVIDENCE, items=v.LAB_ITEMS) -> Column:
@@ -90,7 +92,7 @@ def looks_like_exam(
     out = F.when(subtype == film, F.lit(True))
     for kind, ws in modality.items():
         out = out.when(subtype == kind, test(ws))
-    return F.coalesce((compact != "") & out.when(subtype.isNotNull(), test(default)), NO)
+    return F.coalesce((compact != "") & out.when(subtype.isNotNull(), test(default)), no())
 
 
 def is_weak(p: Column, default_type: str = "imaging_report", default_subtype: str = "other_imaging_report") -> Column:
@@ -100,12 +102,12 @@ def is_weak(p: Column, default_type: str = "imaging_report", default_subtype: st
         (p["type"] == default_type) & (p["subtype"] == default_subtype)
         & (F.coalesce(p["confidence"], F.lit(0.0)) <= 0.75) & (F.coalesce(F.size(p["keywords"]), F.lit(0)) <= 0)
     )
-    return no_type | F.coalesce(vague, NO)
+    return no_type | F.coalesce(vague, no())
 
 
 def is_soft(p: Column, **kw) -> Column:
     low = F.coalesce(p["confidence"], F.lit(0.0)) < 0.66
-    loose = F.coalesce(p["continuation"], NO) & (F.coalesce(F.size(p["keywords"]), F.lit(0)) <= 0)
+    loose = F.coalesce(p["continuation"], no()) & (F.coalesce(F.size(p["keywords"]), F.lit(0)) <= 0)
     return is_weak(p, **kw) | low | loose
 
 
@@ -113,7 +115,7 @@ def is_weak_finding(
     text: Column, flags: Column, positive=v.POSITIVE_WORDS, hedging=v.HEDGING_WORDS,
     generic=("lab_report", "generic_exam_part"),
 ) -> Column:
-    return F.coalesce(F.arrays_overlap(flags, words(list(generic))), NO) | (
+    return F.coalesce(F.arrays_overlap(flags, words(list(generic))), no()) | (
         ~contains_any(text, positive) & contains_any(text, hedging)
     )
 
@@ -222,11 +224,11 @@ PAGE_NAME = r"(?i)^case[0-9]+_[A-Za-z0-9]+-[0-9]+\.(?:png|jpg|jpeg)$"
 
 
 def valid_page_name(c: Column) -> Column:
-    return F.coalesce(c.rlike(PAGE_NAME), NO)
+    return F.coalesce(c.rlike(PAGE_NAME), no())
 
 
 def valid_prefix(c: Column) -> Column:
-    return F.coalesce(c.rlike(r"^case[0-9]+_[A-Za-z0-9]+$"), NO)
+    return F.coalesce(c.rlike(r"^case[0-9]+_[A-Za-z0-9]+$"), no())
 
 
 def group_check(rows: DataFrame, groups: DataFrame) -> DataFrame:
