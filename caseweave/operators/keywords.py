@@ -43,7 +43,7 @@ def match_terms(texts: DataFrame, key: str, text: str, terms: DataFrame, term: s
     words = words.withColumn("_gram", F.substring("term", 1, GRAM))
     cand = None
     for n in range(1, GRAM + 1):
-        grams = texts.select(key, F.explode(grams(F.col(text), n)).alias("_gram"))
-        hits = grams.join(words.filter(F.col("_n") == n), "_gram").select(key, "term")
+        runs = texts.select(key, F.explode(grams(F.col(text), n)).alias("_gram"))
+        hits = runs.join(words.filter(F.col("_n") == n), "_gram").select(key, "term")
         cand = hits if cand is None else cand.unionByName(hits)
     return cand.join(texts.select(key, text), key).filter(F.contains(F.col(text), F.col("term"))).select(key, "term")
