@@ -98,9 +98,15 @@ FORMAL_NUMERALS = ["零", "壹", "贰", "叁", "肆", "伍", "陆", "柒", "捌"
 SECTION_NUMERALS = ["（一）", "（二）", "（三）", "（四）", "（五）", "（六）", "（七）", "（八）", "（九）", "（十）"]
 TRUNCATION_MARK = "\n\n[... 输入过长，已截断 ...]"
 STOP_LABELS = [
-    "主诉", "现病史", "既往史", "体格检查", "专科检查", "入院诊断", "初步诊断", "出院诊断",
-    "诊疗经过", "治疗经过", "出院情况", "出院医嘱", "入院日期", "入院时间", "出院日期", "出院时间",
-    "住院天数", "手术名称", "术前诊断", "术中诊断", "术后诊断", "术中所见", "手术经过",
+    "姓名", "性别", "年龄", "科室", "科室名称", "住院科室", "病床号", "床位号", "住院号", "入院日期", "入院时间", "出院日期", "出院时间",
+    "住院天数", "实际住院", "主诉", "现病史", "入院情况", "既往史", "体格检查", "专科检查", "辅助检查", "入院诊断", "初步诊断", "修正诊断",
+    "术前诊断", "术中诊断", "术后诊断", "手术日期", "手术时间", "手术名称", "麻醉方式", "术中所见", "手术经过", "手术过程", "诊疗经过",
+    "治疗经过", "出院诊断", "出院情况", "出院医嘱", "医师签字", "手术者签名", "医生签字", "记录时间",
+]
+RECORD_STOP_LABELS = [
+    "姓名", "性别", "年龄", "科室", "科室名称", "住院科室", "病床号", "床位号", "住院号", "入院日期", "入院时间", "出院日期", "出院时间",
+    "住院天数", "实际住院", "主诉", "现病史", "既往史", "传染病史", "预防接种史", "手术史", "输血史", "个人史", "婚育史", "家族史", "体格检查",
+    "专科检查", "辅助检查", "入院诊断", "诊疗经过", "治疗经过", "出院诊断", "出院情况", "出院医嘱", "医师签字", "手术记录",
 ]
 NUMBERED_TITLE_LIMIT = 90
 HEADING_LINE_LIMIT = 120
