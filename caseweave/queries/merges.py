@@ -6,6 +6,7 @@ from caseweave.functions import extract as ex
 from caseweave.functions import predicates as pr
 from caseweave.operators import merge as me
 from caseweave.plans import facts as fa
+from caseweave.queries.extract import work_table
 from caseweave.queries.groups import LABELLED, labelled
 from caseweave.queries.predicates import COMPACT, RULES, any_of, subtype_sql
 from caseweave.queries.registry import query
@@ -334,7 +335,8 @@ SELECT o_orderkey AS group_id, CASE WHEN made THEN '医院' || (o_custkey % 7) E
  CASE WHEN made THEN strftime(din,'%Y-%m-%d') END AS date_in, CASE WHEN made THEN strftime(dout,'%Y-%m-%d') || ' 08:05' END AS date_out, CASE WHEN made THEN q END::BIGINT AS days, CASE WHEN made THEN 70 ELSE 50 END::BIGINT AS confidence,
  CASE WHEN made THEN src END AS page_id FROM j WHERE has OR made""")
 def _(t):
-    r = fa.fallback_records(order_groups(t), order_texts(t), order_records(t))
+    x = fact_tables(t)
+    r = fa.fallback_records(x["groups"], x["pages"], stored(t, "plain_records", lambda: order_records(t)))
     return r.select("group_id", "org", "complaint", "diagnosis_out", "date_in", "date_out", "days", "confidence", "page_id")
 
 
@@ -430,7 +432,31 @@ def _(t):
 # --- the fact table ----------------------------------------------------------
 
 
+_STORED: dict[tuple, str] = {}
+
+
+def stored(t, name, make):
+    """A table rendered from the given ones, written once to the shared folder and read back,
+    as the tables of a case base are."""
+    key = (t.spark.sparkContext.applicationId, t.path, name)
+    if key not in _STORED:
+        _STORED[key] = work_table(t, make(), name)
+    return t.spark.read.parquet(_STORED[key])
+
+
 def fact_tables(t):
+    made = {}
+
+    def make(name):
+        if not made:
+            made.update(render_fact_tables(t))
+        return made[name]
+
+    names = ("groups", "pages", "events", "reports", "records", "facts", "cases")
+    return {n: stored(t, n, lambda n=n: make(n)) for n in names}
+
+
+def render_fact_tables(t):
     """Orders as groups and records, line items as pages, events and reports."""
     pages = order_texts(t).drop("part", "q", "d", "r")
     case = t.orders.select(C("o_orderkey").alias("group_id"), C("o_custkey").alias("case_id"))
@@ -466,7 +492,7 @@ WORDS = "CASE WHEN part % 3 = 0 THEN '肋骨骨折' WHEN part % 3 = 1 THEN '胫
 @query("u01_build_facts", f"""
 WITH {PG}, p AS (SELECT pg.*, o_custkey c, o_orderstatus s FROM pg JOIN orders ON g = o_orderkey)
 SELECT 'hospital_record:' || o_orderkey AS fact_key, o_custkey AS case_id, 'admission' AS fact_role, '2024-01-02' AS fact_date, '医院' || (o_custkey % 7) AS org, '医院' || (o_custkey % 7) || '入院及住院病历' AS title, 'core' AS importance,
- COALESCE((SELECT string_agg(n::VARCHAR, ',' ORDER BY n) FROM pg WHERE g = o_orderkey),'') AS pages, '' AS flags FROM orders WHERE o_orderstatus = 'F'
+ COALESCE((SELECT string_agg(n::VARCHAR, ',' ORDER BY n) FROM pg WHERE g = o_orderkey),'') AS pages, CASE WHEN o_orderpriority IN ('1-URGENT','2-HIGH') THEN 'rule_fallback_from_ocr' ELSE '' END AS flags FROM orders WHERE o_orderstatus = 'F'
 UNION ALL SELECT 'medical_event:' || (g*10+n), c, CASE WHEN q > 25 THEN 'exam' ELSE 'progress' END, strftime(d,'%Y-%m-%d'), '医院' || (c % 7), CASE WHEN q > 10 THEN '事' || q ELSE CASE WHEN q > 25 THEN '检查' ELSE '病程' END END,
  CASE WHEN q > 25 OR part % 3 < 2 THEN 'core' ELSE NULL END, n::VARCHAR, 'manual' FROM p WHERE r = 'A' AND (q > 25 OR part % 3 < 2)
 UNION ALL SELECT 'imaging_report:' || (g*10+n), c, 'imaging', strftime(d,'%Y-%m-%d'), '医院' || (c % 7), CASE WHEN part % 3 = 0 THEN '肋骨' WHEN part % 3 = 1 THEN '胫腓骨' ELSE CASE WHEN q > 25 THEN 'CT' ELSE '检查报告' END END || CASE WHEN part % 3 < 2 AND q > 25 THEN 'CT' ELSE '' END,

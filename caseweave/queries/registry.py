@@ -18,7 +18,9 @@ class Tables:
         self.spark, self.path = spark, path
 
     def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{name}.parquet")
+        df = self.spark.read.parquet(f"{self.path}/{name}.parquet")
+        setattr(self, name, df)
+        return df
 
 
 def _wide(df: DataFrame) -> DataFrame:
