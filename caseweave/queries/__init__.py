@@ -1,7 +1,7 @@
 """The registered queries: one Spark query and, where SQL can state it, its SQL twin."""
 import importlib
 
-GROUPS = ["text", "predicates", "extract", "relations", "groups", "merges"]
+GROUPS = ["text", "predicates", "extract", "relations", "groups", "merges", "reasoning"]
 
 
 def load():
