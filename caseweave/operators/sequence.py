@@ -24,6 +24,7 @@ from caseweave.functions.classify import PREDICTION
 from caseweave.functions.predicates import has_title, is_soft
 from caseweave.functions.text import compact_text, label_of
 from caseweave.operators.split import split_last, split_next, split_row_number
+from caseweave.session import cut_lineage
 
 # Type codes 1..7 in stage order; 0 is no type. The first five are one-shot types.
 TYPES = list(fixed.STAGE_ORDER)
@@ -144,6 +145,8 @@ def correct_sequence(df: DataFrame, text: str = "text", titles: dict = v.STANDAL
     d = next_strong(page_features(df, text, titles), bucket, "_ahead")
     d = d.withColumn("_code", page_code(F.coalesce("_ahead", F.lit(0))))
     d = split_row_number(d, ["file"], _order(), bucket, "_rn").withColumn("_chunk", F.floor((F.col("_rn") - 1) / chunk))
+    # Read three times below (tables, walk, inherited values): kept once, without any text.
+    d = cut_lineage(d)
 
     def reduce_chunk(pdf: pd.DataFrame) -> pd.DataFrame:
         w = walk()

@@ -11,6 +11,7 @@ from caseweave.operators.joins import canonicalize
 from caseweave.operators.sequence import correct_sequence
 from caseweave.plans.assembly import analysis_text
 from caseweave.plans.rules import repair_text, validate_text
+from caseweave.session import cut_lineage
 
 FOLLOWUP_TERMS = ["后续治疗费", "后续治疗费用", "后期医疗费用", "后期治疗费", "医疗费用", "后续治疗项目"]
 OPENERS = ["根据委托单位提供的现有材料", r"1\.\s*被鉴定人"]
@@ -40,7 +41,7 @@ def analyse_pages(
     else:
         todo = todo.withColumn("prediction", F.col("prediction").cast(PREDICTION))
     reused = pages.join(fresh, "page_id").withColumn("prediction", F.col("_cached")).withColumn("source", F.lit("cache")).drop("_cached")
-    d = todo.unionByName(reused).withColumn("name", F.col("prediction.group"))
+    d = cut_lineage(todo.unionByName(reused).withColumn("name", F.col("prediction.group")))
     d = canonicalize(d, aliases, confirmed)
     named = F.col("prediction.type").isin(*grouped)
     swap = named & (F.col("matched") | (F.col("source") == "new"))
@@ -48,6 +49,7 @@ def analyse_pages(
     d = d.select("page_id", "file", "page_number", "text", "prediction", "source")
     if not sequence:
         return d.drop("text").withColumn("rule", F.lit(0))
+    d = cut_lineage(d)
     fixed_rows = correct_sequence(d).select("page_id", F.col("prediction").alias("_p"), "rule")
     return d.drop("text").join(fixed_rows, "page_id").withColumn("prediction", F.col("_p")).drop("_p")
 

@@ -261,8 +261,8 @@ def _(t):
 
 
 @query("t01_fact_lines", """
-WITH a AS (SELECT source, doc_id, '日期未明 | ' || lang || ' | t' || doc_id || ' | ' || trim(text,'@WC@') || CASE WHEN lang = 'en' THEN ' | 依据：q' ELSE '' END || CASE WHEN n_chars > 500 THEN ' | 来源页：1, 2' ELSE '' END x FROM documents),
-b AS (SELECT source, string_agg(x, chr(10) ORDER BY doc_id) y FROM a GROUP BY 1) SELECT source AS case_id, md5(substring(y,1,8000)) AS digest FROM b""")
+WITH a AS (SELECT source, doc_id, CASE WHEN n_chars > 500 THEN 1 ELSE 999999 END pg, '日期未明 | ' || lang || ' | t' || doc_id || ' | ' || trim(text,'@WC@') || CASE WHEN lang = 'en' THEN ' | 依据：q' ELSE '' END || CASE WHEN n_chars > 500 THEN ' | 来源页：1, 2' ELSE '' END x FROM documents),
+b AS (SELECT source, string_agg(x, chr(10) ORDER BY pg, doc_id) y FROM a GROUP BY 1) SELECT source AS case_id, md5(substring(y,1,8000)) AS digest FROM b""")
 def _(t):
     from caseweave.plans.facts import fact_lines
 
