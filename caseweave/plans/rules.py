@@ -91,9 +91,10 @@ def decide(corpus: DataFrame, specs: list[dict], k: int = 10) -> DataFrame:
     """
     d = match_evidence(corpus, specs)
     t = F.col("text")
+    d = d.withColumn("_n", max_range_count(t))
     score = F.lit(0)
     for s in specs:
-        score = F.when(F.col("spec_id") == s["spec_id"], evidence_score(t, F.col("kind"), F.col("source_pages"), F.col("review_status"), s["include"], EVIDENCE_BONUS, max_range_count(t))).otherwise(score)
+        score = F.when(F.col("spec_id") == s["spec_id"], evidence_score(t, F.col("kind"), F.col("source_pages"), F.col("review_status"), s["include"], EVIDENCE_BONUS, F.col("_n"))).otherwise(score)
     d = d.withColumns({"score": score, "ord": F.struct("kind", "id")})
     d = top_evidence(d, ["case_id", "spec_id"], k)
     for s in [s for s in specs if s.get("kind") == "repair"]:

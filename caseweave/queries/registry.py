@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from caseweave.functions.text import WS, WS_CHARS
+from caseweave.session import spread
 
 REGISTRY: dict[str, tuple[Callable, str | None]] = {}
 
@@ -19,6 +20,8 @@ class Tables:
 
     def __getattr__(self, name: str) -> DataFrame:
         df = self.spark.read.parquet(f"{self.path}/{name}.parquet")
+        if name in ("documents", "pages", "orders", "lineitem", "events"):
+            df = spread(df)
         setattr(self, name, df)
         return df
 

@@ -59,3 +59,12 @@ def at_most(df: DataFrame, n: int) -> bool:
 def broadcast_if_small(df: DataFrame, max_rows: int = 50_000) -> DataFrame:
     """Broadcast hint only after a count has shown that the side is small."""
     return F.broadcast(df) if at_most(df, max_rows) else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Even out a scan that yields fewer partitions than there are cores (one small file).
+
+    Tables of many files already fill the cluster and are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

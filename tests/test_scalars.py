@@ -30,7 +30,7 @@ def test_text_and_labels(spark):
     )
     assert r["label"] == "一二" and r["newline"] is None
     assert r["fine"] == "2024-03-06 08:05" and r["unchecked"] == "2024-02-30" and r["days"] == 12
-    assert r["entity"] == "aé&lt;b c<d"
+    assert r["entity"] == "aé&lt;b c"
     assert (r["clip"], r["null"], r["hard"]) == ("ab...", "ab", "ab ")
     assert r["joined"] == "甲。乙；"
 
