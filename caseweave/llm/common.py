@@ -34,14 +34,15 @@ def crc_fold(key: str, folds: int) -> Column:
 
 
 def hash_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
-    """About ``rows`` rows of ``df`` chosen by the hash of ``key``, never more than 1.5 times as many.
+    """About ``rows`` rows of ``df``, chosen by the hash of ``key``; a table with fewer rows is taken whole.
 
-    The same keys are chosen in every run; a table with fewer rows is taken whole.
+    The same keys are chosen in every run. Rows that repeat a key are chosen together, so the
+    caller limits what it collects, after it has cut the rows down to what it needs.
     """
     n = df.count()
     if n > rows:
         df = df.where(F.pmod(F.xxhash64(F.col(key), F.lit("sample")), F.lit(1 << 30)) < int((1 << 30) * rows / n))
-    return df.limit(rows + rows // 2)
+    return df
 
 
 class Forest:

@@ -132,7 +132,7 @@ def train(docs: DataFrame, max_rows: int = 6_000, per_doc: int = 4, id_col: str
                 x.append(rows[np.unique(np.linspace(0, len(rows) - 1, per_doc).astype(int))].tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(x, pa.binary())], ["doc_id", "lang", "x"])
 
-    got = hash_sample(known, "doc_id", max_rows).mapInArrow(cut, "doc_id long, lang string, x binary").toPandas().sort_values(["doc_id", "lang", "x"], kind="stable")
+    got = hash_sample(known, "doc_id", max_rows).mapInArrow(cut, "doc_id long, lang string, x binary").limit(max_rows + max_rows // 2).toPandas().sort_values(["doc_id", "lang", "x"], kind="stable")
     if got.empty:
         return None
     classes = sorted(got.lang.unique())

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 CHUNK = re.compile("▁+[^▁]*|[^▁]+")
 BATCH_CHARS = 1 << 21
+FAINT = 60.0
 U = np.uint64
 
 
@@ -193,7 +194,8 @@ class Lattice:
             beta[s[first]] = top + np.log(np.add.reduceat(np.exp(x - np.repeat(top, np.diff([*first, b - a]))), first))
         self.src, self.piece = src, piece
         self.dest = np.where(length == row, -1, src + length)
-        self.prob = np.exp(total - beta[src])
+        self.log_prob = total - beta[src]
+        self.prob = np.exp(self.log_prob)
         self.first = np.searchsorted(src, np.arange(len(signs) + 1))
         up = np.concatenate([[0.0], np.cumsum(self.prob)])
         base = up[self.first[src]]
@@ -255,16 +257,21 @@ class Paths:
         return uniform(np.full(n, mix64(np.array([self.seed + U(k * 8 + what)]))[0]), np.arange(n), 0)
 
     def add(self, edges: np.ndarray, word: np.ndarray, perturbed: float, since: int) -> None:
-        """A new sample whose steps from ``since`` on are fresh; the nodes beside those join the queue."""
-        p = self.lattice.prob[edges]
+        """A new sample whose steps from ``since`` on are fresh; the nodes beside those join the queue.
+
+        A node's mass falls with every step before it. Those that come after a path's first
+        e^-60 of mass are left out: no double holds them beside the others.
+        """
+        lat = self.lattice
+        log_p = lat.log_prob[edges]
+        done = np.cumsum(log_p)
+        n = max(since, int(np.searchsorted(-done, FAINT)) + 1)
+        e, log_q = edges[since:n], log_p[since:n]
         with np.errstate(divide="ignore"):
-            log_p = np.log(p)
-            done = np.cumsum(log_p)
-            beside = np.log(np.maximum(1 - p, 0)) + done - log_p
-        single = self.lattice.first[self.lattice.src[edges] + 1] - self.lattice.first[self.lattice.src[edges]] == 1
-        beside[single] = -np.inf
-        bound = cut_gumbel(beside[since:], np.full(len(edges) - since, perturbed), self._u(len(self.samples), 1, len(edges))[since:])
-        bound[~np.isfinite(beside[since:])] = -np.inf
+            beside = np.log(np.maximum(1 - np.exp(log_q), 0)) + done[since:n] - log_q
+        beside[lat.first[lat.src[e] + 1] - lat.first[lat.src[e]] == 1] = -np.inf
+        bound = cut_gumbel(beside, np.full(len(e), perturbed), self._u(len(self.samples), 1, len(e) + since)[since:])
+        bound[~np.isfinite(beside)] = -np.inf
         self.samples.append((edges, word, float(done[-1]) if len(done) else 0.0, perturbed))
         self.queue.append((bound, since))
 
@@ -293,7 +300,7 @@ class Paths:
         self.again = [a for a in self.again if not (a[1] == k and a[2] == step)]
         rest = float(p.sum() - lat.prob[e])
         if len(used) + 1 < len(edges) and rest > 1e-12:
-            before = float(np.log(lat.prob[old[:step]]).sum())
+            before = float(lat.log_prob[old[:step]].sum())
             g = cut_gumbel(np.array([before + np.log(rest)]), np.array([bound]), self._u(new, 3, 1))[0]
             self.again.append((float(g), k, step, used | {e}))
         tail = np.zeros(0, np.int64)

@@ -101,7 +101,7 @@ def ftrl(rows: list[np.ndarray], labels: np.ndarray, bits: int = BITS, alpha: fl
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = 10_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 5, held_out: int = 0):
     """Learn from at most 1.5 x ``max_rows`` labelled rows outside the held-out fold, whole texts."""
     wanted = labels.where(F.col(label_col).isNotNull() & (crc_fold(id_col, folds) != held_out)).select(F.col(id_col).alias("label_id"), F.col(label_col).cast("int").alias("label"))
-    sample = F.broadcast(hash_sample(wanted, "label_id", max_rows))  # bounded by max_rows
+    sample = F.broadcast(hash_sample(wanted, "label_id", max_rows).limit(max_rows + max_rows // 2))  # bounded by max_rows
     texts = docs.select(F.col(id_col).alias("label_id"), F.col(text_col).alias("text")).join(sample, "label_id").select("label_id", "text", "label")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
