@@ -14,6 +14,7 @@ All random numbers are hashes of the row key, the sample, the word and the step.
 """
 from __future__ import annotations
 
+import itertools
 import re
 import zlib
 from collections.abc import Iterator
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CHUNK = re.compile("▁+[^▁]*|[^▁]+")
-BATCH_CHARS = 1 << 21
+BATCH_CHARS = 3 << 20
 FAINT = 60.0
 U = np.uint64
 
@@ -151,28 +152,34 @@ class Lattice:
 
     def __init__(self, vocabulary: Vocabulary, words: list[str]):
         v = vocabulary
-        signs = np.frombuffer("".join(words).encode("utf-32-le", "replace"), "<u4").astype(np.int64)
-        size = np.array([len(w) for w in words], np.int64)
-        self.start = np.cumsum(size) - size
-        left = np.repeat(self.start + size, size) - np.arange(len(signs))
+        signs = np.frombuffer("".join(words).encode("utf-32-le", "replace"), "<i4")
+        size = np.fromiter(map(len, words), np.int32, len(words))
+        self.start = np.cumsum(size, dtype=np.int64) - size
+        left = np.repeat((self.start + size).astype(np.int32), size) - np.arange(len(signs), dtype=np.int32)
         code = v.code[signs]
-        pos, node = np.arange(len(signs)), np.zeros(len(signs), np.int64)
-        grid = np.full((len(signs), v.depth), -1, np.int32)  # longest pieces first
+        pos, node = np.arange(len(signs), dtype=np.int32), np.zeros(len(signs), np.int64)
+        starts, lengths, pieces = [], [], []
         depth = 0
         while len(pos):
-            ok = left[pos] > depth
-            pos, node = pos[ok], v.step(node[ok], code[pos[ok] + depth])
+            if depth:
+                ok = left[pos] > depth
+                pos, node = pos[ok], node[ok]
+            node = v.step(node, code[pos + depth])
             ok = node >= 0
             pos, node = pos[ok], node[ok]
             depth += 1
-            if len(pos):
-                grid[pos, v.depth - depth] = v.piece[node]
-        rare = np.flatnonzero(grid[:, -1] < 0)
-        grid[rare, -1] = -2 - np.arange(len(rare))
-        src, column = np.nonzero(grid != -1)
-        piece, length = grid[src, column].astype(np.int64), v.depth - column
-        piece = np.where(piece < -1, piece + 1, piece)
-        del grid, column
+            piece = v.piece[node]
+            ok = piece >= 0
+            starts.append(pos[ok])
+            pieces.append(piece[ok])
+            lengths.append(np.full(len(starts[-1]), depth, np.int32))
+        single = np.zeros(len(signs), bool)
+        if starts:
+            single[starts[0]] = True
+        rare = np.flatnonzero(~single).astype(np.int32)
+        src, length, piece = (np.concatenate(x) for x in ([rare, *starts], [np.ones(len(rare), np.int32), *lengths], [-1 - np.arange(len(rare), dtype=np.int32), *pieces]))
+        order = np.argsort(src, kind="stable")  # merges the runs of each length
+        src, length, piece = src[order], length[order], piece[order]
         # written as bytes, or the unknown piece
         coded = [[v.byte[b] for b in chr(c).encode("utf-8", "replace")] if v.byte else [v.unknown] for c in signs[rare].tolist()]
         self.rare_size = np.array([len(c) for c in coded], np.int64)
@@ -196,7 +203,7 @@ class Lattice:
         self.dest = np.where(length == row, -1, src + length)
         self.log_prob = total - beta[src]
         self.prob = np.exp(self.log_prob)
-        self.first = np.searchsorted(src, np.arange(len(signs) + 1))
+        self.first = np.concatenate([[0], np.cumsum(np.bincount(src, minlength=len(signs)))])
         up = np.concatenate([[0.0], np.cumsum(self.prob)])
         base = up[self.first[src]]
         self.upto = (up[1:] - base) / np.maximum(up[self.first[src + 1]] - base, 1e-300)
@@ -320,7 +327,7 @@ def sample_texts(vocabulary: Vocabulary, texts: list[str], keys: np.ndarray, k:
     chunks = [list(map(plain.__getitem__, chunks_of(t))) for t in texts]
     lattice = Lattice(vocabulary, [w if w[:1] == "▁" else "▁" + w for w in plain])
     size = np.array([len(c) for c in chunks])
-    flat = np.fromiter((i for c in chunks for i in c), np.int64, size.sum())
+    flat = np.fromiter(itertools.chain.from_iterable(chunks), np.int64, size.sum())
     begin = np.cumsum(size) - size
     word = np.arange(len(flat)) - np.repeat(begin, size)
     state = lattice.start[flat]
