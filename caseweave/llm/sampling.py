@@ -184,7 +184,14 @@ class Lattice:
         coded = [[v.byte[b] for b in chr(c).encode("utf-8", "replace")] if v.byte else [v.unknown] for c in signs[rare].tolist()]
         self.rare_size = np.array([len(c) for c in coded], np.int64)
         self.rare_ids = np.array([i for c in coded for i in c], np.int32)
-        weight = np.where(piece >= 0, v.weight[np.maximum(piece, 0)], v.rare * (self.rare_size[-1 - np.minimum(piece, -1)] if len(rare) else 1))
+        weight = v.weight[piece]
+        odd = np.flatnonzero(piece < 0)
+        if len(odd):
+            which = -1 - piece[odd]
+            weight[odd] = v.rare * self.rare_size[which]
+            starts_at = np.cumsum(self.rare_size) - self.rare_size
+            one = self.rare_size[which] == 1  # a single byte is an id like any other
+            piece[odd[one]] = self.rare_ids[starts_at[which[one]]]
         row = left[src]
         order = np.argsort(row.astype(np.uint16) if len(row) and row.max() < 1 << 16 else row, kind="stable")
         beta = np.zeros(len(signs) + 1)
