@@ -45,12 +45,11 @@ def group_sources(pages: DataFrame, size: int = 1000) -> DataFrame:
     return d.select("group_id", "part", F.col("items.page_id").alias("page_ids"), F.col("items.page_number").alias("page_numbers"))
 
 
-def resolve_sources(facts: DataFrame, pages: DataFrame, inline: int = 1000) -> DataFrame:
+def resolve_sources(facts: DataFrame, pages: DataFrame) -> DataFrame:
     """Adds source_scope, n_sources, source_ids and source_pages to facts.
 
-    Explicit ids go first, then the pages of the group, then the single page. A group with
-    more than ``inline`` pages is not copied into each of its facts: the arrays stay null,
-    source_scope is ``group`` and ``group_sources`` holds the list once, in parts.
+    Explicit ids go first, then all pages of the group, whatever their number, then the single
+    page. ``group_sources`` gives the list of a group once, in parts.
     """
     none = F.array().cast("array<bigint>")
     f = facts.withColumns(
@@ -67,9 +66,8 @@ def resolve_sources(facts: DataFrame, pages: DataFrame, inline: int = 1000) -> D
     found = wanted.join(pages.select("page_id", "page_number"), "page_id")
     by_id = found.groupBy("fact_id").agg(F.array_sort(F.collect_list(F.struct("_pos", "page_id", "page_number"))).alias("_hits"))
     sizes = pages.filter(F.col("group_id").isNotNull()).groupBy("group_id").agg(F.count(F.lit(1)).alias("_n"))
-    small = pages.join(sizes.filter(F.col("_n") <= inline), "group_id")
     rank = F.struct(F.col("page_number").isNull().alias("null_last"), "page_number", "page_id")
-    lists = small.groupBy("group_id").agg(F.array_sort(F.collect_list(rank)).alias("_list"))
+    lists = pages.filter(F.col("group_id").isNotNull()).groupBy("group_id").agg(F.array_sort(F.collect_list(rank)).alias("_list"))
     d = f.join(by_id, "fact_id", "left").join(sizes, "group_id", "left").join(lists, "group_id", "left")
     explicit = F.size(F.col("source_ids")) > 0
     by_group = ~explicit & F.col("group_id").isNotNull()

@@ -227,7 +227,7 @@ def confirm_group_name(tables: dict[str, DataFrame], requests: DataFrame, suffix
     from caseweave.operators.windows import renumber
 
     m = name_mapping(tables["groups"], requests, suffixes, chars, accept)
-    targets = m.groupBy("target_id").agg(F.first("canonical").alias("canonical"))
+    targets = m.groupBy("target_id").agg(F.min_by("canonical", "group_id").alias("canonical"))
     out = dict(tables)
     g = tables["groups"].join(m.filter(F.col("group_id") != F.col("target_id")).select("group_id"), "group_id", "left_anti")
     g = g.join(targets.withColumnRenamed("target_id", "group_id"), "group_id", "left")

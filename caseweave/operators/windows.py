@@ -1,7 +1,6 @@
 """Numbering, top-k, fallback by scope, adjacency and sequence features."""
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,8 +29,9 @@ def merge_adjacent(df: DataFrame, keys: list[str], default_title: str = "手术
 
     Columns: keys, page_id, page_number, surgery, diagnosis, findings, treatment, date,
     signature. A page is compared with the first page of the running event, so pages are
-    walked in order; but a page gap, or a page whose title and date are both new in its run,
-    always starts over. Groups are cut there and only the short pieces between are walked.
+    compared in order; but a page gap, or a page whose title and date are both new in its run,
+    always starts over. Groups are cut there; a fold over titles, dates and numbers of the
+    short pieces between gives each page its event, and the fields are joined and aggregated.
     """
     # Pages without a number go last, each as a run of its own.
     last = F.coalesce(F.col("page_number"), F.lit(2**31 - 1))
@@ -50,53 +50,56 @@ def merge_adjacent(df: DataFrame, keys: list[str], default_title: str = "手术
         d = d.join(first, [*keys, "_run", c])
     fresh = F.col("_filled") & ~F.col("signature") & (F.col("_title_first") == F.col("_at")) & (F.col("_date_first") == F.col("_at"))
     d = split_running_sum(d, [*keys, "_run"], order, bucket, F.when(fresh, 1).otherwise(0), "_piece")
-    cols = [*keys, "page_id", "page_number", *EVENT_COLS, "date", "signature", "_title", "_filled", "_run", "_piece"]
-    kinds = dict(d.dtypes)
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["page_number", "page_id"], na_position="last")
-        events: list[dict] = []
-        for r in pdf.itertuples(index=False, name=None):
-            row = dict(zip(names, r))
-            page = None if pd.isna(row["page_number"]) else int(row["page_number"])
-            val = {c: (None if pd.isna(row[c]) else row[c]) for c in [*EVENT_COLS, "date"]}
-            head = events[-1] if events else None
-            near = head is not None and page is not None and head["pages"][-1] is not None and page - head["pages"][-1] <= 1
-            if near and row["signature"]:
-                head["ids"].append(row["page_id"]); head["pages"].append(page); head["signed"] = True
-                continue
-            if row["signature"] and not row["filled"]:
-                continue
-            if near and (row["title"] == head["title"] or (val["date"] or "") == (head["date"] or "")):
-                head["ids"].append(row["page_id"]); head["pages"].append(page)
-                for c in EVENT_COLS[1:]:
-                    head[c] = head[c] or val[c]
-                head["quote"] = head["quote"] or val["treatment"] or val["findings"] or val["diagnosis"]
-                continue
-            if row["filled"]:
-                quote = val["treatment"] or val["findings"] or val["diagnosis"] or val["surgery"]
-                events.append({**val, "key": row["key"], "title": row["title"], "ids": [row["page_id"]], "pages": [page], "signed": False, "quote": quote})
-        out = [
-            (*e["key"], e["surgery"] or default_title, e["date"], *[e[c] for c in EVENT_COLS], e["quote"], e["ids"],
-             [p for p in e["pages"] if p is not None], 84 if e["date"] and e["surgery"] else 68, e["signed"])
-            for e in events
-        ]
-        return pd.DataFrame(out, columns=out_names)
-
-    n = len(keys)
-
-    def grouped(pdf: pd.DataFrame) -> pd.DataFrame:
-        q = pdf.rename(columns={"_title": "title", "_filled": "filled"})
-        q["key"] = list(zip(*[pdf[k] for k in keys]))
-        return walk(q[names])
-
-    names = ["key", "page_id", "page_number", *EVENT_COLS, "date", "signature", "title", "filled"]
-    out_names = [*keys, "title", "date", *EVENT_COLS, "quote", "source_ids", "source_pages", "confidence", "signature_merged"]
-    schema = ", ".join(
-        [f"{k} {kinds[k]}" for k in keys] + ["title string", "date string"] + [f"{c} string" for c in EVENT_COLS]
-        + ["quote string", f"source_ids array<{kinds['page_id']}>", "source_pages array<int>", "confidence int", "signature_merged boolean"]
+    piece = [*keys, "_run", "_piece"]
+    item = F.struct("_at", "page_id", F.col("page_number").alias("page"), F.col("_title").alias("title"), F.col("_date").alias("date"), "signature", F.col("_filled").alias("filled"))
+    marks = d.groupBy(*piece).agg(F.array_sort(F.collect_list(item)).alias("_items"))
+    marks = marks.select(*piece, F.explode(_event_numbers(F.col("_items"))).alias("_m")).select(*piece, "_m.page_id", "_m.event", "_m.first", "_m.tagged")
+    d = d.join(marks.filter(F.col("event") > 0), [*piece, "page_id"])
+    own = F.col("first") | ~F.col("tagged")  # a signature page brings its number, not its fields
+
+    def earliest(c: Column) -> Column:
+        return F.min_by(c, F.when(own & (F.coalesce(c, F.lit("")) != ""), F.col("_at")))
+
+    body = F.coalesce(*(F.nullif(c, F.lit("")) for c in ("treatment", "findings", "diagnosis")))
+    ordered = F.array_sort(F.collect_list(F.struct("_at", "page_id", "page_number")))
+    e = d.groupBy(*piece, "event").agg(
+        F.max(F.when(F.col("first"), F.col("surgery"))).alias("surgery"),
+        F.max(F.when(F.col("first"), F.col("date"))).alias("date"),
+        *[earliest(F.col(c)).alias(c) for c in EVENT_COLS[1:]],
+        earliest(F.coalesce(body, F.when(F.col("first"), F.col("surgery")))).alias("quote"),
+        ordered.alias("_l"),
+        F.max(F.col("tagged") & ~F.col("first")).alias("signature_merged"),
     )
-    return d.select(*cols).groupBy(*keys, "_run", "_piece").applyInPandas(grouped, schema)
+    known = (F.coalesce("date", F.lit("")) != "") & (F.coalesce("surgery", F.lit("")) != "")
+    return e.select(
+        *keys, F.coalesce(F.nullif("surgery", F.lit("")), F.lit(default_title)).alias("title"), "date", *EVENT_COLS, "quote", F.col("_l.page_id").alias("source_ids"),
+        F.array_compact(F.col("_l.page_number")).alias("source_pages"), F.when(known, 84).otherwise(68).alias("confidence"), "signature_merged",
+    )
+
+
+def _event_numbers(items: Column) -> Column:
+    """Ordered pages of a piece to (page_id, event, first, tagged); event 0 belongs to none.
+
+    The state is the running event: its number, title, date and last page. A page next to it
+    belongs to it if it is a signature page or shares its title or date; any other page with
+    fields begins the next event.
+    """
+    mark = "array<struct<page_id:bigint,event:int,first:boolean,tagged:boolean>>"
+
+    def step(s: Column, x: Column) -> Column:
+        near = F.coalesce((s["event"] > 0) & (x["page"] - s["page"] <= 1), F.lit(False))
+        joins = near & (x["signature"] | (x["title"] == s["title"]) | (x["date"] == s["date"]))
+        begins = ~joins & x["filled"]
+        event = s["event"] + begins.cast("int")
+        one = F.struct(x["page_id"].cast("bigint").alias("page_id"), F.when(joins | begins, event).otherwise(0).alias("event"), begins.alias("first"), x["signature"].alias("tagged"))
+        return F.struct(
+            event.alias("event"), F.when(begins, x["title"]).otherwise(s["title"]).alias("title"), F.when(begins, x["date"]).otherwise(s["date"]).alias("date"),
+            F.when(joins | begins, x["page"]).otherwise(s["page"]).alias("page"), F.concat(s["marks"], F.array(one)).alias("marks"),
+        )
+
+    none = F.lit("")
+    start = F.struct(F.lit(0).alias("event"), none.alias("title"), none.alias("date"), F.lit(None).cast("int").alias("page"), F.array().cast(mark).alias("marks"))
+    return F.aggregate(items, start, step, lambda s: s["marks"])
 
 
 def top_evidence(df: DataFrame, keys: list[str], k: int = 10) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from caseweave import fixed
 from caseweave.functions.extract import elapsed_phrase
 from caseweave.functions.text import birth_text, blank_to_null, clip_hard, display_date, join_nonempty, normalize_request, normalize_summary, section_no, strip
-from caseweave.operators.split import first_rows, split_row_number, text_parts
+from caseweave.operators.split import split_row_number, text_parts
 
 
 def _has(c: str) -> Column:
@@ -125,8 +125,7 @@ def analysis_text(cases: DataFrame, cands: DataFrame) -> DataFrame:
     periods = f["work_loss"] | f["nursing"] | f["nutrition"]
     rank = F.when((F.col("category") == "伤残等级") & f["disability"], 0).when((F.col("category") == "三期") & periods, 1)
     c = c.withColumn("_rank", rank).filter(F.col("_rank").isNotNull())
-    # The number of candidates of a case is bounded by the number of specs.
-    c = first_rows(c, ["case_id"], [F.col("_rank"), F.col("ord")], 10_000, "_i")
+    c = split_row_number(c, ["case_id"], [F.col("_rank"), F.col("ord")], F.col("_rank"), "_i")
     std = standard_sentence(F.col("standard"))
     title = F.coalesce(F.nullif("title", F.lit("")), F.lit("相关损伤"))
     reason = F.rtrim(F.coalesce("reason", F.lit("")), F.lit("。"))

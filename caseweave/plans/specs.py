@@ -5,7 +5,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caseweave.operators.keywords import match_terms
-from caseweave.session import at_most
 
 
 def first_rule(texts: DataFrame, key: str, text: str, rules: DataFrame, max_literals: int = 256) -> DataFrame:
@@ -18,10 +17,3 @@ def first_rule(texts: DataFrame, key: str, text: str, rules: DataFrame, max_lite
     hits = match_terms(texts, key, text, words, "term", max_literals).join(words, "term")
     best = hits.groupBy(key).agg(F.min(F.struct("priority", "name")).alias("b"))
     return best.select(key, F.col("b.name").alias("name"), F.col("b.priority").alias("priority"))
-
-
-def spec_list(specs: DataFrame, most: int = 500) -> list[dict]:
-    """A spec table as plain rules for the literal operators; its size is checked first."""
-    if not at_most(specs, most):
-        raise ValueError(f"more than {most} specs: use the table forms (match_evidence_table, first_rule)")
-    return [r.asDict(recursive=True) for r in specs.collect()]

@@ -1,6 +1,5 @@
 """X01-X23 and S01-S09 over the given tables."""
 import os
-import tempfile
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T

@@ -59,12 +59,12 @@ def _(t):
 
 
 @query("a03_doc_progress", f"""
-WITH a AS (SELECT source, CASE WHEN n_chars > 1000 THEN 'completed' WHEN n_chars > 300 THEN 'failed' ELSE 'pending' END s, CASE quality WHEN 1 THEN 'completed' WHEN 0 THEN 'needs_review' ELSE 'pending' END r FROM {LABELLED} WHERE lang <> 'es')
+WITH a AS (SELECT source, CASE WHEN n_chars > 1000 THEN 'completed' WHEN n_chars > 300 THEN 'failed' ELSE 'pending' END s, CASE quality WHEN 1 THEN 'completed' WHEN 0 THEN 'needs_review' ELSE 'pending' END r FROM {LABELLED})
 SELECT 'src' || i AS doc_id, count(s) AS page_rows, count(*) FILTER (WHERE s='completed') AS completed, 0::BIGINT AS processing, count(*) FILTER (WHERE s='failed') AS failed, count(*) FILTER (WHERE s='pending') AS pending,
  count(*) FILTER (WHERE r='completed') AS proofread_completed, 0::BIGINT AS proofread_processing, 0::BIGINT AS proofread_failed, count(*) FILTER (WHERE r='pending') AS proofread_pending, count(*) FILTER (WHERE r='needs_review') AS proofread_needs_review
 FROM (SELECT n_nationkey i FROM nation) LEFT JOIN a ON source = 'src' || i GROUP BY 1""")
 def _(t):
-    pages = labelled(t).filter(C("lang") != "es").select(
+    pages = labelled(t).select(
         C("source").alias("doc_id"), F.when(C("n_chars") > 1000, "completed").when(C("n_chars") > 300, "failed").otherwise("pending").alias("status"),
         F.when(C("quality") == 1, "completed").when(C("quality") == 0, "needs_review").when(C("lang") == "fr", "").alias("review_status"),
     )
@@ -242,7 +242,7 @@ def _(t):
 
 
 @query("a21_review_run", f"""
-WITH a AS (SELECT source, CASE WHEN quality = 1 THEN 'completed' WHEN toxic = 1 THEN 'failed' WHEN quality = 0 THEN 'needs_review' END s, n_chars n FROM {LABELLED} WHERE lang <> 'es'),
+WITH a AS (SELECT source, CASE WHEN quality = 1 THEN 'completed' WHEN toxic = 1 THEN 'failed' WHEN quality = 0 THEN 'needs_review' END s, n_chars n FROM {LABELLED}),
 b AS (SELECT *, s IS NULL OR s = 'failed' tg FROM a)
 SELECT source AS doc_id, count(*) AS total_pages, count(*) FILTER (WHERE tg) AS target_pages, count(*) FILTER (WHERE tg AND n > 1000) AS completed, count(*) FILTER (WHERE tg AND n BETWEEN 301 AND 1000) AS needs_review,
  count(*) FILTER (WHERE tg AND n <= 300) AS failed, count(*) FILTER (WHERE NOT tg) AS skipped FROM b GROUP BY 1""")

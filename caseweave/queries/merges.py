@@ -77,7 +77,7 @@ def _(t):
 
 @query("d03_rebuild_events", f"""
 WITH d AS (SELECT * FROM {LABELLED}),
-o AS (SELECT source, lang || n_chars id, NOT (lang = 'en' AND COALESCE(quality,0) <> 1) kept FROM d WHERE doc_id <= 1000000 AND toxic IS NULL OR quality = 1),
+o AS (SELECT source, lang || n_chars id, NOT (lang = 'en' AND COALESCE(quality,0) <> 1) kept FROM d WHERE toxic IS NULL OR quality = 1),
 p AS (SELECT source, lang || n_chars id FROM d WHERE lang <> 'fr'),
 a AS (SELECT source, CASE WHEN kept THEN 'preserved' ELSE 'deleted' END act FROM o UNION ALL
  SELECT p.source, CASE WHEN EXISTS (SELECT 1 FROM o WHERE kept AND o.source = p.source AND o.id = p.id) THEN 'duplicate' ELSE 'created' END FROM p)

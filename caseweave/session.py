@@ -1,11 +1,10 @@
-"""Session settings and the two size checks shared by the operators."""
+"""Session settings and the size check shared by the operators."""
 from __future__ import annotations
 
 import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -56,11 +55,6 @@ def at_most(df: DataFrame, n: int) -> bool:
     return df.limit(n + 1).count() <= n
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 50_000) -> DataFrame:
-    """Broadcast hint only after a count has shown that the side is small."""
-    return F.broadcast(df) if at_most(df, max_rows) else df
-
-
 def spread(df: DataFrame) -> DataFrame:
     """Even out a scan that yields fewer partitions than there are cores (one small file).
 

@@ -2,7 +2,7 @@
 
 BODY_PARTS = [
     "胫腓骨", "胫骨", "腓骨", "骨盆", "髂骨", "骶骨", "耻骨", "坐骨", "股骨", "髋", "小腿", "下肢", "肋骨",
-    "锁骨", "肩胛骨", "肩", "颅脑", "头颅", "额部", "胸部", "腹部", "上腹部", "膝", "踝", "足",
+    "锁骨", "肩胛骨", "肩", "颅脑", "头颅", "额部", "胸部", "腹部", "上腹部", "下腹部", "脾", "膝", "踝", "足",
 ]
 PART_PARENTS = {
     "胫骨": "胫腓骨", "腓骨": "胫腓骨", "耻骨": "骨盆", "坐骨": "骨盆", "骶骨": "骨盆", "髂骨": "骨盆", "小腿": "下肢",

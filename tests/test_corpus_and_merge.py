@@ -1,17 +1,46 @@
+from pyspark.sql import functions as F
+
 from caseweave.operators import merge as me
 from caseweave.plans import corpus as co
 
 
-def test_pack_lines():
+def _sections(spark, text, longest=co.LONGEST):
+    row = spark.createDataFrame([(text,)], "text string").select(co.sections(F.col("text"), longest).alias("s")).first()
+    return [tuple(x) for x in row.s]
+
+
+def test_sections(spark):
     long = "甲" * 100
-    got = co.pack_lines(f"1 总则\n{long}\n2.1 范围\n{long}\n短")
+    got = _sections(spark, f"1 总则\n{long}\n2.1 范围\n{long}\n短")
     assert [(c, t) for c, t, _ in got] == [("1", "总则"), ("2.1", "范围")]
     assert got[0][2] == f"1 总则\n{long}"
-    assert co.pack_lines("短") == []
-    whole = co.pack_lines("\n".join(["乙" * 400] * 7))
+    assert _sections(spark, "短") == []
+    whole = _sections(spark, "\n".join(["乙" * 400] * 7))
     assert sum(len(b.replace("\n", "")) for _, _, b in whole) == 2800 and max(len(b) for _, _, b in whole) <= 2400
 
 
+def test_sections_by_rows(spark):
+    """Every branch: blanks, a heading first and after text, a full section, short rests, overlong lines, no section."""
+    a, b = "甲" * 90, "乙" * 1300
+    assert _sections(spark, f"{a}\n\n第一章 总则\n{a}") == [(None, None, a), ("第一章", "总则", f"第一章 总则\n{a}")]
+    assert _sections(spark, f"2 标题\n{b}\n{a}\n短") == [("2", "标题", f"2 标题\n{b}"), ("2", "标题", f"{a}\n短")]
+    assert _sections(spark, f"{'丙' * 3000}") == [(None, None, "丙" * 2400)]
+    assert _sections(spark, f"{'丙' * 3000}", None) == [(None, None, "丙" * 3000)]
+    assert _sections(spark, f"短\n3 范围\n{a}") == [("3", "范围", f"3 范围\n{a}")]
+    assert _sections(spark, "\n".join(f"{i} 题" for i in range(40))) == [(None, None, "\n".join(f"{i} 题" for i in range(40)))]
+
+
+def test_query_terms_strips(spark):
+    q = spark.createDataFrame([(1, "  没有词 "), (2, "   ")], "query_id int, query string")
+    assert [(r.query_id, r.terms) for r in co.query_terms(q, ["词典"]).collect()] == [(1, ["没有词"])]
+
+
+def test_default_parts_hold_the_spleen(spark):
+    from caseweave import vocabulary as v
+
+    assert {"脾", "下腹部"} <= set(v.BODY_PARTS)
+
+
 def test_merge_facts(spark):
     cols = "case_id int, fact_key string, fact_id long, fact_type string, summary string, quote string, review_status string, importance string, review_note string"
     old = spark.createDataFrame([

@@ -108,6 +108,30 @@ def test_merge_adjacent(spark):
     assert got[(1, 2, 3)].signature_merged and got[(1, 2, 3)].diagnosis == "x" and got[(1, 2, 3)].confidence == 84
 
 
+def test_merge_adjacent_by_rows(spark):
+    """Random pages against the rule read row by row: which pages an event holds, and its first fields."""
+    rnd = random.Random(11)
+    cols = "group_id int, page_id long, page_number int, surgery string, diagnosis string, findings string, treatment string, date string, signature boolean"
+    pick = lambda *x: rnd.choice(x)
+    rows, page = [], 0
+    for i in range(160):
+        page += pick(1, 1, 1, 1, 2)
+        rows.append((1, i, None if rnd.random() < 0.05 else page, pick(None, "a", "b"), pick(None, "x"), pick(None, None, "f"), pick(None, None, "t"), pick(None, "d1", "d2"), rnd.random() < 0.25))
+    want, head = [], None
+    for r in sorted(rows, key=lambda r: (r[2] is None, r[2] or 0, r[1])):
+        filled, title, date = any(r[3:7]), r[3] or "手术记录", r[7] or ""
+        near = head is not None and None not in (r[2], head["at"]) and r[2] - head["at"] <= 1
+        if near and (r[8] or title == head["title"] or date == head["date"]):
+            head["ids"].append(r[1])
+            head["at"] = r[2]
+            head["diagnosis"] = head["diagnosis"] or (None if r[8] else r[4])
+        elif filled:
+            head = {"ids": [r[1]], "at": r[2], "title": title, "date": date, "diagnosis": r[4]}
+            want.append(head)
+    got = {tuple(r.source_ids): r.diagnosis for r in merge_adjacent(spark.createDataFrame(rows, cols), ["group_id"]).collect()}
+    assert got == {tuple(e["ids"]): e["diagnosis"] for e in want}
+
+
 def test_gram_join_equals_literals(spark):
     rnd = random.Random(5)
     texts = spark.createDataFrame([(i, "".join(rnd.choice("abcde é") for _ in range(rnd.randint(0, 40)))) for i in range(60)], "id int, text string")
