@@ -96,8 +96,8 @@ class Vocabulary:
             while self.key[at] >= 0:
                 at = (at + 1) % len(self.key)
             self.key[at], self.next[at] = key, to
-        self.raw_size = np.array([len(r) for r in self.raw])
-        self.raw_start = np.cumsum(self.raw_size) - self.raw_size
+        self.raw_size = np.array([len(r) for r in self.raw], np.int32)
+        self.raw_start = np.cumsum(self.raw_size, dtype=np.int32) - self.raw_size
         self.raw_bytes = np.frombuffer(b"".join(self.raw), np.uint8)
 
     def _slot(self, key: np.ndarray) -> np.ndarray:
@@ -120,7 +120,8 @@ class Vocabulary:
 
     def decode_bytes(self, ids: np.ndarray) -> bytes:
         size = self.raw_size[ids]
-        at = np.arange(size.sum()) + np.repeat(self.raw_start[ids] - (np.cumsum(size) - size), size)
+        end = np.cumsum(size, dtype=np.int32)
+        at = np.arange(end[-1] if len(end) else 0, dtype=np.int32) + np.repeat(self.raw_start[ids] - end + size, size)
         return self.raw_bytes[at].tobytes()[1:]
 
     def decode(self, ids) -> str:
@@ -228,7 +229,7 @@ class Lattice:
     def walk(self, state: np.ndarray, seed: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Sampled paths from each state to its word's end: (row, edge), ordered by row and step."""
         rows, edges, step = [], [], 0
-        row = np.arange(len(state))
+        row = np.arange(len(state), dtype=np.int32)
         while len(row):
             e = self.draw(state, uniform(seed[row], word[row], step))
             rows.append(row)
