@@ -21,8 +21,8 @@ def _filled(c: Column) -> Column:
 
 
 def row_id(*cols: str) -> Column:
-    """Deterministic positive id of a new row, the same on every retry."""
-    return F.abs(F.xxhash64(*cols) % F.lit(2**53))
+    """Deterministic id of a new row, 63 hash bits of its natural key, the same on every retry."""
+    return F.xxhash64(*cols).bitwiseAND(F.lit(2**63 - 1))
 
 
 def merge_facts(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -339,7 +339,10 @@ def auto_import(
 ) -> tuple[DataFrame, DataFrame]:
     """(pages with outcome, reason, type, subtype, group_id, page_number; groups with the new ones).
 
-    pages: case_id, file_name, page_number, text, prediction. imported: file_name.
+    pages: case_id, file_name, ord (position in the listing), page_number, text, prediction.
+    imported: file_name and, if known, group_id of the pages that are there. Groups are made in
+    the order of their first page. A grouped page without a number gets its position among the
+    pages of its group, those that are there first.
     """
     least = min_confidence or 0.5
     p = F.col("prediction")
@@ -355,13 +358,18 @@ def auto_import(
     d = d.withColumn("reason", reason).withColumn(
         "outcome", F.when(F.col("_seen"), "skipped").when(F.col("reason").isNotNull(), "failed").otherwise("imported")
     ).drop("_seen")
-    named = d.filter((F.col("outcome") == "imported") & kind.isin(*GROUPED_TYPES)).select("case_id", "file_name", kind.alias("type"), p["group"].alias("name"))
+    named = d.filter((F.col("outcome") == "imported") & kind.isin(*GROUPED_TYPES)).select("case_id", "file_name", "ord", kind.alias("type"), p["group"].alias("name"))
     named = canonicalize(named, aliases, confirmed, suffixes, chars)
-    wanted = named.select("case_id", "type", F.col("canonical").alias("name"), F.lit(0).alias("ord"), F.col("matched").alias("confirmed"))
+    wanted = named.select("case_id", "type", F.col("canonical").alias("name"), "ord", F.col("matched").alias("confirmed"))
     all_groups = ensure_groups(groups, wanted)
     ids = all_groups.groupBy("case_id", "type", "name").agg(F.min("group_id").alias("group_id"))
-    named = named.join(ids, [named["case_id"] == ids["case_id"], named["type"] == ids["type"], named["canonical"] == ids["name"]]).select(named["case_id"], named["file_name"], "group_id")
+    named = named.join(ids, [named["case_id"] == ids["case_id"], named["type"] == ids["type"], named["canonical"] == ids["name"]]).select(named["case_id"], named["file_name"], named["ord"], "group_id")
+    named = split_row_number(named, ["group_id"], [F.col("ord"), F.col("file_name")], F.floor(F.col("ord") / 100_000), "_at").drop("ord")
+    if "group_id" in imported.columns:
+        there = imported.filter(F.col("group_id").isNotNull()).groupBy("group_id").agg(F.count(F.lit(1)).alias("_there"))
+        named = named.join(there, "group_id", "left").withColumn("_at", F.col("_at") + F.coalesce("_there", F.lit(0))).drop("_there")
     d = d.join(named, ["case_id", "file_name"], "left").withColumn("_t", compact_text(F.col("text")))
+    d = d.withColumn("page_number", F.coalesce("page_number", F.col("_at").cast("int"))).drop("_at")
     sub = F.coalesce(F.nullif(p["subtype"], F.lit("")), F.when(F.col("_t") != "", classify_subtype(kind, F.col("_t"), rules)))
     take = F.col("outcome") == "imported"
     return d.withColumns({"type": F.when(take, kind), "subtype": F.when(take, sub), "status": F.when(take, F.when(_filled(F.col("text")), "completed").otherwise("pending"))}).drop("_t"), all_groups

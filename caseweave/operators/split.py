@@ -105,17 +105,21 @@ def first_rows(df: DataFrame, keys: list[str], order: list[Column], n: int, out:
 
 
 def char_budget(
-    df: DataFrame, keys: list[str], order: list[Column], line: Column, n: int, mode: str = "stop_before", out: str = "total"
+    df: DataFrame, keys: list[str], order: list[Column], line: Column, n: int, mode: str = "stop_before", out: str = "total",
+    parts: int = 64,
 ) -> DataFrame:
-    """Lines while the running length stays within ``n``.
+    """Lines while the running length stays within ``n``; ``_rn`` is their number from 1.
 
     ``stop_before`` drops the line that goes over; ``cut_after`` keeps it (the text is cut
-    later). Lines are not empty, so no more than ``n`` + 1 rows of a key can be kept and the
-    window only ever sees that many.
+    later). Null and empty lines go. A key is first dealt to ``parts`` by a hash of its
+    ascending order columns: the running length in a part never exceeds that in the key, so what
+    starts beyond ``n`` in its part is dropped there, and the window over the whole key sees no
+    more than ``parts`` times the budget.
     """
-    size = F.length(line)
-    d = first_rows(df.withColumn("_len", size).filter(F.col("_len") > 0), keys, order, n + 1, "_rn")
-    w = Window.partitionBy(*keys).orderBy("_rn").rowsBetween(Window.unboundedPreceding, 0)
-    d = d.withColumn(out, F.sum("_len").over(w))
+    d = df.withColumn("_len", F.length(line)).filter(F.col("_len") > 0).withColumn("_part", F.pmod(F.xxhash64(*order), F.lit(parts)))
+    part = Window.partitionBy(*keys, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    d = d.withColumn("_before", F.coalesce(F.sum("_len").over(part), F.lit(0))).filter(F.col("_before") <= n).drop("_part", "_before")
+    whole = Window.partitionBy(*keys).orderBy(*order)
+    d = d.withColumns({"_rn": F.row_number().over(whole), out: F.sum("_len").over(whole.rowsBetween(Window.unboundedPreceding, 0))})
     keep = F.col(out) <= n if mode == "stop_before" else (F.col(out) - F.col("_len")) <= n
     return d.filter(keep).drop("_len")

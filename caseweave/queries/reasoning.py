@@ -58,11 +58,12 @@ def corpus_tables(t):
     return queries, chunks
 
 
-@query("r02_doc_boost", f"WITH {QSQL} SELECT qid AS query_id, d AS doc_id, CAST({BOOST} AS DOUBLE) AS boost FROM q, (SELECT p_size % 5 k, p_partkey k2 FROM part) x, (SELECT DISTINCT d FROM c) y WHERE k2 = qid AND d = k")
+@query("r02_doc_boost", f"WITH {QSQL} SELECT qid AS query_id, d AS doc_id, CAST({BOOST} AS DOUBLE) AS boost FROM q, (SELECT unnest([0, 1, 2, 3, 4])::BIGINT d)")
 def _(t):
     q, _ = corpus_tables(t)
-    doc = C("p_size") % 5
-    return q.select("query_id", doc.alias("doc_id"), co.doc_boost(C("query"), text("doc", doc), BRULES, BSPECIAL).alias("boost"))
+    doc = C("doc_id")
+    q = q.withColumn("doc_id", F.explode(F.array(*map(F.lit, range(5)))))
+    return q.select("query_id", "doc_id", co.doc_boost(C("query"), text("doc", doc), BRULES, BSPECIAL).alias("boost"))
 
 
 @query("r03_score_chunks", f"WITH {QSQL}, s AS (SELECT qid, item_id, CAST({POINTS} + {BOOST} AS DOUBLE) score FROM q, c) SELECT qid AS query_id, item_id AS chunk_id, score FROM s WHERE score > 0")
@@ -82,7 +83,7 @@ def _(t):
 
 
 @query("r05_search_in_docs", """
-WITH k AS (SELECT p_partkey qid, p_size % 5 d, unnest(['tion','inha','zz','er']) t, unnest([true,true,false,false]) core FROM part WHERE p_type <> 'PROMO'),
+WITH k AS (SELECT p_partkey qid, p_size % 5 d, unnest(['tion','inha','zz','er']) t, unnest([true,true,false,false]) core FROM part),
 c AS (SELECT item_id, item_id // 8 d, lower('doc' || (item_id // 8) || chr(10) || chr(10) || chr(10) || text) h, lower(text) b FROM benchmark),
 m AS (SELECT qid, item_id, c.d, t, core, least((length(h)-length(replace(h,t,'')))//length(t), 6) hits, contains(b,t) ib FROM k JOIN c ON k.d = c.d WHERE contains(h,t)),
 f AS (SELECT qid, t, count(*) df FROM m WHERE ib AND core GROUP BY 1, 2),
@@ -91,7 +92,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY qid, d ORDER BY round(score,9) D
 SELECT qid AS query_id, item_id AS chunk_id, rn FROM r WHERE rn <= 5""")
 def _(t):
     _, c = corpus_tables(t)
-    d = t.part.filter(C("p_type") != "PROMO")
+    d = t.part
     scope = d.select(C("p_partkey").alias("query_id"), (C("p_size") % 5).cast("bigint").alias("doc_id"))
     return co.search_in_docs(d.select(C("p_partkey").alias("query_id"), S("Tion inha zz er").alias("keywords")), scope, c).select("query_id", "chunk_id", "rn")
 
@@ -123,7 +124,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY qid, d ORDER BY round(score,9) D
 SELECT qid AS case_id, item_id AS chunk_id FROM r WHERE rn <= 5""")
 def _(t):
     _, c = corpus_tables(t)
-    d = t.part.filter(C("p_type").isin("SMALL", "LARGE"))
+    d = t.part
     req = d.select(C("p_partkey").alias("case_id"), F.when(C("p_type") == "SMALL", "level").otherwise("other").alias("item"))
     choices = d.select(C("p_partkey").alias("case_id"), S("tion er").alias("keywords"), F.array(S("9.9")).alias("codes"))
     docs = c.select("doc_id", C("doc_title").alias("title"), NULL("string").alias("file_name")).distinct()
@@ -147,23 +148,25 @@ def _(t):
 
 
 @query("e01_build_corpus", f"""
-WITH f AS (SELECT source, doc_id, CASE quality WHEN 1 THEN 'confirmed' WHEN 0 THEN CASE toxic WHEN 1 THEN 'excluded' ELSE 'system_verified' END END s FROM {LABELLED} WHERE lang = 'de'),
+WITH f AS (SELECT source, doc_id, CASE quality WHEN 1 THEN 'confirmed' WHEN 0 THEN CASE toxic WHEN 1 THEN 'excluded' ELSE 'system_verified' END END s FROM {LABELLED} WHERE lang IN ('de','en')),
 u AS (SELECT * FROM f WHERE s IN ('confirmed','system_verified'))
 SELECT source AS case_id, 'medical_event' AS kind, doc_id AS id FROM u
-UNION ALL SELECT source, 'imaging_report', doc_id FROM documents WHERE lang = 'es' AND source NOT IN (SELECT source FROM u)""")
+UNION ALL SELECT source, 'imaging_report', doc_id FROM documents WHERE lang NOT IN ('de','en') AND source NOT IN (SELECT source FROM u)
+UNION ALL SELECT o_custkey::VARCHAR, 'hospital_record', o_orderkey FROM orders WHERE o_orderstatus = 'F'
+UNION ALL SELECT o_custkey::VARCHAR, 'medical_event', l_orderkey * 10 + l_linenumber FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_custkey, l_orderkey, l_linenumber HAVING max(l_returnflag) = 'A'""")
 def _(t):
     d = labelled(t)
-    facts = d.filter(C("lang") == "de").select(
+    facts = d.filter(C("lang").isin("de", "en")).select(
         C("source").alias("case_id"), C("doc_id").alias("fact_id"), C("doc_id").alias("source_id"), S("medical_event").alias("source_kind"), S("medical_event").alias("fact_type"), S("exam").alias("fact_role"), S("").alias("fact_date"), S("").alias("org"),
         C("lang").alias("title"), F.substring("text", 1, 50).alias("summary"), S("").alias("quote"), F.array(S(1)).alias("source_pages"), review().alias("review_status"), S("core").alias("importance"),
     )
     x = fact_tables(t)
-    es = d.filter(C("lang") == "es").select(
+    other = d.filter(~C("lang").isin("de", "en")).select(
         C("source").alias("case_id"), C("doc_id").alias("report_id"), S("o").alias("org"), S("2024").alias("date"), NULL("string").alias("datetime"), S("CT").alias("exam_type"), S("p").alias("exam_part"), S("").alias("film_no"), C("text").alias("content"),
         F.array(S(1)).alias("source_pages"), S("pending").alias("review_status"),
     )
     as_text = lambda r: r.withColumn("case_id", C("case_id").cast("string"))
-    return ru.build_corpus(facts, as_text(x["records"]).filter(S(False)), as_text(x["events"]).filter(S(False)), es).select("case_id", "kind", "id")
+    return ru.build_corpus(facts, as_text(x["records"]), as_text(x["events"]), other).select("case_id", "kind", "id")
 
 
 SPECS = [
@@ -452,4 +455,4 @@ def _(t):
     def start(w, f):
         return w.foreachBatch(streams.stream_merge(t.spark, f)).start()
 
-    return streams.latest_snapshot(t.spark, run_stream(t, s, "snapshots", start), 0).select("case_id", "fact_key", "summary")
+    return streams.latest_snapshot(t.spark, run_stream(t, s, "snapshots", start)).select("case_id", "fact_key", "summary")

@@ -261,7 +261,7 @@ WITH g AS (SELECT s_suppkey, s_nationkey FROM supplier WHERE s_nationkey < 20),
 p AS (SELECT CASE WHEN c_mktsegment <> 'BUILDING' THEN c_custkey % 120 END grp, c_nationkey, c_acctbal > 0 done, c_mktsegment <> 'MACHINERY' has FROM customer),
 a AS (SELECT grp, count(*) n, count(*) FILTER (WHERE done AND has) c FROM p WHERE grp IS NOT NULL GROUP BY 1)
 SELECT s_nationkey::BIGINT AS case_id, s_suppkey AS group_id, COALESCE(n,0) AS n_pages, COALESCE(c,0) AS n_completed, r.o IS NOT NULL AS has_record FROM g LEFT JOIN a ON grp = s_suppkey
- LEFT JOIN (SELECT o_orderkey % 300 k, min(o_orderkey) o FROM orders WHERE o_orderstatus = 'P' GROUP BY 1) r ON r.k = s_suppkey
+ LEFT JOIN (SELECT o_orderkey % 300 k, min(o_orderkey) o FROM orders GROUP BY 1) r ON 2 * r.k = s_suppkey
 UNION ALL SELECT c_nationkey::BIGINT, NULL, count(*), count(*) FILTER (WHERE done), false FROM p WHERE grp IS NULL AND c_nationkey NOT IN (SELECT s_nationkey FROM g) GROUP BY 1""")
 def _(t):
     groups = t.supplier.select(C("s_nationkey").alias("case_id"), C("s_suppkey").alias("group_id"), C("s_name").alias("name"), S(1).alias("sort_order"), F.when(C("s_nationkey") < 20, "medical_record").otherwise("x").alias("type"))
@@ -269,6 +269,6 @@ def _(t):
         C("c_nationkey").alias("case_id"), F.when(C("c_mktsegment") != "BUILDING", C("c_custkey") % 120).alias("group_id"), S("medical_record").alias("type"),
         F.when(C("c_acctbal") > 0, "completed").otherwise("failed").alias("status"), F.when(C("c_mktsegment") == "MACHINERY", "").otherwise("t").alias("text"),
     )
-    records = t.orders.filter(C("o_orderstatus") == "P").select((C("o_orderkey") % 300).alias("group_id"), C("o_orderkey").alias("record_id"))
+    records = t.orders.select((C("o_orderkey") % 300 * 2).alias("group_id"), C("o_orderkey").alias("record_id"))
     records = records.join(t.supplier.select(C("s_suppkey").alias("group_id"), C("s_nationkey").alias("case_id")), "group_id")
     return jo.group_status(groups, pages, records).select("case_id", "group_id", "n_pages", "n_completed", "has_record")

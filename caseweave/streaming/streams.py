@@ -56,6 +56,16 @@ def stream_correct(pages: DataFrame, text: str = "text") -> DataFrame:
     return d.groupBy("file").applyInPandasWithState(run, schema, "at int", "append", GroupStateTimeout.NoTimeout)
 
 
+def snapshots(spark: SparkSession, folder: str) -> list[int]:
+    """Numbers of the finished snapshots under ``folder``, ascending."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(path) if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
+    return sorted(int(n[1:]) for n in names if n.startswith("n"))
+
+
 def stream_merge(spark: SparkSession, folder: str):
     """A foreachBatch function that merges fact payloads into snapshots under ``folder``.
 
@@ -63,17 +73,9 @@ def stream_merge(spark: SparkSession, folder: str):
     batch writes the same snapshot again. Facts not in the batch stay as they are.
     """
 
-    def snapshots() -> list[int]:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-        if not fs.exists(path):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(path)]
-        return sorted(int(n[1:]) for n in names if n.startswith("n"))
-
     def merge(batch: DataFrame, n: int) -> None:
         newest = first_rows(batch, ["case_id", "fact_key"], [F.col("ord").desc()], 1, "_rn").drop("_rn", "ord")
-        before = [k for k in snapshots() if k < n]
+        before = [k for k in snapshots(spark, folder) if k < n]
         if before:
             old = spark.read.parquet(os.path.join(folder, f"n{before[-1]:08d}"))
             keys = newest.select("case_id", "fact_key")
@@ -87,5 +89,5 @@ def stream_merge(spark: SparkSession, folder: str):
     return merge
 
 
-def latest_snapshot(spark: SparkSession, folder: str, n: int) -> DataFrame:
-    return spark.read.parquet(os.path.join(folder, f"n{n:08d}"))
+def latest_snapshot(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.parquet(os.path.join(folder, f"n{snapshots(spark, folder)[-1]:08d}"))
