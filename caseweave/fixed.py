@@ -129,3 +129,12 @@ NO_REFERENCES = "未检索到可用规范依据。"
 # --- event proposal ----------------------------------------------------------
 AUTO_FLAG = "auto_event"
 FALLBACK_FLAG = "rule_fallback_from_ocr"
+
+# Candidates and checks of the analysis text (fixed values).
+CANDIDATE_DEFAULTS = {"grade": "需人工核对", "suggestion": "需人工核对", "reason": "材料中存在相关事实，但仍需结合条款成立条件人工核对。"}
+PERIOD_GRADE = "三期范围"
+PERIOD_CATEGORY = "三期"
+PERIOD_TERMS = ["误工", "护理", "营养"]
+COUNT_UNKNOWN = "不明"
+CODE_CONFLICTS = [("hip_joint_replacement", "5.9.2", "髋", "髋关节置换候选已满足，但文本中出现 5.9.2，请人工核对条款号是否误引。")]
+FALLBACK_WARNING = "LLM 输出含候选清单或工作痕迹，已改用已采信事实生成保守版分析说明。"

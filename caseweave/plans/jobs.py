@@ -4,13 +4,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from caseweave import fixed
 from caseweave.functions.classify import PREDICTION, Rules, classify_page
 from caseweave.functions.predicates import has_work_trace, request_flags
 from caseweave.functions.text import clean_generated, drop_blocks
 from caseweave.operators.joins import canonicalize
+from caseweave.operators.merge import sync_candidates
 from caseweave.operators.sequence import correct_sequence
 from caseweave.plans.assembly import analysis_text
-from caseweave.plans.rules import repair_text, validate_text
+from caseweave.plans.rules import collect_refs, repair_text, validate_text
 from caseweave.session import cut_lineage
 
 FOLLOWUP_TERMS = ["后续治疗费", "后续治疗费用", "后期医疗费用", "后期治疗费", "医疗费用", "后续治疗项目"]
@@ -62,15 +64,19 @@ def analysis_counters(analysed: DataFrame) -> DataFrame:
 
 def analyse(
     cases: DataFrame, cands: DataFrame, generated: DataFrame | None = None, fixes: list[tuple[str, str]] = (), fix_for: str = "",
-    openers: list[str] = OPENERS, terms: list[str] = FOLLOWUP_TERMS, trace: dict | None = None,
+    openers: list[str] = OPENERS, terms: list[str] = FOLLOWUP_TERMS, trace: dict | None = None, stored: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
     """Guarded text per case. The supplied text is cleaned, repaired, rid of blocks that were
     not asked for and checked; where it fails, the conservative text takes its place.
 
     cases: case_id, person, request, accident, diagnoses; cands as for analysis_text, with
-    candidate_key, confidence, must_mention. Answers ``texts`` (text, method, dropped) and
-    ``warnings`` (distinct).
+    candidate_key, confidence, must_mention and, if their references are wanted, standards.
+    With ``stored`` (saved candidates) the candidates are synced first, so a saved status
+    stands. Answers ``texts`` (text, method, dropped), ``warnings`` (distinct), ``candidates``
+    and, with standards, ``references``.
     """
+    if stored is not None:
+        cands = cut_lineage(sync_candidates(stored, cands))
     c = cases.withColumn("flags", request_flags(F.coalesce("request", F.lit(""))))
     safe = analysis_text(c, cands).withColumnRenamed("text", "_safe")
     d = c.select("case_id", "flags").join(safe, "case_id")
@@ -84,7 +90,12 @@ def analyse(
     d = d.withColumn("_bad", has_work_trace(F.col("_r.text"), **(trace or {})))
     texts = d.select(
         "case_id", F.when(F.col("_bad"), F.col("_safe")).otherwise(F.col("_r.text")).alias("text"), F.when(F.col("_bad"), "fallback").otherwise("supplied").alias("method"),
-        F.col("_r.dropped").alias("dropped"),
+        F.col("_r.dropped").alias("dropped"), (F.col("_bad") & (F.coalesce("text", F.lit("")) != "")).alias("_replaced"),
     )
     notes = texts.filter("dropped").select("case_id", F.lit("已移除未在委托事项中的后续治疗费/后期医疗费用段落。").alias("warning"))
-    return {"texts": texts, "warnings": validate_text(texts.select("case_id", "text"), cands).unionByName(notes).distinct()}
+    notes = notes.unionByName(texts.filter("_replaced").select("case_id", F.lit(fixed.FALLBACK_WARNING).alias("warning")))
+    texts = texts.drop("_replaced")
+    out = {"texts": texts, "candidates": cands, "warnings": validate_text(texts.select("case_id", "text"), cands).unionByName(notes).distinct()}
+    if "standards" in cands.columns:
+        out["references"] = collect_refs(cands)
+    return out

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from caseweave import fixed
 from caseweave.functions.extract import has_item_combo, max_item_count, max_range_count
-from caseweave.functions.predicates import contains_any, has_procedure, has_sign
+from caseweave.functions.predicates import contains_any, has_positive_hit, has_procedure, has_sign
 from caseweave.functions.text import clip_hard, join_nonempty, squeeze
 from caseweave.operators.joins import default_status, match_evidence
 from caseweave.operators.split import first_rows
@@ -59,60 +59,98 @@ def build_corpus(facts: DataFrame, records: DataFrame, events: DataFrame, report
     return fact_corpus(used).unionByName(rest(raw_corpus(records, events, reports)))
 
 
-# Rule kinds: how the ten best evidence texts of a spec decide.
-def _spec_decision(spec: dict, text: Column) -> dict[str, Column]:
-    kind = spec.get("kind", "default")
-    lit = F.lit
-    met, conf = lit(True), lit(int(spec.get("conf_met", 80)))
-    un = int(spec.get("conf_uncertain", 60))
-    if kind == "count":
-        met = max_range_count(text) >= int(spec.get("threshold", 6))
-    elif kind == "any_term":
-        met = contains_any(text, spec["met_any"])
-    elif kind == "two_conditions":
-        met = contains_any(text, spec["met_any"]) & has_sign(text, spec["signs"], spec.get("no_signs", []))
-    elif kind == "items":
-        met = (max_item_count(text) >= int(spec.get("threshold", 7))) | has_item_combo(text)
-    elif kind == "uncertain":
-        met = lit(False)
-        high = contains_any(text, spec.get("met_any", []))
-        return {"met": met, "confidence": F.when(high, int(spec.get("conf_met", un))).otherwise(un), "suffix": lit("")}
-    elif kind == "variant":
-        special = contains_any(text, spec["met_any"])
-        return {"met": met, "confidence": F.when(special, int(spec["conf_met"])).otherwise(un), "suffix": F.when(special, spec.get("suffix", "_open")).otherwise("")}
-    return {"met": met, "confidence": F.when(met, conf).otherwise(un), "suffix": lit("")}
-
-
-def decide(corpus: DataFrame, specs: list[dict], k: int = 10) -> DataFrame:
-    """One candidate per (case, spec) with evidence: decision, confidence, evidence array.
+# --- candidates --------------------------------------------------------------
+
+_TEXTS = ("grade", "suggestion", "reason")
+SPEC = (
+    "struct<title:string,category:string,kind:string,include:array<string>,met_any:array<string>,threshold:int,conf_met:int,conf_uncertain:int,suffix:string,"
+    + ",".join(f"{c}_{o}:string" for c in _TEXTS for o in ("met", "uncertain"))
+    + ",clause_keys:array<string>,special_keys:array<string>,must_mention:array<string>>"
+)
+
+
+def _spec_row(s: dict) -> Column:
+    """The values of one spec; a text that is not given for an outcome falls back to the general one."""
+    kind = s.get("kind", "default")
+    least = {"count": 6, "items": 7}.get(kind, 0)
+    met = int(s.get("conf_met", s.get("conf_uncertain", 60) if kind == "uncertain" else 80))
+    plain = dict(fixed.CANDIDATE_DEFAULTS, **({"grade": fixed.PERIOD_GRADE} if kind == "default" else {}))
+    said = {f"{c}_{o}": s.get(f"{c}_{o}") or s.get(c) or s.get(f"{c}_uncertain") or plain[c] for c in _TEXTS for o in ("met", "uncertain")}
+    must = s.get("must_mention") or (fixed.PERIOD_TERMS if s.get("category") == fixed.PERIOD_CATEGORY else [])
+    keys = s.get("clause_keys") or []
+    values = [
+        s.get("title"), s.get("category") or "", kind, s["include"], s.get("met_any") or [], int(s.get("threshold", least)), met, int(s.get("conf_uncertain", 60)), s.get("suffix", "_open"),
+        *said.values(), keys, s.get("special_keys") or keys, must,
+    ]
+    return F.struct(*[F.array(*map(F.lit, x)) if isinstance(x, list) and x else F.array().cast("array<string>") if isinstance(x, list) else F.lit(x) for x in values]).cast(SPEC)
+
+
+def spec_of(specs: list[dict], ident: Column) -> Column:
+    """A spec's values by its id: one literal map, so expressions do not grow with the specs."""
+    return F.element_at(F.create_map(*[c for s in specs for c in (F.lit(s["spec_id"]), _spec_row(s))]), ident)
+
+
+def decide(corpus: DataFrame, specs: list[dict], k: int = 10, requests: DataFrame | None = None) -> DataFrame:
+    """One candidate per (case, spec) with evidence: candidate_key, title, category, decision,
+    confidence, grade, suggestion, reason, clause_keys, must_mention, evidence and warnings.
 
     Only the ``k`` best evidence rows of a spec are kept, map-side, before anything is
-    collected. A ``repair`` spec keeps only the evidence that passes its procedure test.
+    collected. The kind of a spec says how the joined texts decide: ``count``, ``items``,
+    ``any_term``, ``two_conditions``, ``uncertain``, ``variant``, ``repair``, ``deformity`` or
+    default (met). A ``repair`` spec keeps only the evidence that passes its procedure test, a
+    ``deformity`` spec the evidence with a hit that is not negated. "{n}" in a suggestion is the
+    number found. A spec with ``asked`` needs one of those words in the case's request
+    (``requests``: case_id, request). Evidence of one kind and id is named once.
     """
+    sid, t = F.col("spec_id"), F.col("text")
     d = match_evidence(corpus, specs)
-    t = F.col("text")
-    d = d.withColumn("_n", max_range_count(t))
-    score = F.lit(0)
+    by_terms = evidence_score(t, F.col("kind"), F.col("source_pages"), F.col("review_status"), [], EVIDENCE_BONUS, max_range_count(t))
+    include = spec_of(specs, sid)["include"]
+    score = by_terms + F.aggregate(include, F.lit(0), lambda n, w: n + F.when(F.contains(t, w), F.length(w)).otherwise(0))
+    asked = [s for s in specs if s.get("asked")]
+    if asked:
+        if requests is None:
+            raise ValueError("specs with asked words need the requests")
+        d = d.join(requests.select("case_id", F.coalesce("request", F.lit("")).alias("_request")), "case_id", "left")
+        for s in asked:
+            d = d.filter((sid != s["spec_id"]) | contains_any(F.col("_request"), s["asked"]))
+    d = top_evidence(d.withColumns({"score": score, "ord": F.struct("kind", "id")}), ["case_id", "spec_id"], k)
     for s in specs:
-        score = F.when(F.col("spec_id") == s["spec_id"], evidence_score(t, F.col("kind"), F.col("source_pages"), F.col("review_status"), s["include"], EVIDENCE_BONUS, F.col("_n"))).otherwise(score)
-    d = d.withColumns({"score": score, "ord": F.struct("kind", "id")})
-    d = top_evidence(d, ["case_id", "spec_id"], k)
-    for s in [s for s in specs if s.get("kind") == "repair"]:
-        d = d.filter((F.col("spec_id") != s["spec_id"]) | has_procedure(t, **s["procedure"]))
+        own = F.when(sid == s["spec_id"], t)
+        if s.get("kind") == "repair":
+            d = d.filter((sid != s["spec_id"]) | has_procedure(own, **s["procedure"]))
+        if s.get("kind") == "deformity":
+            d = d.filter((sid != s["spec_id"]) | has_positive_hit(own, **s["positive"]))
     ev = F.struct("rn", *[c for c in EVIDENCE_COLS if c not in ("case_id", "text")])
     g = d.groupBy("case_id", "spec_id").agg(
         F.array_sort(F.collect_list(ev)).alias("evidence"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rn", "text"))), lambda x: x["text"]), " ").alias("text"),
     )
-    met, conf, suffix = F.lit(True), F.lit(80), F.lit("")
-    cols = {"title": F.lit(None), "category": F.lit(None)}
-    for s in specs:
-        one = F.col("spec_id") == s["spec_id"]
-        out = _spec_decision(s, t)
-        met, conf, suffix = F.when(one, out["met"]).otherwise(met), F.when(one, out["confidence"]).otherwise(conf), F.when(one, out["suffix"]).otherwise(suffix)
-        cols = {c: F.when(one, F.lit(s.get(c))).otherwise(v) for c, v in cols.items()}
-    g = g.withColumns({"_met": met, "confidence": conf, "candidate_key": F.concat("spec_id", suffix), **cols})
-    return g.withColumn("decision", F.when(F.col("_met"), "met").otherwise("uncertain")).drop("_met", "text")
+    g = g.withColumn("_s", spec_of(specs, sid)).withColumns({"_n": max_range_count(t), "_hit": contains_any(t, F.col("_s.met_any"))})
+    kind, hit, s = F.col("_s.kind"), F.col("_hit"), F.col("_s")
+    signs = F.lit(False)
+    for x in [x for x in specs if x.get("kind") == "two_conditions"]:
+        signs = F.when(sid == x["spec_id"], has_sign(t, x["signs"], x.get("no_signs", []))).otherwise(signs)
+    met = (
+        F.when(kind == "count", F.col("_n") >= s["threshold"])
+        .when(kind == "items", (max_item_count(t) >= s["threshold"]) | has_item_combo(t))
+        .when(kind.isin("any_term", "deformity"), hit).when(kind == "two_conditions", hit & signs)
+        .when(kind == "uncertain", False).otherwise(True)
+    )
+    g = g.withColumn("_met", F.coalesce(met, F.lit(False)))
+    sure = F.when(kind.isin("uncertain", "variant"), hit).otherwise(F.col("_met"))
+    said = {c: F.when(F.col("_met"), s[f"{c}_met"]).otherwise(s[f"{c}_uncertain"]) for c in _TEXTS}
+    said["suggestion"] = F.replace(said["suggestion"], F.lit("{n}"), F.when(F.col("_n") > 0, F.col("_n").cast("string")).otherwise(fixed.COUNT_UNKNOWN))
+    special = (kind == "variant") & hit
+    first = F.filter("evidence", lambda e, i: ~F.exists(F.slice("evidence", 1, i), lambda o: o["kind"].eqNullSafe(e["kind"]) & o["id"].eqNullSafe(e["id"])))
+    g = g.withColumns(
+        {
+            "candidate_key": F.concat("spec_id", F.when(special, s["suffix"]).otherwise("")), "title": s["title"], "category": s["category"],
+            "decision": F.when(F.col("_met"), "met").otherwise("uncertain"), "confidence": F.when(sure, s["conf_met"]).otherwise(s["conf_uncertain"]),
+            **said, "clause_keys": F.when(special, s["special_keys"]).otherwise(s["clause_keys"]), "must_mention": s["must_mention"], "evidence": first,
+        }
+    )
+    return g.withColumn("warnings", candidate_warnings(F.col("decision"), F.col("evidence"))).drop("_s", "_n", "_hit", "_met", "text")
 
 
 WARN_UNCERTAIN = "该候选证据不足或条款映射未稳定，不能直接写成正式结论。"
@@ -140,12 +178,17 @@ def collect_refs(cands: DataFrame, refs: str = "standards") -> DataFrame:
     return dedupe_first(d, ["case_id", "ident"], [F.col("ord"), F.col("pos")]).select("case_id", "ident", "ord", "pos", "ref")
 
 
-def validate_text(texts: DataFrame, cands: DataFrame, persons: DataFrame | None = None, genders: tuple[str, str] = ("男", "女")) -> DataFrame:
-    """Warnings per case (long form). texts: case_id, text; cands: case_id, title, decision,
-    status, confidence, must_mention."""
-    good = cands.filter(accepted(F.col("decision"), F.col("status"), F.col("confidence")) & (F.size("must_mention") > 0))
-    d = good.select("case_id", "title", "must_mention").join(texts, "case_id")
-    miss = d.filter(~contains_any(F.col("text"), F.col("must_mention"))).select("case_id", F.concat(F.lit("分析说明可能遗漏已满足候选："), "title", F.lit("。")).alias("warning"))
+def validate_text(texts: DataFrame, cands: DataFrame, persons: DataFrame | None = None, genders: tuple[str, str] = ("男", "女"), conflicts=fixed.CODE_CONFLICTS) -> DataFrame:
+    """Warnings per case (long form). texts: case_id, text; cands: case_id, candidate_key, title,
+    decision, status, confidence, must_mention. ``conflicts``: (candidate, code, word, warning)
+    for a text that cites the code beside the word although the candidate is accepted."""
+    good = cands.filter(accepted(F.col("decision"), F.col("status"), F.col("confidence")))
+    d = good.filter(F.size("must_mention") > 0).select("case_id", "title", "must_mention").join(texts, "case_id")
+    clash = F.array_compact(F.array(*[
+        F.when((F.col("candidate_key") == key) & F.contains("text", F.lit(code)) & F.contains("text", F.lit(word)), F.lit(said)) for key, code, word, said in conflicts
+    ]))
+    clash = good.select("case_id", "candidate_key").join(texts, "case_id").select("case_id", F.explode(clash).alias("warning")).distinct()
+    miss = d.filter(~contains_any(F.col("text"), F.col("must_mention"))).select("case_id", F.concat(F.lit("分析说明可能遗漏已满足候选："), "title", F.lit("。")).alias("warning")).unionByName(clash)
     if persons is None:
         return miss
     p = texts.join(persons.filter((F.col("name") != "") & F.col("gender").isin(*genders)), "case_id")

@@ -193,21 +193,33 @@ def _(t):
     return ru.decide(evidence_rows(t), SPECS).select("case_id", "candidate_key", "decision", "confidence", joined(C("evidence.id")).alias("ids"))
 
 
-@query("e02_rule_kinds")
+@query("e02_rule_kinds", """
+WITH r AS (SELECT l_orderkey k, l_linenumber n, l_quantity::INT q, l_partkey p, row_number() OVER (PARTITION BY l_orderkey ORDER BY CASE WHEN l_quantity::INT > 25 THEN 5 ELSE 0 END + CASE WHEN l_linenumber > 6 THEN 15 ELSE 0 END DESC, l_partkey) rn FROM lineitem),
+c AS (SELECT k, max(n) n, max(q) q, count(DISTINCT p) ids, count(DISTINCT CASE WHEN q > 25 THEN p END) big FROM r WHERE rn <= 10 GROUP BY 1),
+d AS (SELECT k, 'ribs' AS candidate_key, n > 6 AS met, 88 a, 62 b, CASE WHEN n > 6 THEN '已识别约' ELSE '需核对，约' END || CASE WHEN n > 1 THEN (n - 1)::VARCHAR ELSE '不明' END || '根' suggestion, '' must, ids FROM c
+ UNION ALL SELECT k, 'teeth', n > 6, 82, 55, '需人工核对', '', ids FROM c
+ UNION ALL SELECT k, 'brain', true, 84, 62, '需人工核对', '误工|护理|营养', ids FROM c WHERE k % 2 = 0
+ UNION ALL SELECT k, 'spleen', true, 82, 60, '可按候选处理', '修补', big FROM c WHERE q > 25
+ UNION ALL SELECT k, 'pelvis', true, 84, 68, '需人工核对', '', big FROM c WHERE q > 25)
+SELECT k AS case_id, candidate_key, CASE WHEN met THEN 'met' ELSE 'uncertain' END AS decision, CASE WHEN met THEN a ELSE b END::BIGINT AS confidence, suggestion, must AS must_mention, ids AS n_evidence,
+ CASE WHEN met THEN '' ELSE '该候选证据不足或条款映射未稳定，不能直接写成正式结论。|' END || '部分来源事实尚未人工确认。' AS warnings FROM d""")
 def _(t):
     n, q = C("l_linenumber"), C("l_quantity").cast("int")
     d = t.lineitem.select(
         C("l_orderkey").alias("case_id"), S("medical_event").alias("kind"), C("l_partkey").alias("id"), S("").alias("date"), S("").alias("org"), S("").alias("title"), S("").alias("summary"), S("").alias("quote"),
-        text("肋骨骨折：右第2-", n, "肋；牙齿缺失", n, "枚，肌力", q, "级。脾", F.when(q > 25, "破裂修补").otherwise("正常"), "；软化灶").alias("text"), F.array(S(1)).alias("source_pages"), S("pending").alias("review_status"),
+        text("肋骨骨折：右第2-", n, "肋；牙齿缺失", n, "枚，肌力", q, "级。脾", F.when(q > 25, "破裂修补").otherwise("正常"), "；软化灶。", F.when(q > 25, "骨盆骨折，畸形愈合").otherwise("未见骨盆骨折")).alias("text"), F.array(S(1)).alias("source_pages"), S("pending").alias("review_status"),
     )
     repair = {"act": "修补", "subjects": ["脾"], "direct": ["脾破裂修补"], "excluded": "肠系膜修补", "unless": ["胃修补"]}
     specs = [
-        {"spec_id": "ribs", "kind": "count", "include": ["肋骨骨折"], "conf_met": 88, "conf_uncertain": 62},
+        {"spec_id": "ribs", "kind": "count", "include": ["肋骨骨折"], "conf_met": 88, "conf_uncertain": 62, "suggestion_met": "已识别约{n}根", "suggestion_uncertain": "需核对，约{n}根"},
         {"spec_id": "teeth", "kind": "items", "include": ["牙"], "conf_met": 82, "conf_uncertain": 55},
-        {"spec_id": "brain", "kind": "two_conditions", "include": ["软化灶"], "met_any": ["软化灶"], "signs": ["肌力"], "no_signs": ["肌力正常"], "conf_met": 84, "conf_uncertain": 62},
-        {"spec_id": "spleen", "kind": "repair", "include": ["脾"], "procedure": repair, "conf_met": 82},
+        {"spec_id": "brain", "kind": "two_conditions", "include": ["软化灶"], "met_any": ["软化灶"], "signs": ["肌力"], "no_signs": ["肌力正常"], "conf_met": 84, "conf_uncertain": 62, "category": "三期", "asked": ["误工"]},
+        {"spec_id": "spleen", "kind": "repair", "include": ["脾"], "procedure": repair, "conf_met": 82, "suggestion": "可按候选处理", "must_mention": ["修补"]},
+        {"spec_id": "pelvis", "kind": "deformity", "include": ["骨盆"], "met_any": ["畸形愈合"], "positive": {"patterns": ["骨盆骨折"], "negatives": ["未见"], "window": 2}, "conf_met": 84, "conf_uncertain": 68},
     ]
-    return ru.decide(d, specs).groupBy("candidate_key", "decision").agg(F.count(S(1)).alias("n"))
+    asked = t.orders.select(C("o_orderkey").alias("case_id"), F.when(C("o_orderkey") % 2 == 0, "误工期").otherwise("伤残等级").alias("request"))
+    r = ru.decide(d, specs, requests=asked)
+    return r.select("case_id", "candidate_key", "decision", "confidence", "suggestion", joined(C("must_mention"), "|").alias("must_mention"), F.size("evidence").alias("n_evidence"), joined(C("warnings"), "|").alias("warnings"))
 
 
 @query("e03_candidate_warnings", """
@@ -232,11 +244,12 @@ def _(t):
 
 @query("e05_validate_text", """
 SELECT conv_id * 1000 + turn AS case_id, '分析说明可能遗漏已满足候选：r' || role || '。' AS warning FROM conversations WHERE role <> 'system' AND NOT contains(text,'tion') AND NOT contains(text,'lich')
-UNION ALL SELECT conv_id * 1000 + turn, '分析说明中可能出现被鉴定人性别错误，应以基本情况中的“男”为准。' FROM conversations WHERE role = 'user' AND turn > 2""")
+UNION ALL SELECT conv_id * 1000 + turn, '分析说明中可能出现被鉴定人性别错误，应以基本情况中的“男”为准。' FROM conversations WHERE role = 'user' AND turn > 2
+UNION ALL SELECT DISTINCT conv_id * 1000 + turn, '髋关节置换候选已满足，但文本中出现 5.9.2，请人工核对条款号是否误引。' FROM conversations WHERE role = 'assistant'""")
 def _(t):
     key = (C("conv_id") * 1000 + C("turn")).alias("case_id")
-    texts = t.conversations.select(key, text(C("text"), F.when(C("turn") > 2, "张三. 张三(a)，现年30岁 女").otherwise("")).alias("text"))
-    cands = t.conversations.select(key, text("r", C("role")).alias("title"), F.when(C("role") == "system", "uncertain").otherwise("met").alias("decision"), NULL("string").alias("status"), S(85).alias("confidence"), F.array(S("tion"), S("lich")).alias("must_mention"))
+    texts = t.conversations.select(key, text(C("text"), F.when(C("role") == "assistant", "髋 5.9.2").otherwise(""), F.when(C("turn") > 2, "张三. 张三(a)，现年30岁 女").otherwise("")).alias("text"))
+    cands = t.conversations.select(key, S("hip_joint_replacement").alias("candidate_key"), text("r", C("role")).alias("title"), F.when(C("role") == "system", "uncertain").otherwise("met").alias("decision"), NULL("string").alias("status"), S(85).alias("confidence"), F.array(S("tion"), S("lich")).alias("must_mention"))
     persons = t.conversations.filter(C("role") == "user").select(key, S("张三(a)").alias("name"), S("男").alias("gender"))
     return ru.validate_text(texts, cands, persons)
 
