@@ -124,6 +124,11 @@ def related_reports(events: DataFrame, reports: DataFrame, k: int = 3) -> DataFr
     return events.join(text, "event_id", "left").fillna("", ["related"])
 
 
+def core_grams(core: Column) -> Column:
+    """Pairs of neighbouring characters of a name's core, and the core itself: similar names share one."""
+    return F.array_append(grams(core, 2), core)
+
+
 def canonicalize(
     df: DataFrame, aliases: DataFrame, confirmed: DataFrame, suffixes: list[str] = fixed.ORG_SUFFIXES, chars: str = r"一-龥",
     accept: float = 0.82, name: str = "name",
@@ -142,8 +147,8 @@ def canonicalize(
     good = good.groupBy("case_id", "_key").agg(F.min_by("name", "ord").alias("_good"), F.min("ord").alias("_ord"))
     good = good.withColumn("_gcore", name_core(F.col("_good"), suffixes, chars)).drop("_key")
 
-    left = open_names.withColumn("_gram", F.explode(F.array_append(grams(F.col("_core"), 2), F.col("_core"))))
-    right = good.withColumn("_gram", F.explode(F.array_append(grams(F.col("_gcore"), 2), F.col("_gcore"))))
+    left = open_names.withColumn("_gram", F.explode(core_grams(F.col("_core"))))
+    right = good.withColumn("_gram", F.explode(core_grams(F.col("_gcore"))))
     pairs = left.join(right, ["case_id", "_gram"]).select("case_id", "_raw", "_core", "_good", "_gcore", "_ord").distinct()
     scored = pairs.withColumn("_score", core_similarity(F.col("_core"), F.col("_gcore"), suffixes))
     best = scored.groupBy("case_id", "_raw").agg(F.max_by(F.struct("_good", "_score"), F.struct("_score", -F.col("_ord"))).alias("_best"))

@@ -8,7 +8,7 @@ from caseweave import fixed
 from caseweave.functions.classify import Rules, classify_subtype
 from caseweave.functions.extract import core_similarity, name_core
 from caseweave.functions.text import blank_to_null, compact_text, let
-from caseweave.operators.joins import canonicalize
+from caseweave.operators.joins import canonicalize, core_grams
 from caseweave.operators.split import first_rows, split_row_number
 
 LEGACY_TYPES = ["case_basic", "case_facts", "clinical_exam"]
@@ -213,7 +213,10 @@ def name_mapping(groups: DataFrame, requests: DataFrame, suffixes=fixed.ORG_SUFF
     r = r.join(same, ["case_id", "type", "canonical"], "left").withColumn("target_id", F.coalesce("_has", "group_id")).drop("_has")
     goal = r.select("case_id", "type", "canonical", "target_id", F.col("group_id").alias("_own"), name_core(F.col("canonical"), suffixes, chars).alias("_goal"))
     others = g.filter(~F.coalesce("is_confirmed", F.lit(False))).withColumn("_core", name_core(F.col("alias"), suffixes, chars))
-    near = others.join(goal, ["case_id", "type"]).filter((F.col("group_id") != F.col("target_id")) & (F.col("group_id") != F.col("_own")))
+    # Only names that share two neighbouring characters, or the whole core, can be similar.
+    left = others.withColumn("_gram", F.explode(core_grams(F.col("_core"))))
+    near = left.join(goal.withColumn("_gram", F.explode(core_grams(F.col("_goal")))), ["case_id", "type", "_gram"]).drop("_gram").distinct()
+    near = near.filter((F.col("group_id") != F.col("target_id")) & (F.col("group_id") != F.col("_own")))
     near = near.withColumn("_s", core_similarity(F.col("_core"), F.col("_goal"), suffixes)).filter(F.col("_s") >= accept)
     best = near.groupBy("group_id").agg(F.max_by(F.struct("case_id", "type", "canonical", "target_id", "alias"), F.struct("_s", -F.col("target_id"))).alias("b"))
     cols = ["group_id", "target_id", "case_id", "type", "alias", "canonical"]
@@ -236,7 +239,7 @@ def confirm_group_name(tables: dict[str, DataFrame], requests: DataFrame, suffix
     out["aliases"] = upsert_aliases(tables["aliases"], m.select("case_id", "alias", "canonical", F.col("group_id").alias("ord")))
     stored = tables["aliases"].join(m.select("case_id", "canonical").distinct(), ["case_id", "canonical"], "left_semi").select("case_id", "alias", "canonical")
     pairs = m.select("case_id", "alias", "canonical").unionByName(stored).distinct()
-    by_case = pairs.groupBy("case_id").agg(F.collect_set(F.struct("alias", "canonical")).alias("_pairs"))
+    by_case = pairs.filter((F.length("alias") >= 3) & (F.col("alias") != F.col("canonical"))).groupBy("case_id").agg(F.collect_set(F.struct("alias", "canonical")).alias("_pairs"))
     move = m.select("group_id", "target_id", F.col("canonical").alias("_name"), F.col("case_id").alias("_case"))
     p = tables["pages"].join(move.drop("_case"), "group_id", "left").join(by_case, "case_id", "left")
     touched = F.col("target_id").isNotNull()
@@ -251,10 +254,13 @@ def confirm_group_name(tables: dict[str, DataFrame], requests: DataFrame, suffix
         if name not in tables:
             continue
         d = tables[name]
-        orgs = d.select("case_id", "org").distinct().filter(_filled(F.col("org"))).join(goals, "case_id")
-        exact = pairs.select("case_id", F.col("alias").alias("org"), "canonical", F.lit(True).alias("_exact"))
-        s = core_similarity(name_core(F.col("org"), suffixes, chars), F.col("_goal"), suffixes)
-        orgs = orgs.join(exact, ["case_id", "org", "canonical"], "left").withColumn("_s", F.when(F.col("_exact") | (F.col("org") == F.col("canonical")), 2.0).otherwise(s))
+        orgs = d.select("case_id", "org").distinct().filter(_filled(F.col("org")))
+        exact = pairs.select("case_id", F.col("alias").alias("org"), "canonical").unionByName(goals.select("case_id", F.col("canonical").alias("org"), "canonical"))
+        exact = exact.join(goals.select("case_id", "canonical"), ["case_id", "canonical"], "left_semi").distinct()
+        exact = orgs.join(exact, ["case_id", "org"]).select("case_id", "org", "canonical", F.lit(2.0).alias("_s"))
+        left = orgs.withColumn("_core", name_core(F.col("org"), suffixes, chars)).withColumn("_gram", F.explode(core_grams(F.col("_core"))))
+        near = left.join(goals.withColumn("_gram", F.explode(core_grams(F.col("_goal")))), ["case_id", "_gram"]).select("case_id", "org", "_core", "canonical", "_goal").distinct()
+        orgs = exact.unionByName(near.select("case_id", "org", "canonical", core_similarity(F.col("_core"), F.col("_goal"), suffixes).alias("_s")))
         names = orgs.filter(F.col("_s") >= accept).groupBy("case_id", "org").agg(F.max_by("canonical", F.struct("_s", "canonical")).alias("_new"))
         d = d.join(names, ["case_id", "org"], "left")
         if "group_id" in d.columns:
