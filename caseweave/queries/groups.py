@@ -405,12 +405,6 @@ def _(t):
 # --- orders ------------------------------------------------------------------
 
 
-def ranked(df, keys, order, *out):
-    from pyspark.sql import Window
-
-    return df.select(*keys, *out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).alias("pos"))
-
-
 ROLE_SQL = "CASE event_type WHEN 'click' THEN 10 WHEN 'view' THEN 30 WHEN 'purchase' THEN 40 ELSE {0} END"
 
 
@@ -423,7 +417,7 @@ def _(t):
     d = t.events.select("user_id", C("event_id").alias("fact_id"), date.alias("fact_date"), S("medical_event").alias("fact_type"), role.alias("fact_role"),
                         F.when(C("event_type") == "view", F.array(S(500), (C("event_id") % 7).cast("int"))).alias("source_pages"))
     d, order = od.with_fact_order(d)
-    return ranked(d, ["user_id"], order, C("fact_id").alias("event_id"))
+    return od.numbered(d, ["user_id"], order, od.time_bucket(order), [C("fact_id").alias("event_id")])
 
 
 @query("o02_page_order", """
@@ -432,7 +426,8 @@ SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY CASE WHEN
 def _(t):
     name = F.when(C("lang") == "en", text("case1_", C("doc_id") % 3, "-", C("doc_id"), ".png")).otherwise("scan.tif")
     page = F.when(C("lang") != "fr", C("n_chars"))
-    return ranked(t.documents, ["source"], od.page_order(name, page=page, ident=C("doc_id")), "doc_id")
+    order = od.page_order(name, page=page, ident=C("doc_id"))
+    return od.numbered(t.documents, ["source"], order, od.page_bucket(order), [C("doc_id")])
 
 
 @query("o03_event_order", f"""
@@ -440,20 +435,19 @@ SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY subst
 def _(t):
     role = F.when(C("event_type") == "click", "admission").when(C("event_type") == "view", "exam").when(C("event_type") == "purchase", "surgery").otherwise("")
     date = F.when(C("value") <= 60, F.date_format("ts", "yyyy-MM-dd HH:mm"))
-    return ranked(t.events, ["user_id"], od.event_order(date, role, C("event_id")), "event_id")
+    order = od.event_order(date, role, C("event_id"))
+    return od.numbered(t.events, ["user_id"], order, od.time_bucket(order), [C("event_id")])
 
 
 @query("o04_report_order", """
 SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY CASE WHEN o_orderstatus='P' THEN '9999-12-31T23:59:59' ELSE strftime(o_orderdate,'%Y-%m-%d') END, o_orderkey) AS pos,
  row_number() OVER (PARTITION BY o_custkey ORDER BY CASE WHEN o_orderstatus='F' THEN strftime(o_orderdate,'%Y-%m-%d') END NULLS LAST, CASE WHEN o_orderstatus='O' THEN strftime(o_orderdate,'%Y-%m-%d') END NULLS LAST, o_orderkey) AS pos2 FROM orders""")
 def _(t):
-    from pyspark.sql import Window
-
     day = F.date_format("o_orderdate", "yyyy-MM-dd")
     a = od.report_order(F.when(C("o_orderstatus") == "P", "").otherwise(day), C("o_orderkey"))
     b = od.report_order_nulls_last(F.when(C("o_orderstatus") == "F", day), F.when(C("o_orderstatus") == "O", day), C("o_orderkey"))
-    w = Window.partitionBy("o_custkey")
-    return t.orders.select("o_custkey", "o_orderkey", F.row_number().over(w.orderBy(*a)).alias("pos"), F.row_number().over(w.orderBy(*b)).alias("pos2"))
+    first = od.numbered(t.orders, ["o_custkey"], a, od.time_bucket(a), [C("o_orderkey")])
+    return first.join(od.numbered(t.orders, ["o_custkey"], b, od.time_bucket(b), [C("o_orderkey")], "pos2"), ["o_custkey", "o_orderkey"])
 
 
 @query("o05_list_page", "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus <> 'F' ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 50 OFFSET 100")
