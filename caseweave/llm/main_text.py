@@ -1,8 +1,8 @@
 """Main text of web pages: markup rules, and a suffix array per host for what markup leaves open.
 
-The text of an article or main element is the main text; menus, headers, footers, sidebars,
-notices, adverts, forms, scripts, styles, hidden parts and comments are left out by tag, class,
-id and role. Pages without such an element are open: of the text that the rules leave, runs of
+Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, hidden parts and
+comments are left out by tag, class, id and role. Where article and main elements hold at least
+half of what is left, their text is the main text. Other pages are open: of all that is left, runs of
 ``RUN`` words or more that stand on distinct pages of the host are boilerplate and are cut out,
 and the unique runs stay. (Inside an article nothing is cut for being repeated: a passage that
 two articles share belongs to both.)
@@ -32,8 +32,6 @@ RUN, CHUNK = 10, 1 << 20
 
 TAG = re.compile(r"<(?:!--(?:>|->|.*?(?:--!?>|\Z))|[!?][^>]*+>?|/[^a-zA-Z][^>]*+>?|(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(>?)|/?\Z)", re.S)
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*+(?:=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?+")
-MAIN = r"(?i)<(article|main)[\s/>]"
-IS_MAIN = re.compile(MAIN)
 RAW = frozenset("script style title textarea iframe noembed noframes xmp".split())
 DROPPED = frozenset("nav header footer aside form noscript template svg math object select button dialog menu canvas audio video datalist".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -70,9 +68,12 @@ def _shunned(name: str, attributes: str, inside: bool) -> bool:
 
 
 def blocks_of(page: str) -> tuple[list[str], bool]:
-    """Text blocks in page order, and whether they are those of an article or main element."""
-    whole = bool(IS_MAIN.search(page))
-    blocks: list[str] = []
+    """Text blocks in page order, and whether they are those of article and main elements.
+
+    They are if such elements, outside comments, scripts and left-out parts, hold at least half of
+    the text that the rules leave; else the page is open and all of that text is given.
+    """
+    blocks: list[tuple[str, bool]] = []
     run: list[str] = []
     dropped = ""  # the element that is being left out, and how many of its name are open in it
     depth = 0
@@ -82,13 +83,13 @@ def blocks_of(page: str) -> tuple[list[str], bool]:
 
     def close() -> None:
         if text := " ".join("".join(run).split()):
-            blocks.append(text)
+            blocks.append((text, bool(mains)))
         run.clear()
 
     while at < n:
         m = TAG.search(page, at)
         start = m.start() if m else n
-        if start > at and not dropped and (mains or not whole):
+        if start > at and not dropped:
             text = page[at:start]
             run.append(entities.unescape(text) if "&" in text else text)
         if not m:
@@ -114,6 +115,7 @@ def blocks_of(page: str) -> tuple[list[str], bool]:
                     dropped = ""
             elif name in ("article", "main") and not closing and not seen_main and not _shunned(name, m[3], False):
                 dropped = ""  # an element left open before the first article does not swallow it
+                close()
             else:
                 continue
             if dropped or closing:
@@ -130,7 +132,10 @@ def blocks_of(page: str) -> tuple[list[str], bool]:
         if not closing and not m[3].endswith("/") and (name in DROPPED and not (name == "header" and mains) or name == "article" or _shunned(name, m[3], bool(mains))):
             dropped, depth = name, 1
     close()
-    return blocks, whole
+    inside = [text for text, main in blocks if main]
+    if inside and 2 * sum(map(len, inside)) >= sum(len(text) for text, _ in blocks):
+        return inside, True
+    return [text for text, _ in blocks], False
 
 
 def _word_numbers(words: list[str]) -> np.ndarray:
@@ -214,14 +219,9 @@ def _host(url: str):
     return F.coalesce(F.lower(F.regexp_extract(F.col(url), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1)), F.lit(""))
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _blocks(page: pd.Series) -> pd.Series:
-    return pd.Series([blocks_of(p or "")[0] for p in page], dtype=object)
-
-
-@F.pandas_udf(T.StringType())
-def _text(page: pd.Series) -> pd.Series:
-    return pd.Series([" ".join(blocks_of(p or "")[0]) for p in page], dtype=object)
+@F.pandas_udf(T.StructType([T.StructField("blocks", T.ArrayType(T.StringType())), T.StructField("closed", T.BooleanType())]))
+def _blocks(page: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([blocks_of(p or "") for p in page], columns=["blocks", "closed"])
 
 
 def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", run: int = RUN, chunk: int = CHUNK) -> DataFrame:
@@ -233,9 +233,9 @@ def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     empty result.
     """
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    is_open = F.coalesce(~F.col("html").rlike(MAIN), F.lit(False))
-    closed = rows.where(~is_open).select("page_id", "url", _text("html").alias("text"))
-    left = rows.where(is_open).select("page_id", "url", _host("url").alias("host"), _blocks("html").alias("blocks"))
+    parsed = rows.select("page_id", "url", _blocks("html").alias("p")).select("page_id", "url", "p.blocks", "p.closed")
+    closed = parsed.where("closed").select("page_id", "url", F.array_join("blocks", " ").alias("text"))
+    left = parsed.where("not closed").select("page_id", "url", _host("url").alias("host"), "blocks")
     left = kept(left.withColumn("row", F.monotonically_increasing_id()).withColumn("content", F.xxhash64("blocks")), "open")
     size = F.aggregate("blocks", F.lit(0).cast("long"), lambda s, b: s + F.length(b))
     parts = left.groupBy("host").agg(F.ceil(F.sum(size) / F.lit(6 * chunk)).cast("int").alias("parts"))

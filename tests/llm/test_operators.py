@@ -226,6 +226,19 @@ def test_page_markup():
     assert f('<div class="has-sidebar">a<div class="sidebar">b<div>c</div></div>d</div>')[0] == ["a", "d"]
 
 
+def test_open_pages(spark):
+    story = "<div id=content><p>the story stands in a plain element and is told here at some length</p></div>"
+    told = "the story stands in a plain element and is told here at some length"
+    f = main_text.blocks_of
+    assert f(story + '<article class="comment">first!</article>') == ([told], False)
+    assert f("<!-- <main> -->" + story) == f("<script>var a = '<article >'</script>" + story) == f('<a title="<main>"></a>' + story) == ([told], False)
+    assert f(story + "<article>card</article>") == ([told, "card"], False) and f(story + "<main></main>") == ([told], False)
+    assert f("<div>odd line</div><article>" + story + "</article>") == ([told], True)
+    top = "all of these pages begin with the very same long line of words"
+    d = spark.createDataFrame([(i, "http://h.example/", f'<p>{top}</p><p>{i} x</p><article class="comment">c</article>') for i in range(5)], "page_id long, url string, html string")
+    assert {r.text for r in main_text.main_texts(d).collect()} == {f"{i} x" for i in range(5)}
+
+
 def slow_spans(text):
     out = [(0, *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
     out += [(1, *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p) <= 255 for p in m[0].split("."))]
