@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,6 +44,30 @@ SHUNNED = frozenset(
 )
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar note".split())
 SETTING = frozenset("has with without no is js not".split())
+#: Inside an article, and for articles: words that are also headings and topics say nothing in an id or beside other words.
+TOPICS = frozenset("header masthead banner menu navigation notice notices notification alert social discussion search login copyright disclaimer replies subscription advertising promotion".split())
+SURE = SHUNNED - TOPICS
+BESIDE = frozenset("area article articles bar block body bottom box button buttons container content form group inline inner item items label left link links list outer post posts right section slot stories story thread top unit widget wrap wrapper".split())
+#: Start tags that end an open paragraph; for others, what they end and what stops the search for it.
+ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl dd dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre search section summary table ul".split())
+ENDS = {
+    "li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "option": ("option", "select datalist"), "optgroup": ("option optgroup", "select datalist"),
+    "td": ("td th", "tr table"), "th": ("td th", "tr table"), "tr": ("tr", "table"), "tbody": ("tbody thead tfoot", "table"), "thead": ("tbody thead tfoot", "table"), "tfoot": ("tbody thead tfoot", "table"),
+}
+ENDS = {k: tuple(frozenset(x.split()) for x in v) for k, v in ENDS.items()}
+PARAGRAPH = frozenset(("p",))
+THROUGH = frozenset("article main table caption thead tbody tfoot tr td th".split())
+CELLS = frozenset("table caption td th".split())
+LIST = CELLS | {"ul", "ol"}
+SELF_CLOSED = re.compile(r"(?:^|[\s\"'])/$")
+
+
+def _telling(key: str, one: str) -> bool:
+    """Does a whole class or id say that an element inside an article, or an article, holds no main text?"""
+    if one in SURE or key == "class" and one in SHUNNED and one not in ("header", "discussion"):
+        return True
+    parts = set(re.split(r"[-_]+", one)) - {""}
+    return not parts.isdisjoint(SURE) and parts <= SURE | BESIDE
 
 
 def _shunned(name: str, attributes: str, inside: bool) -> bool:
@@ -54,19 +79,29 @@ def _shunned(name: str, attributes: str, inside: bool) -> bool:
         key, value = m[1].lower(), next((v for v in m.groups()[1:] if v is not None), "").lower()
         if key in ("class", "id"):
             for one in value.split():
+                if inside or name == "article":
+                    if _telling(key, one):
+                        return True
+                    continue
                 parts = re.split(r"[-_]+", one)
                 words.update(parts if parts[0] not in SETTING else ())
         elif key == "role" and value.strip() in ROLES or key == "hidden" or key == "aria-hidden" and value == "true":
             return True
         elif key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return True
-    if name == "article":
-        words &= {"comment", "comments", "ad", "ads", "advert", "related", "sponsored", "promo"}
-    if inside:
-        words -= {"header"}
     return not words.isdisjoint(SHUNNED)
 
 
+def _within(opened: list[str], floor: int, to: int, ended: frozenset[str], stops: frozenset[str] | None) -> int:
+    """Where the innermost of ``ended`` stands in ``opened[floor:to]``, unless one of ``stops`` (None: all but inline ones) stands further in; else ``to``."""
+    for k in range(to - 1, floor - 1, -1):
+        if opened[k] in ended:
+            return k
+        if opened[k] not in INLINE if stops is None else opened[k] in stops:
+            return to
+    return to
+
+
 def blocks_of(page: str) -> tuple[list[str], bool]:
     """Text blocks in page order, and whether they are those of article and main elements.
 
@@ -75,9 +110,10 @@ def blocks_of(page: str) -> tuple[list[str], bool]:
     """
     blocks: list[tuple[str, bool]] = []
     run: list[str] = []
-    dropped = ""  # the element that is being left out, and how many of its name are open in it
-    depth = 0
-    mains: list[str] = []
+    opened: list[str] = []  # open elements; an end tag closes all that were opened after its own
+    count: Counter[str] = Counter()  # of their names
+    mains: list[int] = []  # where accepted articles and mains stand among them
+    dropped = -1  # where the element that is being left out stands among them
     seen_main = False
     at, n = 0, len(page)
 
@@ -89,7 +125,7 @@ def blocks_of(page: str) -> tuple[list[str], bool]:
     while at < n:
         m = TAG.search(page, at)
         start = m.start() if m else n
-        if start > at and not dropped:
+        if start > at and dropped < 0:
             text = page[at:start]
             run.append(entities.unescape(text) if "&" in text else text)
         if not m:
@@ -104,33 +140,39 @@ def blocks_of(page: str) -> tuple[list[str], bool]:
             end = re.compile(rf"</{name}(?=[\s/>]|\Z)", re.I).search(page, at)
             at = end.start() if end else n
             continue
-        if name not in INLINE and not dropped:
+        if name not in INLINE and dropped < 0:
             close()
-        if name in VOID:
+        floor = mains[-1] + 1 if mains and name not in ("article", "main") else 0  # only its own kind ends an article
+        to = len(opened)
+        if closing:
+            last = to
+            if count[name] > 0:
+                to = _within(opened, floor, to, frozenset((name,)), None if name in INLINE else frozenset() if name in THROUGH else LIST if name == "li" else CELLS)
+            if to == last and dropped >= floor and opened[dropped] == name:
+                to = dropped
+        else:
+            if name in ENDS_P and count["p"]:
+                to = _within(opened, floor, to, PARAGRAPH, None)
+            if name in ENDS:
+                to = _within(opened, floor, to, *ENDS[name])
+        if to < len(opened):
+            count.subtract(opened[to:])
+            del opened[to:]
+        while mains and mains[-1] >= to:
+            mains.pop()
+        if dropped >= to:
+            dropped = -1
+        if closing or name in VOID or name in ("html", "head", "body") or m[3].endswith("/") and SELF_CLOSED.search(m[3]):
             continue
-        if dropped:
-            if name == dropped:
-                depth += -1 if closing else 1
-                if not depth:
-                    dropped = ""
-            elif name in ("article", "main") and not closing and not seen_main and not _shunned(name, m[3], False):
-                dropped = ""  # an element left open before the first article does not swallow it
-                close()
-            else:
-                continue
-            if dropped or closing:
-                continue
-        if name in ("article", "main"):
-            if closing:
-                if name in mains:
-                    del mains[len(mains) - 1 - mains[::-1].index(name) :]
-                continue
-            if not _shunned(name, m[3], bool(mains)):
-                mains.append(name)
-                seen_main = True
-                continue
-        if not closing and not m[3].endswith("/") and (name in DROPPED and not (name == "header" and mains) or name == "article" or _shunned(name, m[3], bool(mains))):
-            dropped, depth = name, 1
+        opened.append(name)
+        count[name] += 1
+        if name in ("article", "main") and (dropped < 0 or not seen_main) and not _shunned(name, m[3], bool(mains)):
+            dropped = -1  # an element left open before the first article does not swallow it
+            close()
+            mains.append(to)
+            seen_main = True
+        elif dropped < 0 and (name in DROPPED and not (name == "header" and mains) or name == "article" or _shunned(name, m[3], bool(mains))):
+            dropped = to
     close()
     inside = [text for text, main in blocks if main]
     if inside and 2 * sum(map(len, inside)) >= sum(len(text) for text, _ in blocks):

@@ -239,6 +239,20 @@ def test_open_pages(spark):
     assert {r.text for r in main_text.main_texts(d).collect()} == {f"{i} x" for i in range(5)}
 
 
+def test_unclosed_elements():
+    f = lambda page: main_text.blocks_of(page)[0]
+    assert f('<article><p class="notice">x<p>real<p>text</article><footer>z</footer><article>more</article>') == ["real", "text", "more"]
+    assert f("<article><ul><li class=ad>x<li>a</ul><div><aside>y<p>z</div>b</article><article>c</article>") == ["a", "b", "c"]
+    assert f("<main><table><tr><td class=ad>x<td>a<tr class=ad><td>y<tr><td>b</table><dl><dt class=ad>x<dd>c</dl></main>") == ["a", "b", "c"]
+    assert f('<article>a <span class="ad">x <span>y</span> z</span> b <span class="ad"><div>x</span> c</article>') == ["a b c"]
+    assert f("<article>a<table class=ad><tr><td>x</article><article>b</article>") == ["a", "b"]
+    assert f("<article>" + "<div>" * 50_000 + "</section>" * 50_000 + "a</article>") == ["a"]
+    assert f('<article><div class="ad"><div>x</div>y<br/><div class="q"/>z</div>a<nav>x<ul><li>y</nav>b</article>') == ["a", "b"]
+    kept = '<section id="discussion">a</section><p class="social-policy">b</p><div class="ad-free">c</div><h2 id="search">d</h2>'
+    assert f(f"<article>{kept}</article>") == ["a", "b", "c", "d"] and f('<article class="ad-free post">a</article>') == ["a"]
+    assert f('<article>a<div class="related-posts">x</div><div class="ad">x</div><div class="newsletter-signup">x</div><div id="comments">x</div></article>') == ["a"]
+
+
 def slow_spans(text):
     out = [(0, *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
     out += [(1, *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p) <= 255 for p in m[0].split("."))]
