@@ -1,16 +1,18 @@
-"""Main text of web pages: markup rules, and a suffix array per host for what markup leaves open.
+"""Main text of web pages: markup rules, and a suffix array per host for repeated text.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, hidden parts and
 comments are left out by tag, class, id and role. Where article and main elements hold at least
-half of what is left, their text is the main text. Other pages are open: of all that is left, runs of
-``RUN`` words or more that stand on distinct pages of the host are boilerplate and are cut out,
-and the unique runs stay. (Inside an article nothing is cut for being repeated: a passage that
-two articles share belongs to both.)
-
-A host's open pages are concatenated in chunks of bounded size. Prefix doubling sorts the
-suffixes of a chunk by their first ``RUN`` words; each interval of equal prefixes sends one row
-with its smallest and largest page, and the intervals of all chunks of the host meet by the
-prefix's hash. The cut is therefore the same however the host is split.
+half of what is left, their text is the main text (the page is closed); of other, open pages it is
+all that is left. Of both, runs of ``RUN`` words or more that a clear share of the host's pages
+holds are boilerplate and are cut out: ``SHARE`` of its distinct pages and ``LEAST`` at least. In
+a closed page only what stands in so many closed pages is cut, so a line that other pages repeat
+around their text, or a passage that a few articles quote, stays in an article.
+
+A host's distinct pages are concatenated in chunks of bounded size. Prefix doubling sorts the
+suffixes of a chunk by their first ``RUN`` words. What a share of all pages holds is held by that
+share of some chunk's pages, so each chunk names its prefixes that are as frequent, and only those
+are looked up and counted in all chunks of the host. The cut is therefore the same however the
+host is split.
 """
 from __future__ import annotations
 
@@ -30,6 +32,7 @@ from pyspark.sql import types as T
 from caseweave.llm.common import kept
 
 RUN, CHUNK = 10, 1 << 20
+SHARE, LEAST = 0.3, 3
 
 TAG = re.compile(r"<(?:!--(?:>|->|.*?(?:--!?>|\Z))|[!?][^>]*+>?|/[^a-zA-Z][^>]*+>?|(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(>?)|/?\Z)", re.S)
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*+(?:=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?+")
@@ -181,27 +184,40 @@ def blocks_of(page: str) -> tuple[list[str], bool]:
 
 
 def _word_numbers(words: list[str]) -> np.ndarray:
-    return np.fromiter((xxhash.xxh64_intdigest(w.encode("utf-8", "replace")) for w in words), np.uint64, len(words))
+    number = {w: xxhash.xxh64_intdigest(w.encode("utf-8", "replace")) for w in set(words)}
+    return np.fromiter(map(number.__getitem__, words), np.uint64, len(words))
 
 
-def prefix_ranks(tokens: np.ndarray, left: np.ndarray, run: int) -> np.ndarray:
-    """Rank of every suffix by its first ``run`` tokens (prefix doubling); -1 where fewer are ``left`` on the page."""
-    rank = np.unique(tokens, return_inverse=True)[1].astype(np.int64)
+def _drop_rare(rank: np.ndarray, least: float) -> np.ndarray:
+    n = np.bincount(rank[rank >= 0], minlength=1)
+    rank[(rank >= 0) & (n[rank] < least)] = -1
+    return rank
+
+
+def prefix_ranks(tokens: np.ndarray, left: np.ndarray, run: int, least: float = 1) -> np.ndarray:
+    """Rank of every suffix by its first ``run`` tokens (prefix doubling).
+
+    -1 where fewer are ``left`` on the page, or where the prefix stands at fewer than ``least`` places.
+    """
+    rank = _drop_rare(np.unique(tokens, return_inverse=True)[1].astype(np.int64), least)
     depth = 1
     while depth < run:
         step = min(depth, run - depth)  # prefixes may overlap in the last round
         ahead = np.full(len(rank), -1, np.int64)
-        ahead[: len(rank) - step] = rank[step:]
-        ahead[left < depth + step] = -1
-        rank = np.unique(rank * (len(rank) + 1) + ahead + 1, return_inverse=True)[1].astype(np.int64)
+        ahead[: max(0, len(rank) - step)] = rank[step:]
         depth += step
+        at = np.flatnonzero((rank >= 0) & (ahead >= 0) & (left >= depth))
+        key = rank[at] * (len(rank) + 1) + ahead[at]
+        rank = np.full(len(rank), -1, np.int64)
+        rank[at] = np.unique(key, return_inverse=True)[1]
+        rank = _drop_rare(rank, least)
     rank[left < run] = -1
     return rank
 
 
-def _streams(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _streams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Token numbers, tokens left on the page, page row and position, of the concatenated pages."""
-    words = [" ".join(b).split(" ") if b else [] for b in rows["blocks"].to_pylist()]
+    words = [t.split(" ") for t in texts]
     size = np.array([len(w) for w in words], np.int64)
     page = np.repeat(np.arange(len(words)), size)
     pos = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
@@ -216,42 +232,70 @@ def _prefix_hash(tokens: np.ndarray, at: np.ndarray, run: int) -> np.ndarray:
     return h.view(np.int64)
 
 
-def intervals(run: int):
-    """Arrow function for a chunk of a host: one row per interval of equal prefixes, or per suffix."""
+def first_seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Copies that a task has seen go; which task saw them does not matter, as later steps count contents."""
+    seen: set[tuple] = set()
+    for b in batches:
+        keep = []
+        for key in zip(*(b.column(c).to_pylist() for c in ("host", "content", "closed")), strict=True):
+            keep.append(key not in seen)
+            seen.add(key)
+        if len(seen) > 1 << 18:
+            seen.clear()
+        yield b.filter(pa.array(keep, pa.bool_()))
+
+
+def frequent(run: int, share: float, least: int):
+    """Arrow function for a chunk of a host: its distinct pages (prefix null), and the prefixes that a share of them holds."""
 
     def each(rows: pa.Table) -> pa.Table:
-        tokens, left, page, _ = _streams(rows)
-        content = rows["content"].to_numpy()
-        rank = prefix_ranks(tokens, left, run)
-        order = np.argsort(rank, kind="stable")
-        order = order[np.searchsorted(rank[order], 0) :]
-        first = np.flatnonzero(np.diff(rank[order], prepend=-1))
-        low, high = (f.reduceat(content[page[order]], first) if len(first) else content[:0] for f in (np.minimum, np.maximum))
-        host = pa.array([rows["host"][0].as_py()] * len(first), pa.string())
-        return pa.table({"host": host, "prefix": _prefix_hash(tokens, order[first], run), "low": low, "high": high})
+        tokens, left, page, _ = _streams(rows["text"].to_pylist())
+        distinct, number = np.unique(rows["content"].to_numpy(), return_inverse=True)
+        closed = np.zeros(len(distinct), np.int64)
+        np.maximum.at(closed, number, rows["closed"].to_numpy().astype(np.int64))
+        n, n_closed = len(distinct), int(closed.sum())
+        lowest = 1 if rows["parts"][0].as_py() > 1 else least
+        of_all, of_closed = (max(lowest, share * k - 1e-9) if k else np.inf for k in (n, n_closed))
+        rank = prefix_ranks(tokens, left, run, min(of_all, of_closed))
+        at = np.flatnonzero(rank >= 0)
+        pairs, first = np.unique(rank[at] * n + number[page[at]], return_index=True)
+        ranks, begin = np.unique(pairs // n, return_index=True)
+        holding, holding_closed = (np.add.reduceat(v, begin) if len(begin) else begin for v in (np.ones(len(pairs), np.int64), closed[pairs % n]))
+        chosen = first[begin[(holding >= of_all) | (holding_closed >= of_closed)]]
+        prefix = [None, *_prefix_hash(tokens, at[chosen], run).tolist()]
+        k = len(prefix)
+        return pa.table({"host": pa.array([rows["host"][0].as_py()] * k, pa.string()), "prefix": pa.array(prefix, pa.int64()), "n": pa.array([n] * k, pa.int64()), "n_closed": pa.array([n_closed] * k, pa.int64())})
 
     return each
 
 
-def suffixes(run: int):
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for k in range(0, b.num_rows, 256):
-                rows = pa.Table.from_batches([b.slice(k, 256)])
-                tokens, left, page, pos = _streams(rows)
-                at = np.flatnonzero(left >= run)
-                host = rows["host"].combine_chunks().take(pa.array(page[at]))
-                key = rows["row"].to_numpy()[page[at]]
-                yield pa.RecordBatch.from_arrays([host, pa.array(_prefix_hash(tokens, at, run)), pa.array(key), pa.array(pos[at].astype(np.int32))], ["host", "prefix", "row", "pos"])
+def places(run: int):
+    """Arrow function for a chunk of a host and prefixes: where they stand in each distinct page."""
+
+    def each(rows: pa.Table, wanted: pa.Table) -> pa.Table:
+        if rows.num_rows:
+            _, first = np.unique(np.column_stack([rows["content"].to_numpy(), rows["closed"].to_numpy().astype(np.int64)]), axis=0, return_index=True)
+            rows = rows.take(pa.array(first))
+        tokens, left, page, pos = _streams(rows["text"].to_pylist())
+        at = np.flatnonzero(left >= run)
+        prefix = _prefix_hash(tokens, at, run)
+        hit = np.isin(prefix, wanted["prefix"].to_numpy())
+        at, prefix = at[hit], prefix[hit]
+        order = np.lexsort((pos[at], prefix, page[at]))
+        at, prefix = at[order], prefix[order]
+        new = np.flatnonzero((np.diff(page[at], prepend=-1) != 0) | (prefix != np.roll(prefix, 1)))
+        starts = pa.ListArray.from_arrays(pa.array(np.append(new, len(at)).astype(np.int32)), pa.array(pos[at].astype(np.int32)))
+        of = rows.take(pa.array(page[at[new]]))
+        return pa.table({"host": of["host"], "content": of["content"], "closed": of["closed"], "prefix": pa.array(prefix[new]), "starts": starts})
 
     return each
 
 
-def unique_runs(blocks: list[str], starts: list[int] | None, run: int) -> str:
-    """The words of ``blocks`` that no repeated run covers; ``starts`` are the runs' first words."""
-    words = " ".join(blocks).split(" ") if blocks else []
+def unique_runs(text: str, starts: list[int], run: int) -> str:
+    """The words of ``text`` that no repeated run covers; ``starts`` are the runs' first words."""
+    words = text.split(" ")
     cover = np.zeros(len(words) + 1, np.int64)
-    at = np.unique(np.array(starts or [], np.int64))
+    at = np.unique(np.array(starts, np.int64))
     np.add.at(cover, at, 1)
     np.add.at(cover, np.minimum(at + run, len(words)), -1)
     return " ".join(w for w, c in zip(words, np.cumsum(cover), strict=False) if not c)
@@ -261,35 +305,56 @@ def _host(url: str):
     return F.coalesce(F.lower(F.regexp_extract(F.col(url), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1)), F.lit(""))
 
 
-@F.pandas_udf(T.StructType([T.StructField("blocks", T.ArrayType(T.StringType())), T.StructField("closed", T.BooleanType())]))
-def _blocks(page: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([blocks_of(p or "") for p in page], columns=["blocks", "closed"])
+@F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("closed", T.BooleanType()), T.StructField("content", T.LongType())]))
+def _parsed(page: pd.Series) -> pd.DataFrame:
+    rows = []
+    for p in page:
+        blocks, closed = blocks_of(p or "")
+        text = " ".join(blocks)
+        rows.append((text, closed, xxhash.xxh64_intdigest(text.encode("utf-8", "replace")) - (1 << 63)))
+    return pd.DataFrame(rows, columns=["text", "closed", "content"])
 
 
-def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", run: int = RUN, chunk: int = CHUNK) -> DataFrame:
+def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", run: int = RUN, chunk: int = CHUNK, share: float = SHARE, least: int = LEAST) -> DataFrame:
     """One row per row of ``pages``: page_id, url, text, n_chars.
 
-    Null and empty pages give an empty text. Pages of equal open text are one page to the suffix
+    Null and empty pages give an empty text. Pages of equal text are one page to the suffix
     array, so copies do not make each other boilerplate. Pages without a readable host form one
     host. Repeated rows are extracted each. Other columns are not read; an empty table gives an
-    empty result.
+    empty result. Pages are parsed anew in each pass, which is cheaper than to keep their text.
     """
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    parsed = rows.select("page_id", "url", _blocks("html").alias("p")).select("page_id", "url", "p.blocks", "p.closed")
-    closed = parsed.where("closed").select("page_id", "url", F.array_join("blocks", " ").alias("text"))
-    left = parsed.where("not closed").select("page_id", "url", _host("url").alias("host"), "blocks")
-    left = kept(left.withColumn("row", F.monotonically_increasing_id()).withColumn("content", F.xxhash64("blocks")), "open")
-    size = F.aggregate("blocks", F.lit(0).cast("long"), lambda s, b: s + F.length(b))
-    parts = left.groupBy("host").agg(F.ceil(F.sum(size) / F.lit(6 * chunk)).cast("int").alias("parts"))
-    split = left.join(parts, "host").withColumn("part", F.pmod(F.xxhash64("row"), F.greatest("parts", F.lit(1)))).select("host", "part", "blocks", "content")
-    found = split.groupBy("host", "part").applyInArrow(intervals(run), "host string, prefix long, low long, high long")
-    repeated = kept(found.groupBy("host", "prefix").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high").select("host", "prefix"), "repeated")
-    starts = left.select("row", "host", "blocks").mapInArrow(suffixes(run), "host string, prefix long, row long, pos int")
-    covered = starts.join(repeated, ["host", "prefix"], "left_semi").groupBy("row").agg(F.collect_list("pos").alias("starts"))
+    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), _host(url_col).alias("host"), F.col(html_col).alias("html"))
+    parsed = rows.select("page_id", "url", "host", _parsed("html").alias("p")).select("page_id", "url", "host", "p.text", "p.closed", "p.content")
+    size = F.ceil(F.sum(F.length("html")) / F.lit(6 * chunk)).cast("int")
+    parts = kept(rows.groupBy("host").agg(size.alias("parts")).where("parts > 1"), "parts")
+
+    def split(df: DataFrame) -> DataFrame:
+        return df.join(parts, "host", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+
+    texts = rows.select("host", _parsed("html").alias("p")).select("host", "p.text", "p.closed", "p.content").where("text <> ''")
+    texts = texts.mapInArrow(first_seen, texts.schema)
+    kind = "host string, prefix long, n long, n_closed long"
+    dealt = split(texts).withColumn("part", F.pmod("content", "parts").cast("int"))
+    found = kept(dealt.groupBy("host", "part").applyInArrow(frequent(run, share, least), kind), "frequent")
+    named = found.where("prefix is not null").select("host", "prefix").distinct()
+    if named.isEmpty():
+        return parsed.select("page_id", "url", "text").withColumn("n_chars", F.length("text").cast("long"))
+    named = kept(named, "prefixes")
+    wanted = split(named).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).groupBy("host", "part")
+    searched = split(texts.join(kept(named.select("host").distinct(), "hosts"), "host", "left_semi")).withColumn("part", F.pmod("content", "parts").cast("int"))
+    kind = "host string, content long, closed boolean, prefix long, starts array<int>"
+    hits = kept(searched.groupBy("host", "part").cogroup(wanted).applyInArrow(places(run), kind), "places")
+    one = hits.groupBy("host", "prefix", "content").agg(F.max(F.col("closed").cast("long")).alias("closed"))
+    held = one.groupBy("host", "prefix").agg(F.count("*").alias("holding"), F.sum("closed").alias("holding_closed"))
+    total = found.where("prefix is null").groupBy("host").agg(F.sum("n").alias("n"), F.sum("n_closed").alias("n_closed"))
+    enough = [(F.col(f"holding{c}") >= least) & (F.col(f"holding{c}") >= F.col(f"n{c}") * share - 1e-9) for c in ("", "_closed")]
+    cut_in = held.join(total, "host").select("host", "prefix", enough[0].alias("in_open"), enough[1].alias("in_closed")).where("in_open or in_closed")
+    covered = hits.join(kept(cut_in, "cut"), ["host", "prefix"]).where("if(closed, in_closed, in_open)")
+    covered = kept(covered.groupBy("host", "content", "closed").agg(F.flatten(F.collect_list("starts")).alias("starts")), "covered")
 
     @F.pandas_udf(T.StringType())
-    def cut(blocks: pd.Series, at: pd.Series) -> pd.Series:
-        return pd.Series([unique_runs(list(b), None if a is None else list(a), run) for b, a in zip(blocks, at, strict=True)], dtype=object)
+    def cut(text: pd.Series, at: pd.Series) -> pd.Series:
+        return pd.Series([t if a is None else unique_runs(t, list(a), run) for t, a in zip(text, at, strict=True)], dtype=object)
 
-    opened = left.join(covered, "row", "left").select("page_id", "url", cut("blocks", "starts").alias("text"))
-    return closed.unionByName(opened).withColumn("n_chars", F.length("text").cast("long"))
+    out = parsed.join(covered, ["host", "content", "closed"], "left").select("page_id", "url", cut("text", "starts").alias("text"))
+    return out.withColumn("n_chars", F.length("text").cast("long"))

@@ -239,6 +239,18 @@ def test_open_pages(spark):
     assert {r.text for r in main_text.main_texts(d).collect()} == {f"{i} x" for i in range(5)}
 
 
+@pytest.mark.parametrize("chunk", [1 << 20, 120, 1])
+def test_boilerplate_share(spark, chunk):
+    rnd = random.Random(12)
+    notice, quote = "this notice of ours stands under every single article on the whole site", "a passage that two pages quote from elsewhere is told in many words here"
+    own = [" ".join(f"{w}{i}" for w in rnd.choices(WORDS, k=30)) for i in range(16)]
+    pages = [(i, "http://a.example/", f"<article><p>{own[i]}<p>{quote if i < 2 else ''}<p>{notice}</article>") for i in range(8)]
+    pages += [(i, "http://o.example/", f"<p>{own[i]}<p>{quote if i < 10 else ''}<p>{notice}") for i in range(8, 16)]
+    pages += [(16, "http://o.example/", f"<article>{notice}</article>"), (17, "http://c.example/", "<p>a b c")]
+    got = {r.page_id: r.text for r in main_text.main_texts(spark.createDataFrame(pages, "page_id long, url string, html string"), chunk=chunk).collect()}
+    assert got == {i: own[i] + (f" {quote}" if i in (0, 1, 8, 9) else "") for i in range(16)} | {16: notice, 17: "a b c"}
+
+
 def test_unclosed_elements():
     f = lambda page: main_text.blocks_of(page)[0]
     assert f('<article><p class="notice">x<p>real<p>text</article><footer>z</footer><article>more</article>') == ["real", "text", "more"]
