@@ -45,6 +45,23 @@ def hash_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
     return df
 
 
+def class_sample(df: DataFrame, key: str, label: str, rows: int, least: int | None = None) -> tuple[DataFrame, dict]:
+    """A sample like ``hash_sample`` in which every value of ``label`` has about ``least`` rows, or all it has; and the rates by value.
+
+    Without ``least``, half as many rows again as ``rows`` are dealt evenly, 20 a value at least. Null labels go.
+    """
+    df = df.where(F.col(label).isNotNull())
+    counts = {r[label]: r["count"] for r in df.groupBy(label).count().collect()}
+    n = sum(counts.values())
+    if n <= rows:
+        return df, dict.fromkeys(counts, 1.0)
+    least = least or max(20, rows // (2 * len(counts)))
+    rates = {v: min(1.0, max(rows / n, least / c)) for v, c in counts.items()}
+    wanted = df.sparkSession.createDataFrame([(v, int((1 << 30) * r)) for v, r in rates.items()], f"sample_label {df.schema[label].dataType.simpleString()}, sample_below long")
+    chosen = df.join(F.broadcast(wanted), F.col(label) == F.col("sample_label"))  # as many rows as values
+    return chosen.where(F.pmod(F.xxhash64(F.col(key), F.lit("sample")), F.lit(1 << 30)) < F.col("sample_below")).drop("sample_label", "sample_below"), rates
+
+
 class Forest:
     """Union of links among the positions 0..n-1, folded array by array; roots are the smallest positions."""
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from caseweave.llm.common import crc_fold, hash_sample
+from caseweave.llm.common import class_sample, crc_fold
 
 WINDOW, WIDTHS, FILTERS, EMBED = 256, (2, 3, 4), 16, 12
 LETTER = regex.compile(r"\p{L}")
@@ -116,9 +116,10 @@ class ByteNet:
 
 
 def train(docs: DataFrame, max_rows: int = 6_000, per_doc: int = 4, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 4, held_out: int = 2) -> ByteNet | None:
-    """Learn from evenly spaced windows of at most 1.5 x ``max_rows`` documents outside the held-out fold.
+    """Learn from evenly spaced windows of about 1.5 x ``max_rows`` documents outside the held-out fold.
 
-    The network sees ``per_doc`` windows of a training document; predictions read whole texts.
+    Half of ``max_rows`` is dealt evenly to the languages of all rows, so a rare one is learned
+    however large the table is. The network sees ``per_doc`` windows of a training document; predictions read whole texts.
     None if no document has a language.
     """
     known = docs.where(F.col(lang_col).isNotNull() & (crc_fold(id_col, folds) != held_out) & (F.length(text_col) > 0))
@@ -132,7 +133,9 @@ def train(docs: DataFrame, max_rows: int = 6_000, per_doc: int = 4, id_col: str
                 x.append(rows[np.unique(np.linspace(0, len(rows) - 1, per_doc).astype(int))].tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(x, pa.binary())], ["doc_id", "lang", "x"])
 
-    got = hash_sample(known, "doc_id", max_rows).mapInArrow(cut, "doc_id long, lang string, x binary").limit(max_rows + max_rows // 2).toPandas().sort_values(["doc_id", "lang", "x"], kind="stable")
+    chosen, rates = class_sample(known, "doc_id", "lang", max_rows)
+    most = 2 * max(max_rows, 20 * len(rates))  # ids that repeat are chosen together
+    got = chosen.select("doc_id", "lang", "text").mapInArrow(cut, "doc_id long, lang string, x binary").limit(most).toPandas().sort_values(["doc_id", "lang", "x"], kind="stable")
     if got.empty:
         return None
     classes = sorted(got.lang.unique())

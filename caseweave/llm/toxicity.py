@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from caseweave.llm.common import crc_fold, hash_sample
+from caseweave.llm.common import class_sample, crc_fold
 
 BITS = 20
 CHUNK = 1 << 18
@@ -99,9 +99,14 @@ def ftrl(rows: list[np.ndarray], labels: np.ndarray, bits: int = BITS, alpha: fl
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = 10_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 5, held_out: int = 0):
-    """Learn from at most 1.5 x ``max_rows`` labelled rows outside the held-out fold, whole texts."""
+    """Learn from about ``max_rows`` labelled rows outside the held-out fold, whole texts.
+
+    A label that is rarer than 1 in 20 has a twentieth of ``max_rows`` nevertheless, if there are as
+    many; the intercept is then set back to the labels' shares among all rows.
+    """
     wanted = labels.where(F.col(label_col).isNotNull() & (crc_fold(id_col, folds) != held_out)).select(F.col(id_col).alias("label_id"), F.col(label_col).cast("int").alias("label"))
-    sample = F.broadcast(hash_sample(wanted, "label_id", max_rows).limit(max_rows + max_rows // 2))  # bounded by max_rows
+    chosen, rates = class_sample(wanted, "label_id", "label", max_rows, max_rows // 20)
+    sample = F.broadcast(chosen.limit(max_rows + max_rows // 2))  # bounded by max_rows
     texts = docs.select(F.col(id_col).alias("label_id"), F.col(text_col).alias("text")).join(sample, "label_id").select("label_id", "text", "label")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,7 +115,8 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 10_000, id_col: st
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.binary()), b.column(2)], ["label_id", "x", "label"])
 
     got = texts.mapInArrow(extract, "label_id long, x binary, label int").toPandas().sort_values(["label_id", "label"], kind="stable")
-    return ftrl([np.frombuffer(x, "<u4") for x in got.x], got.label.to_numpy(float))
+    used, weights, bias = ftrl([np.frombuffer(x, "<u4") for x in got.x], got.label.to_numpy(float))
+    return used, weights, bias - np.log(rates.get(1, 1.0) / rates.get(0, 1.0))
 
 
 def scorer(model):

@@ -10,6 +10,7 @@ import pytest
 import xxhash
 
 from caseweave.llm import language, main_text, mixing, neighbours, pii, pq_join, sampling, simhash, token_store, toxicity
+from caseweave.llm.common import class_sample
 from caseweave.llm.queries import PIECE_MODEL, PQ_SQL, WORD_TOKENIZER, tokenizer_path
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size long, label string, component_id long, fp string"
@@ -205,6 +206,20 @@ def test_language(spark):
     assert kept.columns == d.columns and {r.doc_id for r in kept.collect()} == set(range(180))
 
 
+def test_rare_classes_are_sampled(spark):
+    langs = ["aa"] * 900 + ["bb"] * 6
+    d = table(spark, ["abc abd" if lang == "aa" else "xyz xyw" for lang in langs], langs=langs)
+    net = language.train(d, max_rows=30)
+    assert net.classes == ["aa", "bb"]
+    texts = [f"{' '.join(WORDS[k % 7 : k % 7 + 5])} {'vilest' if k % 100 == 0 else 'mild'}" for k in range(3000)]
+    labels = spark.createDataFrame([(k, int(k % 100 == 0)) for k in range(3000)], "doc_id long, toxic int")
+    chosen, rates = class_sample(labels, "doc_id", "toxic", 200, 40)
+    n = {r.toxic: r["count"] for r in chosen.groupBy("toxic").count().collect()}
+    assert n[1] == 30 and 150 < n[0] < 250 and rates[1] == 1
+    used, weights, bias = toxicity.train(table(spark, texts), labels, max_rows=400)
+    assert np.isfinite(bias)
+
+
 @pytest.mark.parametrize("chunk", [1 << 20, 1])
 def test_main_text(spark, chunk):
     top, end = "all of these pages begin with the very same long line of words", "and every one of them ends in this legal line nobody reads"
