@@ -35,6 +35,7 @@ class ByteNet:
     def __init__(self, classes: list[str], seed: int = 5):
         rng = np.random.default_rng(seed)
         self.classes = classes
+        self.x = self.y = None
         self.p = {"e": rng.normal(0, 0.5, (256, EMBED))}
         for w in WIDTHS:
             self.p[f"f{w}"] = rng.normal(0, (w * EMBED) ** -0.5, (w * EMBED, FILTERS))
@@ -115,12 +116,12 @@ class ByteNet:
         return weight @ prob / weight.sum()
 
 
-def train(docs: DataFrame, max_rows: int = 6_000, per_doc: int = 4, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 4, held_out: int = 2) -> ByteNet | None:
+def train(docs: DataFrame, max_rows: int = 6_000, per_doc: int = 4, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 4, held_out: int = 2, keep: bool = False) -> ByteNet | None:
     """Learn from evenly spaced windows of about 1.5 x ``max_rows`` documents outside the held-out fold.
 
     Half of ``max_rows`` is dealt evenly to the languages of all rows, so a rare one is learned
     however large the table is. The network sees ``per_doc`` windows of a training document; predictions read whole texts.
-    None if no document has a language.
+    None if no document has a language. ``keep``: the windows and their classes stay with the network.
     """
     known = docs.where(F.col(lang_col).isNotNull() & (crc_fold(id_col, folds) != held_out) & (F.length(text_col) > 0))
     known = known.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
@@ -141,7 +142,69 @@ def train(docs: DataFrame, max_rows: int = 6_000, per_doc: int = 4, id_col: str
     classes = sorted(got.lang.unique())
     parts = [np.frombuffer(x, np.uint8).reshape(-1, WINDOW) for x in got.x]
     y = np.repeat(got.lang.map(classes.index).to_numpy(), [len(p) for p in parts])
-    return ByteNet(classes).fit(np.concatenate(parts), y)
+    net = ByteNet(classes).fit(np.concatenate(parts), y)
+    if keep:
+        net.x, net.y = np.concatenate(parts), y
+    return net
+
+
+class Gate:
+    """What labelled documents outside the training sample look like to the network and to its training bytes.
+
+    A softmax must name some language, so its score alone does not tell that a text is in none.
+    Beside it stands the mean log-probability of a text's byte pairs in the training windows of the
+    named language. A text passes if its score reaches the low ``quantile`` of the held-out
+    documents' scores for their own language less 0.3, and its pairs' mean, above that language's
+    expected one, theirs less 2; short texts have the more room. Without held-out documents everything passes.
+    """
+
+    def __init__(self, net: ByteNet, x: np.ndarray, y: np.ndarray):
+        self.net, self.pairs, self.usual, self.score, self.typical = net, [], [], 0.0, -np.inf
+        for k in range(len(net.classes)):
+            w = x[y == k].astype(np.int32)
+            code = (w[:, :-1] << 8 | w[:, 1:])[(w[:, :-1] > 0) & (w[:, 1:] > 0)]
+            p = np.bincount(code, minlength=1 << 16) + 0.05
+            p /= p.sum()
+            self.pairs.append(np.log(p).astype(np.float32))
+            self.usual.append(float(p @ np.log(p)))
+
+    def measure(self, text: str, tables: list[list[np.ndarray]], k: int | None = None) -> tuple[float, float]:
+        """Score and typicality of ``text`` for language ``k``, or for the one that the network names."""
+        p = self.net.document(text, tables)
+        k = int(p.argmax()) if k is None else k
+        raw = np.frombuffer(text.encode("utf-8", "replace"), np.uint8).astype(np.int32)
+        if len(raw) < 2:
+            return float(p[k]), 0.0
+        # the room of a short text: pairs spread by about 2 around their mean, which makes 4 / sqrt(n)
+        return float(p[k]), float(self.pairs[k][raw[:-1] << 8 | raw[1:]].mean()) - self.usual[k] + 4 / (len(raw) - 1) ** 0.5
+
+    def calibrate(self, scores: np.ndarray, typical: np.ndarray, quantile: float = 0.002) -> Gate:
+        if len(scores):
+            self.score = float(np.quantile(scores, quantile)) - 0.3
+            self.typical = float(np.quantile(typical, quantile)) - 2.0
+        return self
+
+    def passes(self, text: str, tables: list[list[np.ndarray]], min_score: float) -> bool:
+        score, typical = self.measure(text, tables)
+        return score >= max(min_score, self.score) and typical >= self.typical
+
+
+def gate(docs: DataFrame, net: ByteNet, max_rows: int = 2_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 4, held_out: int = 2) -> Gate:
+    """The network's gate, calibrated on about 1.5 x ``max_rows`` labelled documents of the held-out fold, whole texts."""
+    known = docs.where((crc_fold(id_col, folds) == held_out) & F.col(lang_col).isin(net.classes) & F.col(text_col).rlike(r"\p{L}"))
+    known = known.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    chosen, rates = class_sample(known, "doc_id", "lang", max_rows)
+    out = Gate(net, net.x, net.y)
+
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = out.net.folded()
+        for b in batches:
+            rows = [out.measure(t, tables, out.net.classes.index(k)) for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.float64()) for i in (0, 1)], ["score", "typical"])
+
+    net.x = net.y = None  # not sent to the executors
+    got = chosen.select("lang", "text").mapInArrow(measured, "score double, typical double").limit(2 * max(max_rows, 20 * len(rates))).toPandas()
+    return out.calibrate(got.score.to_numpy(), got.typical.to_numpy())
 
 
 def predictor(net: ByteNet | None):
@@ -177,7 +240,15 @@ def languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
 
 
 def known_language(docs: DataFrame, min_score: float = 0.3, text_col: str = "text", id_col: str = "doc_id", lang_col: str = "lang") -> DataFrame:
-    """``docs`` without those that are in no learned language: ``und``, or no language reaches ``min_score``."""
-    predict = predictor(train(docs, id_col=id_col, text_col=text_col, lang_col=lang_col))
-    scored = docs.withColumn("llm_language", predict(F.col(text_col)))
-    return scored.where((F.col("llm_language.lang") != "und") & (F.col("llm_language.score") >= min_score)).select(*docs.columns)
+    """``docs`` without those that are in no learned language: without a letter, or turned away by the gate or by ``min_score``."""
+    net = train(docs, id_col=id_col, text_col=text_col, lang_col=lang_col, keep=True)
+    if net is None:
+        return docs.limit(0)
+    judge = gate(docs, net, id_col=id_col, text_col=text_col, lang_col=lang_col)
+
+    @F.pandas_udf(T.BooleanType())
+    def known(text: pd.Series) -> pd.Series:
+        tables = judge.net.folded()
+        return pd.Series([bool(t and LETTER.search(t)) and judge.passes(t, tables, min_score) for t in text], dtype=bool)
+
+    return docs.where(known(F.col(text_col)))

@@ -206,6 +206,16 @@ def test_language(spark):
     assert kept.columns == d.columns and {r.doc_id for r in kept.collect()} == set(range(180))
 
 
+def test_unlearned_languages_go(spark):
+    rnd = random.Random(18)
+    alphabets = {"aa": "abcdefg", "bb": "mnopqrs", "cc": "áéíóúñü"}
+    text = lambda signs, n: "".join(rnd.choices(signs + " ", k=n))
+    rows = [(text(alphabets[lang], rnd.randint(20, 600)), lang) for lang in alphabets for _ in range(60)]
+    planted = [text(signs, n) for signs in ("абвгдежз", "αβγδεζη", "漢字假名交文", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "acegmoqs") for n in (60, 200, 600)]
+    d = table(spark, [t for t, _ in rows] + planted, langs=[lang for _, lang in rows] + [None] * len(planted))
+    assert {r.doc_id for r in language.known_language(d).collect()} == set(range(180))
+
+
 def test_rare_classes_are_sampled(spark):
     langs = ["aa"] * 900 + ["bb"] * 6
     d = table(spark, ["abc abd" if lang == "aa" else "xyz xyw" for lang in langs], langs=langs)
