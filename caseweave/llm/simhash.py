@@ -145,6 +145,13 @@ def fingerprint_links(prints: DataFrame, radius: int = 2, block: int = BLOCK) ->
     return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(shard_links(radius), "a long, b long")
 
 
+def _rooted(rows: DataFrame, radius: int, block: int) -> DataFrame:
+    """The distinct fingerprints of ``rows`` (doc_id, fp) with their smallest id and their group: fp, first_id, root."""
+    prints = kept(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
+    roots = components(fingerprint_links(prints, radius, block)).select(F.col("id").alias("fp"), "root")
+    return prints.join(roots, "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+
+
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2, words: int = 3, block: int = BLOCK) -> DataFrame:
     """One row per row of ``docs``: ``doc_id``, ``fp`` (signed long) and ``component_id``.
 
@@ -155,18 +162,21 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     udf = fingerprint_udf if words == 3 else F.pandas_udf(lambda s: s.map(lambda t: fingerprint(t, words)).astype("int64"), T.LongType())
     rows = kept(docs.select(F.col(id_col).cast("long").alias("doc_id"), udf(F.col(text_col)).alias("fp")), "prints")
-    prints = kept(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
-    roots = components(fingerprint_links(prints, radius, block)).select(F.col("id").alias("fp"), "root")
-    rooted = prints.join(roots, "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+    rooted = _rooted(rows, radius, block)
     named = rooted.join(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "root").select("fp", "component_id")
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2) -> DataFrame:
-    """``docs`` with one document of each group: the one with the smallest id.
+    """``docs`` with one row of each group: the one with the smallest id, of these the one with the smallest row hash.
 
-    Repeated rows of an id count as copies and leave one row; rows without an id stay.
+    Ids may repeat with other texts; each row stands in its own text's group. Rows without an id
+    come last in theirs. Equal rows leave one. The same rows stay in every run.
     """
-    ids = simhash_groups(docs, id_col, text_col, radius).where("doc_id = component_id").select(F.col("doc_id").alias("kept_doc_id")).distinct()
-    one = docs.join(ids, docs[id_col] == ids["kept_doc_id"], "left_semi").dropDuplicates([id_col])
-    return one.unionByName(docs.where(F.col(id_col).isNull()))
+    columns = [c for c, kind in docs.dtypes if "map<" not in kind]
+    hashes = [F.xxhash64(F.lit(k), *columns).alias(f"llm_row{k}") for k in (0, 1)]
+    rows = kept(docs.select(F.col(id_col).cast("long").alias("doc_id"), fingerprint_udf(F.col(text_col)).alias("fp"), *hashes), "prints")
+    place = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "llm_row0", "llm_row1")
+    first = rows.join(_rooted(rows, radius, BLOCK).select("fp", "root"), "fp").groupBy("root").agg(F.min(place).alias("m"))
+    keys = ["llm_row0", "llm_row1"]
+    return docs.select("*", *hashes).join(first.select("m.llm_row0", "m.llm_row1"), keys, "left_semi").dropDuplicates(keys).select(*docs.columns)

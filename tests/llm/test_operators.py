@@ -57,6 +57,14 @@ def test_drop_near_copies(spark):
     assert sorted(r.doc_id for r in kept) == [2, 4]
 
 
+def test_drop_near_copies_of_repeated_ids(spark):
+    copy, lone, none = "a b c d", "quite other words stand here alone", "and a third text without any id"
+    d = table(spark, [copy, copy, lone, none, none, copy, lone], [2, 5, 5, None, None, None, 7])
+    want = [(2, copy), (5, lone), (None, none)]
+    for k in (1, 3, 7):
+        assert sorted(((r.doc_id, r.text) for r in simhash.drop_near_copies(d.repartition(k)).collect()), key=str) == want
+
+
 def test_bk_forest_finds_all():
     rng = np.random.default_rng(2)
     values = np.unique(rng.integers(0, 4096, 900)).astype(np.uint64)
