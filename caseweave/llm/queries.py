@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseweave.llm import language, main_text, mixing, neighbours, pii, pq_join, sampling, simhash, token_store, toxicity
+from caseweave.llm import divergence, language, main_text, mixing, neighbours, part_codes, pii, pq_join, sampling, simhash, token_store, toxicity
 
 WEIGHTS = [5, 2, 1]
 END_ID = 2
@@ -66,6 +66,14 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_spans(_table(spark, sf_dir, "documents"))
 
 
+def op11_part_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return part_codes.part_codes(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     from corpus_pipeline import ORACLE_SQL, run
 
@@ -80,6 +88,8 @@ def queries() -> dict:
         "op8_nearest": (op8_nearest, None),
         "op9_simhash_groups": (op9_simhash_groups, None),
         "op10_personal_data": (op10_personal_data, None),
+        "op11_part_codes": (op11_part_codes, part_codes.CODES_SQL),
+        "op13_source_divergence": (op13_source_divergence, divergence.DIVERGENCE_SQL),
         "pipeline": (run, ORACLE_SQL),
     }
 
