@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseweave.llm import divergence, language, main_text, mixing, neighbours, part_codes, pii, pq_join, sampling, simhash, token_store, toxicity
+from caseweave.llm import divergence, language, main_text, mixing, neighbours, neural_lm, part_codes, pii, pq_join, sampling, simhash, token_store, toxicity
 
 WEIGHTS = [5, 2, 1]
 END_ID = 2
@@ -70,6 +70,10 @@ def op11_part_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part_codes.part_codes(_table(spark, sf_dir, "embeddings"))
 
 
+def op12_neural_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neural_lm.score_texts(_table(spark, sf_dir, "documents"))
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.source_divergence(_table(spark, sf_dir, "documents"))
 
@@ -89,6 +93,7 @@ def queries() -> dict:
         "op9_simhash_groups": (op9_simhash_groups, None),
         "op10_personal_data": (op10_personal_data, None),
         "op11_part_codes": (op11_part_codes, part_codes.CODES_SQL),
+        "op12_neural_lm": (op12_neural_lm, None),
         "op13_source_divergence": (op13_source_divergence, divergence.DIVERGENCE_SQL),
         "pipeline": (run, ORACLE_SQL),
     }
