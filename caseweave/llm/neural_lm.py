@@ -205,16 +205,16 @@ def log_probs(model: Model, table: np.ndarray, ids: np.ndarray, near: np.ndarray
     return out
 
 
-SCORED = "row long, doc_id long, held_out boolean, n_words long, known long, base double, model double, others long, word string, rows array<long>, times array<long>"
+SCORED = "row long, doc_id long, held_out boolean, n_words long, known long, base double, model double, word string, rows array<long>, times array<long>"
 
 
-def _scored(head, model, table):
+def _scored(head, model, table, log_all: float, log_other: float):
     """Arrow function: (doc_id, held_out, text) to a row per text, and a row per word outside the head with the texts that hold it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h, m, z = head.value, model.value, table.value
         log_count = np.log10(h.counts + 1.0)
-        kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+        kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64())]
         names = [c.split(" ")[0] for c in SCORED.split(", ")]
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
@@ -226,14 +226,14 @@ def _scored(head, model, table):
                     return np.bincount(doc, weights, n)
 
                 in_head = at >= 0
-                own = np.zeros(len(ids))
-                own[in_head] = log_count[at[in_head]]
-                other = ids == OTHER
-                p = log_probs(m, z, ids, *contexts(ids, doc)) / LN10 + np.where(other, own, 0.0)
-                whole = [by_text(x).astype(np.int64) for x in (is_word, in_head, other)]
+                own = log_count[at[in_head]]
+                base, within = np.zeros(len(ids)), np.zeros(len(ids))
+                base[in_head], within[in_head] = own - log_all, own - log_other
+                p = log_probs(m, z, ids, *contexts(ids, doc)) / LN10 + np.where(ids == OTHER, within, 0.0)
+                whole = [by_text(x).astype(np.int64) for x in (is_word, in_head)]
                 rows = np.arange(row, row + n)
-                cols = [rows, part.column(0), part.column(1), whole[0], whole[1], by_text(own), by_text(p), whole[2]]
-                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in cols] + [pa.nulls(n, k) for k in kinds[8:]], names)
+                cols = [rows, part.column(0), part.column(1), *whole, by_text(base), by_text(p)]
+                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in cols] + [pa.nulls(n, k) for k in kinds[7:]], names)
                 rest = np.flatnonzero(is_word & (at == -1))
                 if len(rest):
                     pairs, times = np.unique(number[rest] * n + doc[rest], return_counts=True)
@@ -241,7 +241,7 @@ def _scored(head, model, table):
                     first = np.flatnonzero(np.diff(word, prepend=-1))
                     ends = pa.array(np.append(first, len(word)).astype(np.int32))
                     lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (text + row, times)]
-                    yield pa.RecordBatch.from_arrays([pa.nulls(len(first), k) for k in kinds[:8]] + [distinct.take(pa.array(word[first])), *lists], names)
+                    yield pa.RecordBatch.from_arrays([pa.nulls(len(first), k) for k in kinds[:7]] + [distinct.take(pa.array(word[first])), *lists], names)
                 row += n
 
     return run
@@ -301,19 +301,22 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     table = np.zeros((found.outputs, found.outputs), np.float32)
     for r in lines.collect():  # outputs x outputs numbers
         table[r.near] = r.z
-    scored = kept(slim.mapInArrow(_scored(head, given, sc.broadcast(table)), SCORED), "scored")
+    log_all, log_other, log_end = (float(np.log10(x + 1.0)) for x in (total.n + total.v, n_other + v_other, total.ends))
+    scored = kept(slim.mapInArrow(_scored(head, given, sc.broadcast(table), log_all, log_other), SCORED), "scored")
 
     outside = scored.where("word is not null").select("word", "rows", "times").join(words, "word", "left")
-    outside = outside.select(F.log10(F.coalesce("n", F.lit(0)) + 1).alias("own"), F.col("n").isNotNull().cast("int").alias("known"), F.explode(F.arrays_zip("rows", "times")).alias("e"))
-    rest = outside.groupBy(F.col("e.rows").alias("row")).agg(F.sum(F.col("own") * F.col("e.times")).alias("rest"), F.sum(F.col("known") * F.col("e.times")).alias("rest_known"))
-    texts = scored.where("word is null").drop("word", "rows", "times").join(rest, "row", "left").na.fill(0, ["rest", "rest_known"])
-    n_tokens = F.col("n_words") + 1
+    own, times = F.log10(F.coalesce("n", F.lit(0)) + 1), F.col("e.times")
+    outside = outside.select(own.alias("own"), F.col("n").isNotNull().cast("int").alias("in_training"), F.explode(F.arrays_zip("rows", "times")).alias("e"))
+    rest = outside.groupBy(F.col("e.rows").alias("row")).agg(
+        F.sum((F.col("own") - log_all) * times).alias("rest_base"), F.sum((F.col("own") - log_other) * times).alias("rest_model"), F.sum(F.col("in_training") * times).alias("rest_known")
+    )
+    texts = scored.where("word is null").drop("word", "rows", "times").join(rest, "row", "left").na.fill(0, ["rest_base", "rest_model", "rest_known"])
     return texts.select(
         "doc_id",
         "held_out",
-        n_tokens.alias("n_tokens"),
+        (F.col("n_words") + 1).alias("n_tokens"),
         (F.col("known") + F.col("rest_known") + int(total.ends > 0)).alias("n_known"),
         F.lit(total.n).cast("long").alias("train_tokens"),
-        (F.col("base") + F.col("rest") + float(np.log10(total.ends + 1.0)) - n_tokens * float(np.log10(total.n + total.v + 1.0))).alias("base_score"),
-        (F.col("model") + F.col("rest") - F.col("others") * float(np.log10(n_other + v_other + 1.0))).alias("score"),
+        (F.col("base") + F.col("rest_base") + (log_end - log_all)).alias("base_score"),
+        (F.col("model") + F.col("rest_model")).alias("score"),
     )
