@@ -25,7 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CHUNK = re.compile("▁+[^▁]*|[^▁]+")
-BATCH_CHARS = 3 << 20
+BATCH_CHARS = 1 << 19
+KEPT_EDGES = 1 << 20
 FAINT = 60.0
 U = np.uint64
 
@@ -36,6 +37,14 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
+def mix_one(x: int) -> U:
+    """``mix64`` of one number."""
+    x &= 0xFFFFFFFFFFFFFFFF
+    x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & 0xFFFFFFFFFFFFFFFF
+    x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & 0xFFFFFFFFFFFFFFFF
+    return U(x ^ (x >> 31))
+
+
 def uniform(seed: np.ndarray, a: np.ndarray, b: np.ndarray | int) -> np.ndarray:
     """Numbers in (0, 1) fixed by a 64-bit seed and two counters."""
     h = mix64(seed + np.asarray(a).astype(U) * U(0x9E3779B97F4A7C15))
@@ -151,12 +160,33 @@ def normalized(text: str) -> str:
 class Lattice:
     """The lattices of distinct words side by side; a state is a sign's position, edges are pieces."""
 
-    def __init__(self, vocabulary: Vocabulary, words: list[str]):
-        v = vocabulary
+    GROWS = {"start": np.int64, "src": np.int64, "piece": np.int32, "dest": np.int64, "log_prob": float, "prob": float, "upto": float, "rare_size": np.int64, "rare_ids": np.int32}
+
+    def __init__(self, vocabulary: Vocabulary, words: list[str] = ()):
+        self.vocabulary, self.first = vocabulary, np.zeros(1, np.int64)
+        for name, kind in self.GROWS.items():
+            setattr(self, name, np.zeros(0, kind))
+        if words:
+            self.add(words)
+
+    def add(self, words: list[str]) -> None:
+        """Set the lattices of more words beside those that are there."""
+        states, edges, rare = len(self.first) - 1, len(self.src), len(self.rare_size)
+        more = self._built(words)
+        more["start"] += states
+        more["src"] += states
+        more["dest"][more["dest"] >= 0] += states
+        more["piece"][more["piece"] < 0] -= rare
+        self.first = np.concatenate([self.first, more.pop("first")[1:] + edges])
+        for name, x in more.items():
+            setattr(self, name, np.concatenate([getattr(self, name), x.astype(self.GROWS[name], copy=False)]))
+
+    def _built(self, words: list[str]) -> dict[str, np.ndarray]:
+        v = self.vocabulary
         signs = np.frombuffer("".join(words).encode("utf-32-le", "replace"), "<i4")
         size = np.fromiter(map(len, words), np.int32, len(words))
-        self.start = np.cumsum(size, dtype=np.int64) - size
-        left = np.repeat((self.start + size).astype(np.int32), size) - np.arange(len(signs), dtype=np.int32)
+        start = np.cumsum(size, dtype=np.int64) - size
+        left = np.repeat((start + size).astype(np.int32), size) - np.arange(len(signs), dtype=np.int32)
         code = v.code[signs]
         pos, node = np.arange(len(signs), dtype=np.int32), np.zeros(len(signs), np.int64)
         starts, lengths, pieces = [], [], []
@@ -183,16 +213,16 @@ class Lattice:
         src, length, piece = src[order], length[order], piece[order]
         # written as bytes, or the unknown piece
         coded = [[v.byte[b] for b in chr(c).encode("utf-8", "replace")] if v.byte else [v.unknown] for c in signs[rare].tolist()]
-        self.rare_size = np.array([len(c) for c in coded], np.int64)
-        self.rare_ids = np.array([i for c in coded for i in c], np.int32)
+        rare_size = np.array([len(c) for c in coded], np.int64)
+        rare_ids = np.array([i for c in coded for i in c], np.int32)
         weight = v.weight[piece]
         odd = np.flatnonzero(piece < 0)
         if len(odd):
             which = -1 - piece[odd]
-            weight[odd] = v.rare * self.rare_size[which]
-            starts_at = np.cumsum(self.rare_size) - self.rare_size
-            one = self.rare_size[which] == 1  # a single byte is an id like any other
-            piece[odd[one]] = self.rare_ids[starts_at[which[one]]]
+            weight[odd] = v.rare * rare_size[which]
+            starts_at = np.cumsum(rare_size) - rare_size
+            one = rare_size[which] == 1  # a single byte is an id like any other
+            piece[odd[one]] = rare_ids[starts_at[which[one]]]
         row = left[src]
         order = np.argsort(row.astype(np.uint16) if len(row) and row.max() < 1 << 16 else row, kind="stable")
         beta = np.zeros(len(signs) + 1)
@@ -204,19 +234,19 @@ class Lattice:
             s, n = src[e], length[e]
             x = weight[e] + np.where(n == by_row[a], 0.0, beta[np.minimum(s + n, len(signs))])
             total[e] = x
-            first = np.flatnonzero(np.diff(s, prepend=-1))
-            top = np.maximum.reduceat(x, first)
-            beta[s[first]] = top + np.log(np.add.reduceat(np.exp(x - np.repeat(top, np.diff([*first, b - a]))), first))
-        self.src, self.piece = src, piece
-        self.dest = np.where(length == row, -1, src + length)
-        self.log_prob = total - beta[src]
-        self.prob = np.exp(self.log_prob)
-        self.first = np.concatenate([[0], np.cumsum(np.bincount(src, minlength=len(signs)))])
-        up = np.concatenate([[0.0], np.cumsum(self.prob)])
-        base = up[self.first[src]]
-        self.upto = (up[1:] - base) / np.maximum(up[self.first[src + 1]] - base, 1e-300)
+            heads = np.flatnonzero(np.diff(s, prepend=-1))
+            top = np.maximum.reduceat(x, heads)
+            beta[s[heads]] = top + np.log(np.add.reduceat(np.exp(x - np.repeat(top, np.diff([*heads, b - a]))), heads))
+        dest = np.where(length == row, -1, src + length).astype(np.int64)
+        log_prob = total - beta[src]
+        prob = np.exp(log_prob)
+        first = np.concatenate([[0], np.cumsum(np.bincount(src, minlength=len(signs)))])
+        up = np.concatenate([[0.0], np.cumsum(prob)])
+        base = up[first[src]]
+        upto = (up[1:] - base) / np.maximum(up[first[src + 1]] - base, 1e-300)
         if len(src):
-            self.upto[self.first[1:] - 1] = 2.0  # a state's last edge takes what is left
+            upto[first[1:] - 1] = 2.0  # a state's last edge takes what is left
+        return {"start": start, "src": src.astype(np.int64), "piece": piece, "dest": dest, "log_prob": log_prob, "prob": prob, "upto": upto, "first": first, "rare_size": rare_size, "rare_ids": rare_ids}
 
     def draw(self, state: np.ndarray, u: np.ndarray) -> np.ndarray:
         e = self.first[state]
@@ -263,13 +293,13 @@ class Paths:
     """The search of one text: its samples so far and the queue of nodes beside them."""
 
     def __init__(self, lattice: Lattice, state: np.ndarray, seed: int):
-        self.lattice, self.state, self.seed = lattice, state, U(seed)
+        self.lattice, self.state, self.seed = lattice, state, seed
         self.samples: list[tuple[np.ndarray, np.ndarray, float, float]] = []  # edges, word of each, log p, perturbed
         self.queue: list[tuple[np.ndarray, int]] = []  # bounds beside a sample's steps from some step on
         self.again: list[tuple[float, int, int, frozenset]] = []  # bound, sample, step, edges that are used up
 
     def _u(self, k: int, what: int, n: int) -> np.ndarray:
-        return uniform(np.full(n, mix64(np.array([self.seed + U(k * 8 + what)]))[0]), np.arange(n), 0)
+        return uniform(np.full(n, mix_one(self.seed + k * 8 + what)), np.arange(n), 0)
 
     def add(self, edges: np.ndarray, word: np.ndarray, perturbed: float, since: int) -> None:
         """A new sample whose steps from ``since`` on are fresh; the nodes beside those join the queue.
@@ -298,18 +328,18 @@ class Paths:
                 top = (float(b), k, i + since, frozenset([int(self.samples[k][0][i + since])]))
         return top
 
-    def branch(self, fresh: tuple[np.ndarray, np.ndarray], top: tuple[float, int, int, frozenset]) -> None:
-        """Leave the queue at ``top``: another edge there, then the rest of the word and the ``fresh`` words after it."""
+    def pick(self, top: tuple[float, int, int, frozenset]) -> tuple[int, int, U]:
+        """Leave the queue at ``top``: another edge there, the state it leads to and the seed of the rest of its word."""
         bound, k, step, used = top
-        old, word, _, _ = self.samples[k]
+        old = self.samples[k][0]
         new = len(self.samples)
         lat = self.lattice
         at = int(lat.src[old[step]])
         edges = np.arange(lat.first[at], lat.first[at + 1])
-        p = np.where(np.isin(edges, list(used)), 0.0, lat.prob[edges])
+        p = lat.prob[edges]
+        p[[e - edges[0] for e in used]] = 0.0
         u = self._u(new, 2, 1)[0]
         e = int(edges[min(np.searchsorted(np.cumsum(p), u * p.sum(), "right"), np.flatnonzero(p)[-1])])
-        w = word[step]
         if k < len(self.queue) and step >= self.queue[k][1] and len(used) == 1:
             self.queue[k][0][step - self.queue[k][1]] = -np.inf
         self.again = [a for a in self.again if not (a[1] == k and a[2] == step)]
@@ -318,24 +348,56 @@ class Paths:
             before = float(lat.log_prob[old[:step]].sum())
             g = cut_gumbel(np.array([before + np.log(rest)]), np.array([bound]), self._u(new, 3, 1))[0]
             self.again.append((float(g), k, step, used | {e}))
-        tail = np.zeros(0, np.int64)
-        if lat.dest[e] >= 0:
-            tail = lat.walk(np.array([lat.dest[e]]), mix64(np.array([self.seed + U(new * 8 + 4)])), np.zeros(1, np.int64))[1]
+        return e, int(lat.dest[e]), mix_one(self.seed + new * 8 + 4)
+
+    def branch(self, top: tuple[float, int, int, frozenset], e: int, tail: np.ndarray, fresh: tuple[np.ndarray, np.ndarray]) -> None:
+        """The path up to ``top``, the picked edge, the ``tail`` of its word and the ``fresh`` words after it."""
+        bound, k, step, _ = top
+        old, word, _, _ = self.samples[k]
         path = np.concatenate([old[:step], [e], tail, fresh[1]])
-        words = np.concatenate([word[:step], np.full(1 + len(tail), w), fresh[0]])
+        words = np.concatenate([word[:step], np.full(1 + len(tail), word[step]), fresh[0]])
         self.add(path, words, bound, step + 1)
 
 
-def sample_texts(vocabulary: Vocabulary, texts: list[str], keys: np.ndarray, k: int) -> list[list[tuple[np.ndarray, float, float, float]]]:
+class Words:
+    """The lattices of the words met so far, up to about ``KEPT_EDGES`` edges; then only those that came again."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.vocabulary = vocabulary
+        self._start({})
+
+    def _start(self, words: dict[str, int]) -> None:
+        self.plain = Numbers((w, i) for i, w in enumerate(words))  # words after one blank are numbered without it
+        self.uses = np.zeros(0, np.int64)
+        self.lattice = Lattice(self.vocabulary, [w if w[:1] == "▁" else "▁" + w for w in words])
+
+    def numbered(self, texts: list[str]) -> list[list[int]]:
+        """Each text's words as numbers; their lattices are there afterwards."""
+        if len(self.lattice.src) > KEPT_EDGES:
+            again = self.uses > 2
+            self._start(dict.fromkeys(w for w, i in self.plain.items() if again[i]) if again.sum() * 2 < len(again) else {})
+        known = len(self.plain)
+        chunks = [list(map(self.plain.__getitem__, chunks_of(t))) for t in texts]
+        if new := list(itertools.islice(self.plain, known, None)):
+            self.lattice.add([w if w[:1] == "▁" else "▁" + w for w in new])
+        return chunks
+
+    def used(self, flat: np.ndarray) -> None:
+        n = np.bincount(flat, minlength=len(self.plain))
+        n[: len(self.uses)] += self.uses
+        self.uses = n
+
+
+def sample_texts(words: Words, texts: list[str], keys: np.ndarray, k: int) -> list[list[tuple[np.ndarray, float, float, float]]]:
     """For each text up to ``k`` distinct samples: (ids, log-probability, perturbed, inclusion), best first.
 
     ``keys`` are 64-bit seeds. The result for a text depends on its key and itself alone.
     """
-    plain = Numbers()  # words after one blank are numbered without it
-    chunks = [list(map(plain.__getitem__, chunks_of(t))) for t in texts]
-    lattice = Lattice(vocabulary, [w if w[:1] == "▁" else "▁" + w for w in plain])
+    chunks = words.numbered(texts)
+    lattice = words.lattice
     size = np.array([len(c) for c in chunks])
     flat = np.fromiter(itertools.chain.from_iterable(chunks), np.int64, size.sum())
+    words.used(flat)
     begin = np.cumsum(size) - size
     word = np.arange(len(flat)) - np.repeat(begin, size)
     state = lattice.start[flat]
@@ -351,6 +413,12 @@ def sample_texts(vocabulary: Vocabulary, texts: list[str], keys: np.ndarray, k:
         rows, edges = lattice.walk(state[wanted], mix64(np.repeat(keys, size)[wanted] + U(j * 8 + 5)), word[wanted])
         rows = wanted[rows]
         cuts = np.searchsorted(rows, np.append(begin, len(flat)))
+        picks = {t: searches[t].pick(top) for t, top in enumerate(tops) if top[0] > -np.inf}
+        tails = dict.fromkeys(picks, np.zeros(0, np.int64))
+        if going := [t for t, (_, state_after, _) in picks.items() if state_after >= 0]:
+            states, seeds = (np.array([picks[t][i] for t in going]) for i in (1, 2))
+            of, more = lattice.walk(states, seeds, np.zeros(len(going), np.int64))
+            tails |= dict(zip(going, np.split(more, np.searchsorted(of, np.arange(1, len(going)))), strict=True))
         for t in range(len(texts)):
             a, b = cuts[t], cuts[t + 1]
             own = word[rows[a:b]]
@@ -360,7 +428,7 @@ def sample_texts(vocabulary: Vocabulary, texts: list[str], keys: np.ndarray, k:
                 g = -np.log(-np.log(s._u(0, 0, 1)[0]))
                 s.add(edges[a:b], own, float(g), 0)
             elif tops[t][0] > -np.inf:
-                searches[t].branch((own, edges[a:b]), tops[t])
+                searches[t].branch(tops[t], picks[t][0], tails[t], (own, edges[a:b]))
     out = []
     for s in searches:
         threshold = s.best()[0]
@@ -369,20 +437,21 @@ def sample_texts(vocabulary: Vocabulary, texts: list[str], keys: np.ndarray, k:
     return out
 
 
-_vocabularies: dict[str, Vocabulary] = {}
+_words: dict[str, Words] = {}
 
 
 def sampler(model: str, k: int, digest: bool):
     """Arrow function (doc_id, seed, text) to one row per sample; ``digest`` gives a crc and a round trip for the ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if model not in _vocabularies:
-            _vocabularies[model] = Vocabulary(model)
-        v = _vocabularies[model]
+        if model not in _words:  # one per worker process, kept between tasks
+            _words[model] = Words(Vocabulary(model))
+        own_words = _words[model]
+        v = own_words.vocabulary
 
         def flush(ids, seeds, texts) -> pa.RecordBatch:
             cols: list[list] = [[] for _ in range(7)]
-            for key, text, samples in zip(ids, texts, sample_texts(v, texts, np.array(seeds, np.int64).view(U), k), strict=True):
+            for key, text, samples in zip(ids, texts, sample_texts(own_words, texts, np.array(seeds, np.int64).view(U), k), strict=True):
                 want = text.replace("▁", " ").encode("utf-8", "replace") if digest else b""
                 for rank, (tokens, lp, g, q) in enumerate(samples, 1):
                     own = (zlib.crc32(tokens.astype("<u4").tobytes()), v.decode_bytes(tokens) == want) if digest else (tokens,)

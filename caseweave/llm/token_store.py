@@ -17,12 +17,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from caseweave.llm.common import kept, work_path
+from caseweave.llm.words import WORDS, coded, text_slices, words_of
 
 BLOCK, PERCENTILE, SEGMENT = 1024, 0.9, 1 << 20
 MAGIC = b"PFR1"
@@ -85,10 +87,15 @@ def unpack(data: bytes, offset: int = 0) -> tuple[np.ndarray, int]:
     return v.ravel()[:n], offset
 
 
+#: Texts with these signs go through the library as a whole: special tokens, and controls that are white space to some and signs to others.
+ODD = r"<\||[\x00\x1c-\x1f]"
+
+
 class WordIds(dict):
     """Word -> its token ids as little-endian bytes; ``encode`` is that of the tokenizers library.
 
-    Text is cut at white space, which the tokenizer drops. Words of ASCII and Latin-1 letters and
+    Texts are cut at ASCII white space, which the tokenizer drops, and their distinct words are
+    encoded once a slice; all texts' ids are then one gather. Words of ASCII and Latin-1 letters and
     signs need only lower-casing, so their pieces go to the library's BPE model directly; every
     other word, and every text with control or special-token signs, goes through the whole
     library. The words seen are kept up to a bound, then forgotten.
@@ -119,13 +126,26 @@ class WordIds(dict):
         self[word] = ids
         return ids
 
-    def encode(self, text: str) -> bytes:
-        if "<|" in text or any(c in text for c in "\x00\x1c\x1d\x1e\x1f"):
-            return self.whole(text)
+    def encode(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids of each text, all ids) of a column without nulls."""
         if len(self) > self.bound or len(self.pieces) > self.bound:
             self.clear()
             self.pieces.clear()
-        return b"".join(map(self.__getitem__, text.split()))
+        odd = pc.match_substring_regex(texts, ODD).to_numpy(zero_copy_only=False)
+        words, sizes = words_of(pc.if_else(pa.array(odd), "", texts) if odd.any() else texts, WORDS)
+        code, distinct = coded(words)
+        ids = list(map(self.__getitem__, distinct.to_pylist()))
+        if odd.any():  # such a text is one word of its own
+            at = np.flatnonzero(odd)
+            code = np.insert(code, np.cumsum(sizes)[at], len(ids) + np.arange(len(at)))
+            sizes[at] += 1
+            ids += [self.whole(texts[int(i)].as_py()) for i in at]
+        length = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        n, ends = length[code], np.concatenate([[0], np.cumsum(sizes)])
+        upto = np.concatenate([[0], np.cumsum(n)])
+        at = np.arange(upto[-1]) + np.repeat((np.cumsum(length) - length)[code] - upto[:-1], n)
+        return np.diff(upto[ends]), flat[at]
 
 
 _encoders: dict[str, WordIds] = {}
@@ -151,20 +171,19 @@ def write_parts(folder: str, tokenizer: str, end_id: int):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
+        ids_of = encoder(tokenizer)
         out, path, index, at, first = None, "", [], 0, None
-        held: list[bytes] = []
-        keys: list[int | None] = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        keys: list[pa.Array] = []
         n_docs = n_ids = n_held = 0
 
         def flush() -> None:
             nonlocal held, keys, at, n_held, n_ids
-            lengths = np.array([len(h) // 4 for h in held], np.uint32)
-            named = np.array([k is not None for k in keys], np.uint8)
-            numbers = np.array([k or 0 for k in keys], "<i8")
-            body = numbers.tobytes() + named.tobytes() + pack(lengths) + pack(np.frombuffer(b"".join(held), "<u4"))
+            key = pa.concat_arrays(keys)
+            lengths, ids = (np.concatenate(x) for x in zip(*held, strict=True))
+            body = pc.fill_null(key, 0).to_numpy().astype("<i8").tobytes() + key.is_valid().to_numpy(zero_copy_only=False).astype(np.uint8).tobytes() + pack(lengths) + pack(ids)
             index.append((at, n_ids))
-            out.write(struct.pack("<QQ", len(body), len(keys)) + body)
+            out.write(struct.pack("<QQ", len(body), len(key)) + body)
             at += 16 + len(body)
             n_ids += n_held
             held, keys, n_held = [], [], 0
@@ -179,11 +198,12 @@ def write_parts(folder: str, tokenizer: str, end_id: int):
                 out = fs.open_output_stream(_open(path)[1], compression=None)
                 out.write(MAGIC)
                 at, first = len(MAGIC), batch.column(0)[0].as_py()
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                held.append(ids_of.encode(text.as_py() or "") + end)
-                keys.append(key)
-                n_held += len(held[-1]) // 4
-                n_docs += 1
+            for part in text_slices(batch, 1):
+                n, ids = ids_of.encode(part.column(1))
+                held.append(((n + 1).astype(np.uint32), np.insert(ids, np.cumsum(n), end_id).astype(np.uint32, copy=False)))
+                keys.append(part.column(0))
+                n_held += len(held[-1][1])
+                n_docs += part.num_rows
                 if n_held >= SEGMENT:
                     flush()
         if out is not None:
@@ -229,7 +249,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2,
     side by side in the order of their texts; a null or empty text holds the end id alone. Other
     columns are not read. An empty table writes no file.
     """
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     ordered = slim.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     files = kept(ordered.mapInArrow(write_parts(folder, tokenizer, end_id), "path string, first_id long, n_docs long, n_ids long"), "manifest")
     before = Window.orderBy(F.col("first_id").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)

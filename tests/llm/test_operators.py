@@ -140,6 +140,21 @@ def test_pack_round_trip():
     assert len(token_store.pack(v)) < 200
 
 
+def test_samples_do_not_depend_on_the_words_met_before(monkeypatch):
+    monkeypatch.setattr(sampling, "KEPT_EDGES", 300)
+    rnd = random.Random(4)
+    v = sampling.Vocabulary(tokenizer_path(PIECE_MODEL))
+    texts = [" ".join(rnd.choices([*WORDS, "naïve", "日本", "𠀀x", "▁"], k=rnd.randint(0, 12))) for _ in range(40)]
+    keys = np.arange(40).astype(np.uint64) * np.uint64(31)
+    kept, met = sampling.Words(v), []
+    for a in range(0, 40, 5):
+        met += sampling.sample_texts(kept, texts[a : a + 5], keys[a : a + 5], 3)
+    for t, k, samples in zip(texts, keys, met):
+        alone = sampling.sample_texts(sampling.Words(v), [t], np.array([k]), 3)[0]
+        assert [(tuple(x[0]), *np.round(x[1:], 9)) for x in samples] == [(tuple(x[0]), *np.round(x[1:], 9)) for x in alone]
+        assert len({tuple(x[0]) for x in samples}) == len(samples)
+
+
 def test_token_store(spark):
     from tokenizers import Tokenizer
 
@@ -159,6 +174,7 @@ def test_token_store(spark):
 def test_sampled_segmentations(spark):
     model = tokenizer_path(PIECE_MODEL)
     v = sampling.Vocabulary(model)
+    words = sampling.Words(v)
     lattice = sampling.Lattice(v, ["▁the"])
 
     def paths(state):
@@ -168,12 +184,12 @@ def test_sampled_segmentations(spark):
 
     exact = {tuple(lattice.ids(np.array(e))): p for e, p in paths(0).items()}
     assert math.isclose(sum(exact.values()), 1)
-    drawn = sampling.sample_texts(v, ["the"] * 4000, np.arange(4000).astype(np.uint64) * np.uint64(977), 2)
+    drawn = sampling.sample_texts(words, ["the"] * 4000, np.arange(4000).astype(np.uint64) * np.uint64(977), 2)
     for place, share in ((0, lambda s: exact[s]), (1, lambda s: sum(p * exact[s] / (1 - p) for o, p in exact.items() if o != s))):
         for s in exact:
             assert abs(sum(tuple(d[place][0]) == s for d in drawn) / 4000 - share(s)) < 0.03
     assert all(tuple(d[0][0]) != tuple(d[1][0]) and math.isclose(exact[tuple(d[0][0])], math.exp(d[0][1])) for d in drawn)
-    every = sampling.sample_texts(v, ["the"], np.array([5], np.uint64), 100)[0]
+    every = sampling.sample_texts(words, ["the"], np.array([5], np.uint64), 100)[0]
     assert {tuple(s[0]) for s in every} == set(exact) and all(s[3] == 1 for s in every)
     d = table(spark, ODD + ["日本 \n\t x  y", "▁a ▁", " lead"])
     got = sampling.segmentations(d, model, digest=True).collect()
