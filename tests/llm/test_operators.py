@@ -341,3 +341,60 @@ def test_pii(spark):
     clean = {r.doc_id: r for r in pii.redacted(d).collect()}
     assert clean[304].text == "ip [IP] and 1.2.3.999 tel [PHONE]" and clean[304].n_chars == len(clean[304].text) and clean[300].text is None
     assert pii.pii_spans(d.limit(0)).count() == 0
+
+
+def private_texts(rnd, n):
+    """Texts with personal data as the base rules know it, between invented words."""
+    out = []
+    for _ in range(n):
+        card = [str(rnd.randint(3, 6)), *(str(rnd.randint(0, 9)) for _ in range(14))]
+        card = next("".join(card) + d for d in "0123456789" if pii.luhn("".join(card) + d))
+        data = [
+            f"{rnd.choice(WORDS)}.{rnd.randint(0, 99)}@mail{rnd.randint(1, 9)}.example.{rnd.choice(['com', 'org', 'net'])}",
+            ".".join(str(rnd.randint(1, 255)) for _ in range(4)),
+            card,
+            f"+{rnd.randint(1, 99)} ({rnd.randint(100, 999)}) 555-{rnd.randint(0, 9999):04}",
+        ]
+        out.append(" ".join(x for d in data for x in [*rnd.choices(WORDS, k=4), d]) + " end.")
+    return out
+
+
+def test_added_spans(spark):
+    rnd = random.Random(6)
+    planted = {
+        "call me on 796-555-0716 now": "796-555-0716",
+        "reach (796) 555-0716 today": "(796) 555-0716",
+        "dial 0049 796 555 0717 now": "0049 796 555 0717",
+        "write jo.81 [at] mail7 [dot] example.com soon": "jo.81 [at] mail7 [dot] example.com",
+        "write jo.81(at)mail7.example.com soon": "jo.81(at)mail7.example.com",
+        "use 4475.3837.7016.0990 here": "4475.3837.7016.0990",
+        "room 1234 4475383770160990 here": "4475383770160990",
+        "host 210[.]112[.]33[.]174 is down": "210[.]112[.]33[.]174",
+        "host 999.210.112.33.174 is down": "210.112.33.174",
+        "from +1 (796) 555-0716 2024 1234567 on": "+1 (796) 555-0716",
+    }
+    alike = ["born 1999-12-31 there", "on 31.12.1999 we met", "we meet (at) noon.Then we go", "use 4475.3837.7016.0991 here", "version 2024.3.14.7.2 is out", "room 1234 4475383770160991 here"]
+    texts = [*planted, *alike, *private_texts(rnd, 700), *(" ".join(rnd.choices(WORDS, k=60)) for _ in range(100))]
+    got = {r.doc_id: r for r in pii.pii_spans(table(spark, texts)).collect()}
+    for i, (t, want) in enumerate(planted.items()):
+        at = t.index(want)
+        assert got[i].n_added >= 1 and f":{at}:{at + len(want)}" in got[i].spans, t
+    assert all(got[len(planted) + i].n_added == 0 for i in range(len(alike)))
+    clean = [r.n_added for i, r in got.items() if i >= len(planted) + len(alike)]
+    assert sum(clean) <= 0.005 * 4 * 700
+
+
+def test_taken_spans_and_long_runs():
+    rnd = random.Random(2)
+    taken, slow = pii.Taken([(5, 9), (7, 12), (30, 31)]), [(5, 9), (7, 12), (30, 31)]
+    for _ in range(500):
+        a = rnd.randint(0, 300)
+        b = a + rnd.randint(1, 6)
+        meets = any(x < b and a < y for x, y in slow)
+        assert taken.meets(a, b) == meets
+        if not meets:
+            taken.add(a, b)
+            slow.append((a, b))
+    zeros = "0" * 5000 + ".1.1.1"
+    assert pii.base_spans(zeros) == [(1, 0, len(zeros))]
+    assert pii.base_spans("9" * 5000 + ".1.1.1") == [] and pii.base_spans("1" * 40 + "+" + "0" * 9000) == []
