@@ -91,11 +91,28 @@ def unpack(data: bytes, offset: int = 0) -> tuple[np.ndarray, int]:
 ODD = r"<\||[\x00\x1c-\x1f]"
 
 
+#: A letter is 1, a digit 2, any other sign 3.
+KIND = np.full(256, 3, np.uint8)
+KIND[[c for c in range(128) if chr(c).isalpha()]] = 1
+KIND[ord("0") : ord("9") + 1] = 2
+
+
+def _joined(ids: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first, number) of each and all ids."""
+    n = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+    return np.cumsum(n) - n, n, np.frombuffer(b"".join(ids), "<u4")
+
+
+def _spread(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The places first, first + 1, ... of runs of ``n``, one after the other."""
+    return np.arange(n.sum()) + np.repeat(first - (np.cumsum(n) - n), n)
+
+
 class WordIds(dict):
     """Word -> its token ids as little-endian bytes; ``encode`` is that of the tokenizers library.
 
     Texts are cut at ASCII white space, which the tokenizer drops, and their distinct words are
-    encoded once a slice; all texts' ids are then one gather. Words of ASCII and Latin-1 letters and
+    encoded once a slice, by their distinct pieces; all texts' ids are then gathers. Words of ASCII and Latin-1 letters and
     signs need only lower-casing, so their pieces go to the library's BPE model directly; every
     other word, and every text with control or special-token signs, goes through the whole
     library. The words seen are kept up to a bound, then forgotten.
@@ -126,6 +143,33 @@ class WordIds(dict):
         self[word] = ids
         return ids
 
+    def of_words(self, words: pa.StringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first id, number of ids) of each word within all ids, and those.
+
+        The pieces of ASCII words without apostrophes are runs of letters, single digits and runs
+        of other signs; they are found in the buffer. Other words are looked up one by one.
+        """
+        ends = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1]
+        data = np.frombuffer(words.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+        hard = np.logical_or.reduceat((data > 127) | (data == ord("'")), ends[:-1] - ends[0]) if len(words) else np.zeros(0, bool)
+        plain = words.filter(pa.array(~hard))
+        ends = np.frombuffer(plain.buffers()[1], np.int32)[: len(plain) + 1]
+        data = np.frombuffer(plain.buffers()[2] or b"", np.uint8)[: ends[-1]]
+        kind = KIND[data]
+        begin = np.append(True, (kind[1:] != kind[:-1]) | (kind[1:] == 2))[: len(data)]
+        begin[ends[:-1]] = True
+        starts = np.append(np.flatnonzero(begin), len(data)).astype(np.int32)
+        piece, distinct = coded(pa.StringArray.from_buffers(len(starts) - 1, pa.py_buffer(starts), pa.py_buffer(np.ascontiguousarray(data))))
+        first, n, ids = _joined(list(map(self.piece, distinct.to_pylist())))
+        upto = np.concatenate([[0], np.cumsum(n[piece])])
+        ids = ids[_spread(first[piece], n[piece])]
+        at = np.searchsorted(starts[:-1], ends)
+        more_first, more_n, more = _joined(list(map(self.__getitem__, words.filter(pa.array(hard)).to_pylist())))
+        all_first, all_n = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
+        all_first[~hard], all_n[~hard] = upto[at[:-1]], np.diff(upto[at])
+        all_first[hard], all_n[hard] = more_first + len(ids), more_n
+        return all_first, all_n, np.concatenate([ids, more])
+
     def encode(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
         """(number of ids of each text, all ids) of a column without nulls."""
         if len(self) > self.bound or len(self.pieces) > self.bound:
@@ -134,18 +178,15 @@ class WordIds(dict):
         odd = pc.match_substring_regex(texts, ODD).to_numpy(zero_copy_only=False)
         words, sizes = words_of(pc.if_else(pa.array(odd), "", texts) if odd.any() else texts, WORDS)
         code, distinct = coded(words)
-        ids = list(map(self.__getitem__, distinct.to_pylist()))
+        first, n, ids = self.of_words(distinct)
         if odd.any():  # such a text is one word of its own
             at = np.flatnonzero(odd)
-            code = np.insert(code, np.cumsum(sizes)[at], len(ids) + np.arange(len(at)))
+            code = np.insert(code, np.cumsum(sizes)[at], len(n) + np.arange(len(at)))
             sizes[at] += 1
-            ids += [self.whole(texts[int(i)].as_py()) for i in at]
-        length = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        flat = np.frombuffer(b"".join(ids), "<u4")
-        n, ends = length[code], np.concatenate([[0], np.cumsum(sizes)])
-        upto = np.concatenate([[0], np.cumsum(n)])
-        at = np.arange(upto[-1]) + np.repeat((np.cumsum(length) - length)[code] - upto[:-1], n)
-        return np.diff(upto[ends]), flat[at]
+            whole = _joined([self.whole(texts[int(i)].as_py()) for i in at])
+            first, n, ids = np.append(first, whole[0] + len(ids)), np.append(n, whole[1]), np.concatenate([ids, whole[2]])
+        upto = np.concatenate([[0], np.cumsum(n[code])])
+        return np.diff(upto[np.concatenate([[0], np.cumsum(sizes)])]), ids[_spread(first[code], n[code])]
 
 
 _encoders: dict[str, WordIds] = {}
