@@ -175,11 +175,11 @@ def match_evidence(corpus: DataFrame, specs: list[dict], text: str = "text") ->
     return corpus.withColumn("spec_id", F.explode(F.array_compact(F.array(*hits))))
 
 
-def match_evidence_table(corpus: DataFrame, specs: DataFrame, key: str, text: str = "text", max_literals: int = 256) -> DataFrame:
+def match_evidence_table(corpus: DataFrame, specs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """The same for a spec table of any size: (key, spec_id). specs: spec_id, include, require_any."""
     inc = specs.select("spec_id", F.explode("include").alias("term"))
     req = specs.select("spec_id", F.explode("require_any").alias("term"))
-    hit = lambda ws: match_terms(corpus, key, text, ws, "term", max_literals).join(ws, "term").select(key, "spec_id").distinct()
+    hit = lambda ws: match_terms(corpus, key, text, ws).join(ws, "term").select(key, "spec_id").distinct()
     found = hit(inc)
     free = specs.filter(F.coalesce(F.size("require_any"), F.lit(0)) <= 0).select("spec_id")
     return found.join(free, "spec_id", "left_semi").unionByName(found.join(free, "spec_id", "left_anti").join(hit(req), [key, "spec_id"], "left_semi"))

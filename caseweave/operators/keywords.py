@@ -4,11 +4,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from caseweave.functions.predicates import matched_keywords
 from caseweave.functions.text import let
-from caseweave.session import at_most
-
-GRAM = 3
+from caseweave.operators.automaton import find_terms
 
 
 def grams(c: Column, n: int) -> Column:
@@ -26,24 +23,6 @@ def grams(c: Column, n: int) -> Column:
     )
 
 
-def match_terms(texts: DataFrame, key: str, text: str, terms: DataFrame, term: str = "term", max_literals: int = 256) -> DataFrame:
-    """(key, term) for every term literally inside the text.
-
-    A term list of checked small size becomes literals of one projection. A longer list is
-    joined on the leading characters of the term, so only texts that hold them are looked
-    at, and the hit is verified on the whole text. Both ways give the same rows.
-    """
-    words = terms.select(F.col(term).alias("term")).filter(F.col("term") != "").distinct()
-    if at_most(words, max_literals):
-        bank = [r[0] for r in words.collect()]
-        if not bank:
-            return texts.select(key, F.lit(None).cast("string").alias("term")).limit(0)
-        return texts.select(key, F.explode(matched_keywords(F.col(text), sorted(bank))).alias("term"))
-    words = words.withColumn("_n", F.least(F.length("term"), F.lit(GRAM)))
-    words = words.withColumn("_gram", F.substring("term", 1, GRAM))
-    cand = None
-    for n in range(1, GRAM + 1):
-        runs = texts.select(key, F.explode(grams(F.col(text), n)).alias("_gram"))
-        hits = runs.join(words.filter(F.col("_n") == n), "_gram").select(key, "term")
-        cand = hits if cand is None else cand.unionByName(hits)
-    return cand.join(texts.select(key, text), key).filter(F.contains(F.col(text), F.col("term"))).select(key, "term")
+def match_terms(texts: DataFrame, key: str, text: str, terms: DataFrame, term: str = "term") -> DataFrame:
+    """(key, term) for every term literally inside the text, by one automaton over all terms."""
+    return find_terms(texts, key, text, terms, term).select(key, "term")

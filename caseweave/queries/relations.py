@@ -124,7 +124,7 @@ def _(t):
         C("n_name").alias("spec_id"), F.array(text(C("n_regionkey"), C("n_nationkey") % 7)).alias("include"),
         F.when(C("n_nationkey") > 12, F.array().cast("array<string>")).otherwise(F.array(text(".", C("n_regionkey")))).alias("require_any"),
     )
-    return jo.match_evidence_table(t.documents, specs, "doc_id", max_literals=4)
+    return jo.match_evidence_table(t.documents, specs, "doc_id")
 
 
 MAPPING = [("tion", ["That", "Inha"]), ("ment", []), ("the", ["inenan"]), ("lich", ["zzz"])]

@@ -1,12 +1,17 @@
 """Order-dependent operators against plain row loops."""
 import random
 
+import pyarrow as pa
+import pytest
+
 from pyspark.sql import functions as F
 
 from caseweave import fixed
 from caseweave.functions.classify import PREDICTION
 from caseweave.operators import sequence as sq
 from caseweave.operators import split as sp
+from caseweave.operators import automaton
+from caseweave.operators.automaton import find_terms
 from caseweave.operators.keywords import match_terms
 from caseweave.operators.windows import merge_adjacent
 
@@ -132,10 +137,42 @@ def test_merge_adjacent_by_rows(spark):
     assert got == {tuple(e["ids"]): e["diagnosis"] for e in want}
 
 
-def test_gram_join_equals_literals(spark):
+def test_terms_in_texts(spark):
     rnd = random.Random(5)
-    texts = spark.createDataFrame([(i, "".join(rnd.choice("abcde é") for _ in range(rnd.randint(0, 40)))) for i in range(60)], "id int, text string")
-    terms = spark.createDataFrame([("".join(rnd.choice("abcde é") for _ in range(rnd.randint(1, 5))),) for _ in range(30)], "term string")
-    a = {tuple(r) for r in match_terms(texts, "id", "text", terms).collect()}
-    b = {tuple(r) for r in match_terms(texts, "id", "text", terms, max_literals=2).collect()}
-    assert a == b and a
+    rows = [(i, "".join(rnd.choice("abcde é") for _ in range(rnd.randint(0, 40)))) for i in range(60)] + [(60, None), (61, "ab" * 9000)]
+    words = {"".join(rnd.choice("abcde é") for _ in range(rnd.randint(1, 5))) for _ in range(30)}
+    texts = spark.createDataFrame(rows, "id int, text string").repartition(4)
+    terms = spark.createDataFrame([(w,) for w in [*words, *list(words)[:3], "", None]], "term string")
+    want = {(i, w, t.count(w)) for i, t in rows if t for w in words if w in t}
+    assert {tuple(r) for r in find_terms(texts, "id", "text", terms).collect()} == want and want
+    assert {tuple(r) for r in find_terms(texts, "id", "text", terms, parts=3).collect()} == want
+    assert {tuple(r) for r in match_terms(texts, "id", "text", terms).collect()} == {w[:2] for w in want}
+    assert find_terms(texts, "id", "text", terms.limit(0)).count() == 0
+    with pytest.raises(Exception, match="more than 5 bytes"):
+        find_terms(texts, "id", "text", terms, most_bytes=5).collect()
+
+
+@pytest.mark.parametrize("table", [4 << 20, 40])
+def test_automaton_equals_a_loop(monkeypatch, table):
+    monkeypatch.setattr(automaton, "TABLE", table)
+    rnd = random.Random(table)
+    for signs in ("ab", "abé医 "):
+        for _ in range(20):
+            words = sorted({"".join(rnd.choices(signs, k=rnd.randint(1, 6))) for _ in range(rnd.randint(1, 30))})
+            texts = ["".join(rnd.choices(signs, k=rnd.choice([0, 1, 5, 40, 3000]))) for _ in range(8)]
+            a = automaton.Automaton(words)
+            text, word, n = a.counts(pa.array(["pad", *texts]).slice(1))
+            assert {*zip(text.tolist(), word.tolist(), n.tolist())} == {(i, k, t.count(w)) for i, t in enumerate(texts) for k, w in enumerate(words) if w in t}
+            text, word, place = a.matches(pa.array(texts))
+            every = sorted((i, len((t[:p] + w).encode()), k) for i, t in enumerate(texts) for k, w in enumerate(words) for p in range(len(t)) if t.startswith(w, p))
+            assert [*zip(text.tolist(), place.tolist(), word.tolist())] == every
+
+
+def test_ten_thousand_terms(spark):
+    rnd = random.Random(8)
+    words = sorted({"".join(rnd.choices("abcdefgh", k=rnd.randint(3, 7))) for _ in range(10_000)})
+    rows = [(i, "".join(rnd.choices("abcdefgh ", k=200))) for i in range(40)]
+    terms = spark.createDataFrame([(w,) for w in words], "term string")
+    for some in (words, words[:10]):
+        got = {tuple(r) for r in match_terms(spark.createDataFrame(rows, "id int, text string"), "id", "text", terms.filter(terms.term.isin(some)) if len(some) < 20 else terms).collect()}
+        assert got == {(i, w) for i, t in rows for w in some if w in t}
