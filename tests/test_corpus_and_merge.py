@@ -1,6 +1,10 @@
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from caseweave.operators import merge as me
+from caseweave.operators.windows import capped_topk
 from caseweave.plans import corpus as co
 
 
@@ -69,3 +73,19 @@ def test_candidates_stay_excluded(spark):
     assert lost.first().status == "excluded"
     back = me.sync_candidates(lost.select(*old.columns), new).first()
     assert (back.status, back.decision) == ("excluded", "met")
+
+
+@pytest.mark.parametrize("k, cap", [(8, 3), (2, 1), (5, 5)])
+def test_search_bounds_leave_out_nothing(spark, k, cap):
+    rnd = random.Random(k)
+    words = ["aa", "bb", "cc", "dd"]
+    rules, specials = [(["bb"], ["north"])], [(["south"], ["cc"], False, -20.0), (["north"], ["dd"], True, 18.0)]
+    chunks = [(i, i // 12, f"{rnd.choice(['plain', 'plain', 'north', 'south'])} {i // 12}" if i % 12 == 0 else None, rnd.choice(["", "aa", "cc dd"]), " ".join(rnd.choices([*words, "x", "y"], k=rnd.randint(0, 25)))) for i in range(360)]
+    names = {c[1]: c[2] for c in chunks if c[2]}
+    d = spark.createDataFrame([(i, doc, names[doc], "", title, body) for i, doc, _, title, body in chunks], "chunk_id long, doc_id long, doc_title string, code string, title string, text string")
+    queries = [(i, " ".join(rnd.sample(words, rnd.randint(1, 4)))) for i in range(30)] + [(99, "zz none of the words")]
+    q = spark.createDataFrame(queries, "query_id long, query string")
+    every = co.score_chunks(q, d, words, rules, specials)
+    want = capped_topk(every, ["query_id"], k, cap).selectExpr("query_id", "chunk_id", "rank", "round(score, 2) score").collect()
+    got = co.search(q, d, k, cap, words, rules, specials).select("query_id", "chunk_id", "rank", "score").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len({r.query_id for r in want}) == 30
