@@ -4,10 +4,8 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from caseweave import fixed
 from caseweave import vocabulary as v
@@ -123,30 +121,28 @@ def is_weak_finding(
 def has_positive_hit(c: Column, patterns: list[str], negatives: list[str], window: int = 12) -> Column:
     """A pattern hit with no negative word within ``window`` characters of it.
 
-    Context windows overlap, which a regex that consumes its context cannot see, so
-    rows that hold a hit and a negative word go through a small Arrow function; all
-    other rows are decided by native expressions.
+    The windows of hits overlap, which a regex that consumes its context cannot see. The places
+    of a pattern's hits follow from the hits and the texts between them, in one fold that
+    looks at each hit's window by itself. A pattern must not match the empty text.
     """
-    either = "|".join(f"(?:{p})" for p in patterns)
     x = squeeze(F.coalesce(c, F.lit("")))
 
-    @F.pandas_udf(T.BooleanType())
-    def clear_hit(s: pd.Series) -> pd.Series:
-        rx = [re.compile(p) for p in patterns]
+    def clear(t: Column, pattern: str) -> Column:
+        hits = F.arrays_zip(F.split(t, pattern, -1).alias("gap"), F.regexp_extract_all(t, F.lit(pattern), F.lit(0)).alias("hit"))
+        start = F.struct(F.lit(0).alias("at"), no().alias("clear"))
 
-        def one(t):
-            if t is None:
-                return None
-            return any(
-                not any(n in t[max(0, m.start() - window): m.end() + window] for n in negatives)
-                for r in rx for m in r.finditer(t)
-            )
+        def step(s: Column, h: Column) -> Column:
+            begin = s["at"] + F.length(h["gap"])
+            end = begin + F.length(h["hit"])
+            first = F.greatest(begin - window, F.lit(0))
+            around = F.substr(t, first + 1, end + window - first)
+            return F.struct(end.alias("at"), (s["clear"] | ~contains_any(around, negatives)).alias("clear"))
 
-        return s.map(one).astype("object")
+        return F.aggregate(F.filter(hits, lambda h: h["hit"].isNotNull()), start, step, lambda s: s["clear"])
 
-    hit = x.rlike(either)
-    doubtful = hit & contains_any(x, negatives)
-    return F.coalesce(clear_hit(F.when(doubtful, x)), hit)
+    hit = lambda t: reduce(lambda a, b: a | b, [clear(t, p) for p in patterns], no())
+    found = lambda t: t.rlike("|".join(f"(?:{p})" for p in patterns))
+    return let(x, lambda t: F.when(contains_any(t, negatives), hit(t)).otherwise(found(t)))
 
 
 def has_sign(c: Column, positive: list[str], negative: list[str]) -> Column:

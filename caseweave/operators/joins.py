@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from caseweave import fixed
-from caseweave.functions.extract import core_similarity, fact_day, name_core, name_key
+from caseweave.functions.extract import core_similarity, fact_day, name_core, name_key, similarity_bounds
 from caseweave.functions.predicates import contains_any
 from caseweave.functions.text import blank_to_null, file_name
 from caseweave.operators.keywords import grams, match_terms
@@ -150,7 +150,8 @@ def canonicalize(
     left = open_names.withColumn("_gram", F.explode(core_grams(F.col("_core"))))
     right = good.withColumn("_gram", F.explode(core_grams(F.col("_gcore"))))
     pairs = left.join(right, ["case_id", "_gram"]).select("case_id", "_raw", "_core", "_good", "_gcore", "_ord").distinct()
-    scored = pairs.withColumn("_score", core_similarity(F.col("_core"), F.col("_gcore"), suffixes))
+    pairs = pairs.withColumn("_bounds", similarity_bounds(F.col("_core"), F.col("_gcore"), suffixes)).filter(F.col("_bounds.high") >= accept)
+    scored = pairs.withColumn("_score", core_similarity(F.col("_core"), F.col("_gcore"), suffixes, F.col("_bounds")))
     best = scored.groupBy("case_id", "_raw").agg(F.max_by(F.struct("_good", "_score"), F.struct("_score", -F.col("_ord"))).alias("_best"))
     suffixed = contains_any(F.col("_raw"), suffixes) | contains_any(F.col("_best._good"), suffixes)
     best = best.filter((F.col("_best._score") >= accept) & suffixed).select("case_id", "_raw", F.col("_best._good").alias("_fuzzy"))

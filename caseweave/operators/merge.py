@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from caseweave import fixed
 from caseweave.functions.classify import Rules, classify_subtype
-from caseweave.functions.extract import core_similarity, name_core
+from caseweave.functions.extract import core_similarity, name_core, similarity_bounds
 from caseweave.functions.text import blank_to_null, compact_text, let
 from caseweave.operators.joins import canonicalize, core_grams
 from caseweave.operators.split import first_rows, split_row_number
@@ -217,7 +217,8 @@ def name_mapping(groups: DataFrame, requests: DataFrame, suffixes=fixed.ORG_SUFF
     left = others.withColumn("_gram", F.explode(core_grams(F.col("_core"))))
     near = left.join(goal.withColumn("_gram", F.explode(core_grams(F.col("_goal")))), ["case_id", "type", "_gram"]).drop("_gram").distinct()
     near = near.filter((F.col("group_id") != F.col("target_id")) & (F.col("group_id") != F.col("_own")))
-    near = near.withColumn("_s", core_similarity(F.col("_core"), F.col("_goal"), suffixes)).filter(F.col("_s") >= accept)
+    near = near.withColumn("_b", similarity_bounds(F.col("_core"), F.col("_goal"), suffixes)).filter(F.col("_b.high") >= accept)
+    near = near.withColumn("_s", core_similarity(F.col("_core"), F.col("_goal"), suffixes, F.col("_b"))).drop("_b").filter(F.col("_s") >= accept)
     best = near.groupBy("group_id").agg(F.max_by(F.struct("case_id", "type", "canonical", "target_id", "alias"), F.struct("_s", -F.col("target_id"))).alias("b"))
     cols = ["group_id", "target_id", "case_id", "type", "alias", "canonical"]
     return r.select(*cols).unionByName(best.join(r, "group_id", "left_anti").select("group_id", *[f"b.{c}" for c in cols[1:]]))
@@ -260,7 +261,8 @@ def confirm_group_name(tables: dict[str, DataFrame], requests: DataFrame, suffix
         exact = orgs.join(exact, ["case_id", "org"]).select("case_id", "org", "canonical", F.lit(2.0).alias("_s"))
         left = orgs.withColumn("_core", name_core(F.col("org"), suffixes, chars)).withColumn("_gram", F.explode(core_grams(F.col("_core"))))
         near = left.join(goals.withColumn("_gram", F.explode(core_grams(F.col("_goal")))), ["case_id", "_gram"]).select("case_id", "org", "_core", "canonical", "_goal").distinct()
-        orgs = exact.unionByName(near.select("case_id", "org", "canonical", core_similarity(F.col("_core"), F.col("_goal"), suffixes).alias("_s")))
+        near = near.withColumn("_b", similarity_bounds(F.col("_core"), F.col("_goal"), suffixes)).filter(F.col("_b.high") >= accept)
+        orgs = exact.unionByName(near.select("case_id", "org", "canonical", core_similarity(F.col("_core"), F.col("_goal"), suffixes, F.col("_b")).alias("_s")))
         names = orgs.filter(F.col("_s") >= accept).groupBy("case_id", "org").agg(F.max_by("canonical", F.struct("_s", "canonical")).alias("_new"))
         d = d.join(names, ["case_id", "org"], "left")
         if "group_id" in d.columns:

@@ -15,10 +15,6 @@ from caseweave.plans.assembly import analysis_text
 from caseweave.plans.rules import collect_refs, repair_text, validate_text
 from caseweave.session import cut_lineage
 
-FOLLOWUP_TERMS = ["后续治疗费", "后续治疗费用", "后期医疗费用", "后期治疗费", "医疗费用", "后续治疗项目"]
-OPENERS = ["根据委托单位提供的现有材料", r"1\.\s*被鉴定人"]
-
-
 def analyse_pages(
     pages: DataFrame, cache: DataFrame, version: str, aliases: DataFrame, confirmed: DataFrame, answers: DataFrame | None = None,
     rules: Rules | None = None, force: bool = False, sequence: bool = True, grouped=("medical_record", "imaging_report"),
@@ -64,7 +60,7 @@ def analysis_counters(analysed: DataFrame) -> DataFrame:
 
 def analyse(
     cases: DataFrame, cands: DataFrame, generated: DataFrame | None = None, fixes: list[tuple[str, str]] = (), fix_for: str = "",
-    openers: list[str] = OPENERS, terms: list[str] = FOLLOWUP_TERMS, trace: dict | None = None, stored: DataFrame | None = None,
+    openers: list[str] = fixed.OPENERS, terms: list[str] = fixed.FOLLOWUP_TERMS, trace: dict | None = None, stored: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
     """Guarded text per case. The supplied text is cleaned, repaired, rid of blocks that were
     not asked for and checked; where it fails, the conservative text takes its place.

@@ -11,7 +11,7 @@ from caseweave.functions.text import clip_hard, join_nonempty, squeeze
 from caseweave.operators.joins import default_status, match_evidence
 from caseweave.operators.split import first_rows
 from caseweave.operators.windows import dedupe_first, top_evidence, trusted_or_all
-from caseweave.plans.corpus import EVIDENCE_BONUS, evidence_score
+from caseweave.plans.corpus import evidence_score
 
 EVIDENCE_COLS = ["case_id", "kind", "id", "date", "org", "title", "summary", "quote", "text", "source_pages", "review_status"]
 
@@ -104,7 +104,7 @@ def decide(corpus: DataFrame, specs: list[dict], k: int = 10, requests: DataFram
     """
     sid, t = F.col("spec_id"), F.col("text")
     d = match_evidence(corpus, specs)
-    by_terms = evidence_score(t, F.col("kind"), F.col("source_pages"), F.col("review_status"), [], EVIDENCE_BONUS, max_range_count(t))
+    by_terms = evidence_score(t, F.col("kind"), F.col("source_pages"), F.col("review_status"), [], fixed.EVIDENCE_BONUS, max_range_count(t))
     include = spec_of(specs, sid)["include"]
     score = by_terms + F.aggregate(include, F.lit(0), lambda n, w: n + F.when(F.contains(t, w), F.length(w)).otherwise(0))
     asked = [s for s in specs if s.get("asked")]
@@ -153,16 +153,11 @@ def decide(corpus: DataFrame, specs: list[dict], k: int = 10, requests: DataFram
     return g.withColumn("warnings", candidate_warnings(F.col("decision"), F.col("evidence"))).drop("_s", "_n", "_hit", "_met", "text")
 
 
-WARN_UNCERTAIN = "该候选证据不足或条款映射未稳定，不能直接写成正式结论。"
-WARN_UNREVIEWED = "部分来源事实尚未人工确认。"
-WARN_NO_PAGES = "部分来源缺少页码，建议回到原图核对。"
-
-
 def candidate_warnings(decision: Column, evidence: Column) -> Column:
     ok = ["confirmed", "system_verified", ""]
     open_ = F.exists(evidence, lambda e: ~F.coalesce(e["review_status"], F.lit("")).isin(*ok))
     paged = F.exists(evidence, lambda e: F.coalesce(F.size(e["source_pages"]), F.lit(0)) > 0)
-    return F.array_compact(F.array(F.when(decision == "uncertain", WARN_UNCERTAIN), F.when(open_, WARN_UNREVIEWED), F.when(~F.coalesce(paged, F.lit(False)), WARN_NO_PAGES)))
+    return F.array_compact(F.array(F.when(decision == "uncertain", fixed.WARN_UNCERTAIN), F.when(open_, fixed.WARN_UNREVIEWED), F.when(~F.coalesce(paged, F.lit(False)), fixed.WARN_NO_PAGES)))
 
 
 def accepted(decision: Column, status: Column, confidence: Column) -> Column:

@@ -130,7 +130,17 @@ def _(t):
     return t.documents.select("doc_id", pr.is_weak_finding(C("text"), flags, ["ment", "lich"], ["the", "para"], ("src1", "src2")).alias("weak"))
 
 
-@query("f08_positive_hit")
+F08 = " UNION ALL ".join(
+    f"SELECT doc_id, x, unnest(regexp_extract_all(x, '{p}')) m, generate_subscripts(regexp_extract_all(x, '{p}'), 1) i, string_split_regex(x, '{p}') g, {k} p FROM x" for k, p in enumerate(["th[^.,]{0,4}ti", "en[^.,]{0,4}er"])
+)
+
+
+@query("f08_positive_hit", f"""
+WITH x AS (SELECT doc_id, regexp_replace(text,'@WS@+','','g') x FROM documents), h AS ({F08}),
+s AS (SELECT doc_id, x, length(m) n, sum(length(g[i])) OVER w + sum(length(m)) OVER w - length(m) a FROM h WINDOW w AS (PARTITION BY doc_id, p ORDER BY i)),
+t AS (SELECT doc_id, x[greatest(a - 12, 0)::BIGINT + 1 : (a + n + 12)::BIGINT] u FROM s),
+o AS (SELECT doc_id, bool_or(NOT {any_of('u', ['and', 'is', 'que'])}) hit FROM t GROUP BY 1)
+SELECT doc_id, coalesce(hit, false) AS hit FROM documents LEFT JOIN o USING (doc_id)""")
 def _(t):
     return t.documents.select("doc_id", pr.has_positive_hit(C("text"), ["th[^.,]{0,4}ti", "en[^.,]{0,4}er"], ["and", "is", "que"]).alias("hit"))
 

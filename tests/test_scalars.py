@@ -1,4 +1,9 @@
 """Hand-derived cases of the scalar functions."""
+import random
+import re
+from collections import Counter
+from difflib import SequenceMatcher
+
 from pyspark.sql import functions as F
 
 from caseweave.functions import classify as cl
@@ -84,6 +89,41 @@ def test_names(spark):
     assert s("甲乙公司", "丙丁诊所") < 0.82
 
 
+def test_name_bounds_and_negation_equal_loops(spark):
+    rnd = random.Random(3)
+    suffixes = ["医院", "诊所"]
+    name = lambda: "".join(rnd.choices(["东", "城", "县", "人民", "医院", "诊所", "x", "医"], k=rnd.randint(0, 6)))
+    rows = [(i, name(), name()) for i in range(300)] + [(300, "", "东"), (301, None, "东"), (302, "东城医院", "东城医院")]
+    d = spark.createDataFrame(rows, "i int, a string, b string")
+    a, b = F.col("a"), F.col("b")
+    got = d.select("i", ex.common_run(a, b).alias("run"), ex.shared_signs(a, b).alias("shared"), ex.similarity_bounds(a, b, suffixes).alias("m"), ex.core_similarity(a, b, suffixes).alias("s")).collect()
+    for (_, x, y), r in zip(rows, sorted(got, key=lambda r: r.i)):
+        if x is None:
+            assert r.s is None
+            continue
+        run = max((n for n in range(len(x) + 1) if any(x[i : i + n] in y for i in range(len(x) - n + 1))), default=0)
+        assert (r.run, r.shared) == (run, sum((Counter(x) & Counter(y)).values()))
+        ratio = SequenceMatcher(None, x, y).ratio() if x and y else 0.0
+        assert r.m.low <= r.s <= r.m.high and r.s == max(r.m.low, ratio if x and y else 0.0)
+        if x and y and x != y:
+            floors = [0.0]
+            if run >= 4 and (x in y or y in x):
+                floors.append(0.82)
+            if run >= 3 and {s for s in suffixes if s in x} & {s for s in suffixes if s in y}:
+                floors.append(0.86)
+            if run >= 4 and any(s in x + "|" + y for s in suffixes):
+                floors.append(min(0.96, 0.68 + 0.28 * run / min(len(x), len(y))))
+            assert abs(r.m.low - max(floors)) < 1e-12
+
+    texts = ["".join(rnd.choices(["A", "B", "未见", "甲", "乙", "AB", "A甲B"], k=rnd.randint(0, 30))) for _ in range(300)] + [None, ""]
+    d = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    patterns, negatives = ["A[^。]{0,2}B", "乙+"], ["未见", "甲甲"]
+    got = d.select("i", pr.has_positive_hit(F.col("t"), patterns, negatives, 5).alias("h")).collect()
+    for r in got:
+        t = texts[r.i] or ""
+        assert r.h == any(not any(n in t[max(0, m.start() - 5) : m.end() + 5] for n in negatives) for p in patterns for m in re.finditer(p, t)), t
+
+
 def test_default_rules(spark):
     rows = [
         (1, "住院病案首页 医疗付费方式"), (2, "司法鉴定委托书 委托贵机构予以鉴定"), (3, "居民身份证 公民身份号码"), (4, "民事起诉状 原告 被告"),
