@@ -1,5 +1,4 @@
 """X01-X23 and S01-S09 over the given tables."""
-import os
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -8,7 +7,7 @@ from caseweave.functions import extract as ex
 from caseweave.functions.text import truncate_input
 from caseweave.queries.predicates import any_of, hits_of
 from caseweave.queries.registry import query
-from caseweave.session import shared_dir
+from caseweave.session import work_path
 from caseweave.sources import pages as sp
 
 C = F.col
@@ -260,7 +259,7 @@ def _(t):
 
 def work_table(t, df, name, fmt="parquet", keys=None):
     """A work table in the shared folder (a fresh one per run)."""
-    path = os.path.join(shared_dir(t.spark), "work", f"{name}-{os.urandom(6).hex()}")
+    path = work_path(t.spark, name)
     if keys:
         sp.write_partitioned(df, path, keys, fmt)
     else:

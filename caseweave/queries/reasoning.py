@@ -1,5 +1,4 @@
 """R01-R08, E01-E07, T01-T10, G06-G07 and Q01-Q04 over the given tables."""
-import os
 
 from pyspark.sql import functions as F
 
@@ -17,7 +16,7 @@ from caseweave.queries.groups import LABELLED, conversation_pages, labelled, rev
 from caseweave.queries.merges import fact_tables
 from caseweave.queries.predicates import RULES, any_of, class_sql
 from caseweave.queries.registry import query
-from caseweave.session import shared_dir
+from caseweave.session import work_path
 from caseweave.streaming import streams
 
 C = F.col
@@ -420,7 +419,7 @@ def _(t):
 
 def run_stream(t, df, name, start):
     """Run a stream over what is there now; its checkpoint lies in the shared folder."""
-    folder = os.path.join(shared_dir(t.spark), "work", f"{name}-{os.urandom(6).hex()}")
+    folder = work_path(t.spark, name)
     q = start(df.writeStream.option("checkpointLocation", folder + "-state").trigger(availableNow=True), folder)
     q.awaitTermination()
     return folder

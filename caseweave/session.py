@@ -1,8 +1,8 @@
 """Session settings and the size check shared by the operators."""
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,6 +22,7 @@ def local_session(cores: str = "8", app: str = "caseweave") -> SparkSession:
         b = b.config(k, v)
     return (
         b.config("spark.sql.shuffle.partitions", cores)
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="caseweave-"))
         .config("spark.driver.memory", "16g")
         .config("spark.ui.enabled", "false")
         .getOrCreate()
@@ -29,24 +30,39 @@ def local_session(cores: str = "8", app: str = "caseweave") -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder for checkpoints and work tables.
+    """Folder for checkpoints and work tables that all executors reach.
 
-    The cluster names it in ``spark.checkpoint.dir``; a temporary folder is only
-    made where nothing is set and the session is a local one.
+    The cluster names it in ``spark.checkpoint.dir``; where that is not set it lies in the
+    warehouse, which is shared as well.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-        path = tempfile.mkdtemp(prefix="caseweave-")
+        path = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/caseweave-work"
+        path = path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file://") else path
         spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    return path.rstrip("/")
+
+
+def work_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; what is written there is deleted when the driver ends."""
+    folder = f"{shared_dir(spark)}/caseweave-{uuid.uuid4().hex}"
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(hadoop)  # only what exists can be marked for deletion
+    files.deleteOnExit(hadoop)
+    return f"{folder}/{name}"
+
+
+_checkpoints: dict[str, str] = {}
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder (survives the loss of executors)."""
     spark = df.sparkSession
-    spark.sparkContext.setCheckpointDir(os.path.join(shared_dir(spark), "checkpoints"))
+    app = spark.sparkContext.applicationId
+    if app not in _checkpoints:
+        _checkpoints[app] = work_path(spark, "checkpoints")
+        spark.sparkContext.setCheckpointDir(_checkpoints[app])
     return df.checkpoint()
 
 
