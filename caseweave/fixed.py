@@ -198,7 +198,7 @@ RECORD_LABELS = {
     "diagnosis_out": (["出院诊断"], 800),
     "orders": (["出院医嘱"], 900),
 }
-EVENT_LABELS = {
+EVENT_FIELD_LABELS = {
     "complaint": (["主诉"], 260),
     "history": (["现病史", "入院情况"], 650),
     "diagnosis_in": (["入院诊断", "初步诊断"], 650),
