@@ -1,7 +1,10 @@
 """Numbering, top-k, fallback by scope, adjacency and sequence features."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from caseweave import fixed
@@ -22,53 +25,40 @@ def islands(df: DataFrame, keys: list[str], order: list[Column], bucket: Column,
 
 
 EVENT_COLS = ["surgery", "diagnosis", "findings", "treatment"]
+CHUNK = 256
 
 
-def merge_adjacent(df: DataFrame, keys: list[str], default_title: str = "手术记录") -> DataFrame:
+def merge_adjacent(df: DataFrame, keys: list[str], default_title: str = "手术记录", chunk: int = CHUNK) -> DataFrame:
     """Adjacent pages of one event folded: first non-null field wins, signature pages tagged.
 
-    Columns: keys, page_id, page_number, surgery, diagnosis, findings, treatment, date,
-    signature. A page is compared with the first page of the running event, so pages are
-    compared in order; but a page gap, or a page whose title and date are both new in its run,
-    always starts over. Groups are cut there; a fold over titles, dates and numbers of the
-    short pieces between gives each page its event, and the fields are joined and aggregated.
+    Columns: keys, page_id (unique in its group), page_number, surgery, diagnosis, findings,
+    treatment, date, signature. A page next to the last page of the running event belongs to it
+    if it is a signature page or shares title or date with its first page; any other page with
+    fields begins the next event. ``event_heads`` gives each page the first page of its event.
     """
-    # Pages without a number go last, each as a run of its own.
-    last = F.coalesce(F.col("page_number"), F.lit(2**31 - 1))
-    order = [last, F.col("page_id")]
-    bucket = F.floor(last / 10_000)
+    # Pages without a number go last, each as an event of its own.
+    at = F.struct(F.coalesce("page_number", F.lit(2**31 - 1)), "page_id")
     filled = F.lit(False)
     for c in EVENT_COLS:
         filled = filled | F.col(c).isNotNull()
     title = F.regexp_replace(F.coalesce("surgery", F.lit(default_title)), r"\s+", "")
-    d = df.withColumns({"_title": title, "_date": F.coalesce("date", F.lit("")), "_filled": filled})
-    d = islands(d, keys, order, bucket, F.col("page_number"), 1, "_run")
-    at = F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)])
-    d = d.withColumn("_at", at)
-    for c in ("_title", "_date"):
-        first = d.groupBy(*keys, "_run", c).agg(F.min("_at").alias(f"{c}_first"))
-        d = d.join(first, [*keys, "_run", c])
-    fresh = F.col("_filled") & ~F.col("signature") & (F.col("_title_first") == F.col("_at")) & (F.col("_date_first") == F.col("_at"))
-    d = split_running_sum(d, [*keys, "_run"], order, bucket, F.when(fresh, 1).otherwise(0), "_piece")
-    piece = [*keys, "_run", "_piece"]
-    item = F.struct("_at", "page_id", F.col("page_number").alias("page"), F.col("_title").alias("title"), F.col("_date").alias("date"), "signature", F.col("_filled").alias("filled"))
-    marks = d.groupBy(*piece).agg(F.array_sort(F.collect_list(item)).alias("_items"))
-    marks = marks.select(*piece, F.explode(_event_numbers(F.col("_items"))).alias("_m")).select(*piece, "_m.page_id", "_m.event", "_m.first", "_m.tagged")
-    d = d.join(marks.filter(F.col("event") > 0), [*piece, "page_id"])
-    own = F.col("first") | ~F.col("tagged")  # a signature page brings its number, not its fields
+    d = df.withColumns({"_title": title, "_date": F.coalesce("date", F.lit("")), "_filled": filled, "_at": at})
+    d = d.join(event_heads(d, keys, chunk), [*keys, "page_id"])
+    first, tagged = F.col("_head") == F.col("page_id"), F.col("signature")
+    own = first | ~tagged  # a signature page brings its number, not its fields
 
     def earliest(c: Column) -> Column:
         return F.min_by(c, F.when(own & (F.coalesce(c, F.lit("")) != ""), F.col("_at")))
 
     body = F.coalesce(*(F.nullif(c, F.lit("")) for c in ("treatment", "findings", "diagnosis")))
     ordered = F.array_sort(F.collect_list(F.struct("_at", "page_id", "page_number")))
-    e = d.groupBy(*piece, "event").agg(
-        F.max(F.when(F.col("first"), F.col("surgery"))).alias("surgery"),
-        F.max(F.when(F.col("first"), F.col("date"))).alias("date"),
+    e = d.groupBy(*keys, "_head").agg(
+        F.max(F.when(first, F.col("surgery"))).alias("surgery"),
+        F.max(F.when(first, F.col("date"))).alias("date"),
         *[earliest(F.col(c)).alias(c) for c in EVENT_COLS[1:]],
-        earliest(F.coalesce(body, F.when(F.col("first"), F.col("surgery")))).alias("quote"),
+        earliest(F.coalesce(body, F.when(first, F.col("surgery")))).alias("quote"),
         ordered.alias("_l"),
-        F.max(F.col("tagged") & ~F.col("first")).alias("signature_merged"),
+        F.max(tagged & ~first).alias("signature_merged"),
     )
     known = (F.coalesce("date", F.lit("")) != "") & (F.coalesce("surgery", F.lit("")) != "")
     return e.select(
@@ -77,29 +67,126 @@ def merge_adjacent(df: DataFrame, keys: list[str], default_title: str = "手术
     )
 
 
-def _event_numbers(items: Column) -> Column:
-    """Ordered pages of a piece to (page_id, event, first, tagged); event 0 belongs to none.
+_STATE = "struct<head:bigint,title:string,date:string,page:int>"
+_ARROW_STATE = pa.struct([("head", pa.int64()), ("title", pa.string()), ("date", pa.string()), ("page", pa.int32())])
+
+
+def event_heads(d: DataFrame, keys: list[str], chunk: int = CHUNK) -> DataFrame:
+    """keys, page_id, _head: the first page of each page's event; pages of no event are left out.
 
-    The state is the running event: its number, title, date and last page. A page next to it
-    belongs to it if it is a signature page or shares its title or date; any other page with
-    fields begins the next event.
+    Columns: keys, page_id, page_number, _title, _date, signature, _filled. A group is cut into
+    chunks of ``chunk`` page numbers, so that no row holds more pages than share those numbers.
+    What a chunk makes of the event that enters it depends on few titles and dates
+    (``entry_table``); a run over several chunks is chained over those small tables, and then every
+    chunk is walked on its own with the event that enters it.
     """
-    mark = "array<struct<page_id:bigint,event:int,first:boolean,tagged:boolean>>"
+    page = F.struct(F.col("page_number").cast("int").alias("page"), F.col("page_id").cast("bigint").alias("page_id"), F.col("_title").alias("title"), F.col("_date").alias("date"), "signature", F.col("_filled").alias("filled"))
+    place = F.floor(F.col("page_number") / chunk).alias("_chunk")
+    chunks = d.filter("page_number is not null").groupBy(*keys, place).agg(F.array_sort(F.collect_list(page)).alias("_pages"))
+    ends = chunks.select(*keys, "_chunk", "_pages", F.col("_pages")[0]["page"].alias("_low"), F.element_at("_pages", -1)["page"].alias("_high"))
+    w = Window.partitionBy(*keys).orderBy("_chunk")
+    before, after = F.coalesce(F.lag("_high").over(w) == F.col("_low") - 1, F.lit(False)), F.coalesce(F.lead("_low").over(w) == F.col("_high") + 1, F.lit(False))
+    small = ends.select(*keys, "_chunk", "_low", "_high").withColumns({"_before": before, "_after": after})
+    small = small.withColumn("_chain", F.sum((~F.col("_before")).cast("int")).over(w)).filter("_before or _after")
+    linked = small.select(*keys, "_chunk", "_low", "_chain", "_after").join(chunks, [*keys, "_chunk"])
+    at_key = [f for f in linked.schema if f.name in keys]
+    names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in at_key)
+    tables = linked.mapInArrow(_tables(keys), f"{names}, _chunk bigint, _low int, _chain bigint, leaves array<struct<title:string,date:string,out:{_STATE}>>, fresh {_STATE}")
+    entries = tables.groupBy(*keys, "_chain").applyInArrow(_chained(keys), f"{names}, _chunk bigint, _entry {_STATE}")
+    walked = chunks.join(entries, [*keys, "_chunk"], "left").select(*keys, F.explode(_heads(F.col("_pages"), F.col("_entry"))).alias("_m"))
+    alone = d.filter("page_number is null and _filled").select(*keys, "page_id", F.col("page_id").cast("bigint").alias("_head"))
+    return walked.filter("_m.head is not null").select(*keys, F.col("_m.page_id").alias("page_id"), F.col("_m.head").alias("_head")).unionByName(alone)
+
+
+def _heads(pages: Column, entry: Column) -> Column:
+    """Ordered pages of a chunk to (page_id, head), by one fold from the event that enters it; no head: no event."""
+    mark = "array<struct<page_id:bigint,head:bigint>>"
 
     def step(s: Column, x: Column) -> Column:
-        near = F.coalesce((s["event"] > 0) & (x["page"] - s["page"] <= 1), F.lit(False))
+        near = F.coalesce(x["page"] - s["page"] <= 1, F.lit(False))
         joins = near & (x["signature"] | (x["title"] == s["title"]) | (x["date"] == s["date"]))
         begins = ~joins & x["filled"]
-        event = s["event"] + begins.cast("int")
-        one = F.struct(x["page_id"].cast("bigint").alias("page_id"), F.when(joins | begins, event).otherwise(0).alias("event"), begins.alias("first"), x["signature"].alias("tagged"))
+        head = F.when(begins, x["page_id"]).otherwise(s["head"])
+        one = F.struct(x["page_id"].alias("page_id"), F.when(joins | begins, head).alias("head"))
         return F.struct(
-            event.alias("event"), F.when(begins, x["title"]).otherwise(s["title"]).alias("title"), F.when(begins, x["date"]).otherwise(s["date"]).alias("date"),
+            head.alias("head"), F.when(begins, x["title"]).otherwise(s["title"]).alias("title"), F.when(begins, x["date"]).otherwise(s["date"]).alias("date"),
             F.when(joins | begins, x["page"]).otherwise(s["page"]).alias("page"), F.concat(s["marks"], F.array(one)).alias("marks"),
         )
 
-    none = F.lit("")
-    start = F.struct(F.lit(0).alias("event"), none.alias("title"), none.alias("date"), F.lit(None).cast("int").alias("page"), F.array().cast(mark).alias("marks"))
-    return F.aggregate(items, start, step, lambda s: s["marks"])
+    start = F.struct(*(entry[n].alias(n) for n in ("head", "title", "date", "page")), F.array().cast(mark).alias("marks"))
+    return F.aggregate(pages, start, step, lambda s: s["marks"])
+
+
+def last_event(pages: list[dict], start: int = 0) -> dict | None:
+    """The event that runs after the last page, if none runs before page ``start``."""
+    now = None
+    for x in pages[start:]:
+        if now and x["page"] - now["page"] <= 1 and (x["signature"] or x["title"] == now["title"] or x["date"] == now["date"]):
+            now["page"] = x["page"]
+        elif x["filled"]:
+            now = {"head": x["page_id"], "title": x["title"], "date": x["date"], "page": x["page"]}
+    return now
+
+
+def entry_table(pages: list[dict], start: int = 0, title: str | None = None, date: str | None = None, last: int | None = None):
+    """What the chunk makes of an event that enters it: (title, date, event afterwards), the first match holds.
+
+    None for a title or date stands for any. Afterwards an event without a head is the entering
+    one with a new last page. A page that asks for a title or date left open splits the case into
+    those that have its title, those that have its date, and the rest; with both fixed nothing is
+    left to split, so a chunk has about five cases, however many pages it has.
+    """
+    last = pages[0]["page"] - 1 if last is None else last
+    for i in range(start, len(pages)):
+        x = pages[i]
+        if x["page"] - last <= 1:
+            if x["signature"] or x["title"] == title or x["date"] == date:
+                last = x["page"]
+                continue
+            if title is None:
+                yield from entry_table(pages, i + 1, x["title"], date, x["page"])
+            if date is None:
+                yield from entry_table(pages, i + 1, title, x["date"], x["page"])
+        if x["filled"]:
+            yield title, date, last_event(pages, i)
+            return
+    yield title, date, {"page": last}
+
+
+def _tables(keys: list[str]):
+    leaf = pa.struct([("title", pa.string()), ("date", pa.string()), ("out", _ARROW_STATE)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            leaves, fresh = [], []
+            for pages, needed in zip(b.column("_pages"), b.column("_after").to_pylist()):
+                pages = pages.as_py() if needed else []  # the last chunk of a chain hands nothing on
+                leaves.append([{"title": t, "date": d, "out": out} for t, d, out in entry_table(pages)] if needed else None)
+                fresh.append(last_event(pages))
+            kept = [*keys, "_chunk", "_low", "_chain"]
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in kept), pa.array(leaves, pa.list_(leaf)), pa.array(fresh, _ARROW_STATE)], [*kept, "leaves", "fresh"])
+
+    return run
+
+
+def _chained(keys: list[str]):
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by("_chunk")
+        now, entries = None, []
+        for low, leaves, fresh in zip(t.column("_low").to_pylist(), t.column("leaves"), t.column("fresh")):
+            entries.append(now)
+            if now is None or now["page"] < low - 1:
+                now = fresh.as_py()
+                continue
+            for leaf in leaves.as_py() or []:
+                if leaf["title"] in (None, now["title"]) and leaf["date"] in (None, now["date"]):
+                    out = leaf["out"]
+                    now = {**now, "page": out["page"]} if out["head"] is None else out
+                    break
+        kept = [*keys, "_chunk"]
+        return pa.Table.from_arrays([*(t.column(n) for n in kept), pa.array(entries, _ARROW_STATE)], [*kept, "_entry"])
+
+    return run
 
 
 def top_evidence(df: DataFrame, keys: list[str], k: int = 10) -> DataFrame:

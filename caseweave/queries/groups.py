@@ -311,7 +311,21 @@ def _(t):
     return wi.islands(t.events, ["user_id"], [C("event_id")], F.floor(C("event_id") / 500), C("event_id"), 40).select("user_id", "event_id", "island")
 
 
-@query("w04_merge_adjacent")
+@query("w04_merge_adjacent", """
+WITH RECURSIVE p AS (SELECT conv_id AS group_id, conv_id * 1000 + turn AS page_id, turn AS page, CASE WHEN role = 'user' THEN split_part(text, ' ', 1) END AS surgery,
+ CASE WHEN role = 'assistant' THEN substr(text, 1, 20) END AS diagnosis, CASE WHEN length(text) > 400 THEN text END AS treatment, CASE WHEN length(text) % 2 = 0 THEN '2024-01-01' END AS date, length(text) < 120 AS signature FROM conversations),
+o AS (SELECT *, regexp_replace(COALESCE(surgery, '手术记录'), '\\s+', '', 'g') AS t, COALESCE(date, '') AS d, COALESCE(surgery, diagnosis, treatment) IS NOT NULL AS filled, row_number() OVER (PARTITION BY group_id ORDER BY page, page_id) AS i FROM p),
+w AS (SELECT group_id, 0::BIGINT AS i, NULL::BIGINT AS head, NULL::VARCHAR AS t, NULL::VARCHAR AS d, NULL::BIGINT AS page, NULL::BIGINT AS page_id, false AS used FROM (SELECT DISTINCT group_id FROM p)
+ UNION ALL SELECT group_id, i, CASE WHEN begins THEN id ELSE head END, CASE WHEN begins THEN nt ELSE t END, CASE WHEN begins THEN nd ELSE d END, CASE WHEN begins OR joins THEN np ELSE page END, id, begins OR joins
+ FROM (SELECT *, NOT joins AND filled AS begins FROM (SELECT w.group_id, o.i, w.head, w.t, w.d, w.page, o.page_id AS id, o.page::BIGINT AS np, o.t AS nt, o.d AS nd, o.filled,
+  COALESCE(o.page - w.page <= 1 AND (o.signature OR o.t = w.t OR o.d = w.d), false) AS joins FROM w JOIN o ON o.group_id = w.group_id AND o.i = w.i + 1))),
+m AS (SELECT o.*, w.head, w.head = o.page_id AS first, w.head = o.page_id OR NOT o.signature AS own FROM w JOIN o USING (group_id, i) WHERE w.used)
+SELECT group_id, COALESCE(NULLIF(max(surgery) FILTER (WHERE first), ''), '手术记录') AS title, max(date) FILTER (WHERE first) AS date, max(surgery) FILTER (WHERE first) AS surgery,
+ arg_min(diagnosis, i) FILTER (WHERE own AND diagnosis <> '') AS diagnosis, arg_min(treatment, i) FILTER (WHERE own AND treatment <> '') AS treatment,
+ arg_min(COALESCE(NULLIF(treatment, ''), NULLIF(diagnosis, ''), CASE WHEN first THEN surgery END), i) FILTER (WHERE own AND COALESCE(NULLIF(treatment, ''), NULLIF(diagnosis, ''), CASE WHEN first THEN surgery END) <> '') AS quote,
+ string_agg(page_id::VARCHAR, ',' ORDER BY i) AS ids, string_agg(page::VARCHAR, ',' ORDER BY i) AS numbers,
+ CASE WHEN COALESCE(max(date) FILTER (WHERE first), '') <> '' AND COALESCE(max(surgery) FILTER (WHERE first), '') <> '' THEN 84::BIGINT ELSE 68 END AS confidence, bool_or(signature AND NOT first) AS signature_merged
+FROM m GROUP BY group_id, head""")
 def _(t):
     d = t.conversations.select(
         C("conv_id").alias("group_id"), (C("conv_id") * 1000 + C("turn")).alias("page_id"), C("turn").cast("int").alias("page_number"),
@@ -320,7 +334,7 @@ def _(t):
         (F.length("text") < 120).alias("signature"),
     )
     r = wi.merge_adjacent(d, ["group_id"])
-    return r.select("group_id", "title", "date", joined(C("source_ids")).alias("ids"), "confidence", "signature_merged")
+    return r.select("group_id", "title", "date", "surgery", "diagnosis", "treatment", "quote", joined(C("source_ids")).alias("ids"), joined(C("source_pages")).alias("numbers"), "confidence", "signature_merged")
 
 
 @query("w05_top_evidence", """

@@ -13,7 +13,7 @@ from caseweave.operators import split as sp
 from caseweave.operators import automaton
 from caseweave.operators.automaton import find_terms
 from caseweave.operators.keywords import match_terms
-from caseweave.operators.windows import merge_adjacent
+from caseweave.operators.windows import entry_table, last_event, merge_adjacent
 
 TYPES = list(fixed.STAGE_ORDER)
 ORDER = fixed.STAGE_ORDER
@@ -113,28 +113,67 @@ def test_merge_adjacent(spark):
     assert got[(1, 2, 3)].signature_merged and got[(1, 2, 3)].diagnosis == "x" and got[(1, 2, 3)].confidence == 84
 
 
-def test_merge_adjacent_by_rows(spark):
-    """Random pages against the rule read row by row: which pages an event holds, and its first fields."""
-    rnd = random.Random(11)
-    cols = "group_id int, page_id long, page_number int, surgery string, diagnosis string, findings string, treatment string, date string, signature boolean"
-    pick = lambda *x: rnd.choice(x)
-    rows, page = [], 0
-    for i in range(160):
-        page += pick(1, 1, 1, 1, 2)
-        rows.append((1, i, None if rnd.random() < 0.05 else page, pick(None, "a", "b"), pick(None, "x"), pick(None, None, "f"), pick(None, None, "t"), pick(None, "d1", "d2"), rnd.random() < 0.25))
-    want, head = [], None
-    for r in sorted(rows, key=lambda r: (r[2] is None, r[2] or 0, r[1])):
-        filled, title, date = any(r[3:7]), r[3] or "手术记录", r[7] or ""
-        near = head is not None and None not in (r[2], head["at"]) and r[2] - head["at"] <= 1
+EVENT_PAGES = "group_id int, page_id long, page_number int, surgery string, diagnosis string, findings string, treatment string, date string, signature boolean"
+
+
+def events_by_rows(rows):
+    """The rule read row by row: (page ids, diagnosis) of every event."""
+    out, head = [], None
+    for r in sorted(rows, key=lambda r: (r[0], r[2] is None, r[2] or 0, r[1])):
+        filled, title, date = any(x is not None for x in r[3:7]), r[3] or "手术记录", r[7] or ""
+        near = head is not None and head["group"] == r[0] and None not in (r[2], head["at"]) and r[2] - head["at"] <= 1
         if near and (r[8] or title == head["title"] or date == head["date"]):
             head["ids"].append(r[1])
             head["at"] = r[2]
             head["diagnosis"] = head["diagnosis"] or (None if r[8] else r[4])
         elif filled:
-            head = {"ids": [r[1]], "at": r[2], "title": title, "date": date, "diagnosis": r[4]}
-            want.append(head)
-    got = {tuple(r.source_ids): r.diagnosis for r in merge_adjacent(spark.createDataFrame(rows, cols), ["group_id"]).collect()}
-    assert got == {tuple(e["ids"]): e["diagnosis"] for e in want}
+            head = {"group": r[0], "ids": [r[1]], "at": r[2], "title": title, "date": date, "diagnosis": r[4]}
+            out.append(head)
+    return {tuple(e["ids"]): e["diagnosis"] for e in out}
+
+
+@pytest.mark.parametrize("chunk, dates, steps", [(256, "12", (1, 1, 1, 1, 2)), (3, "12", (0, 1, 1, 1, 1, 2)), (1, "123456", (1, 1, 1, 1)), (4, "123", (0, 0, 1, 1)), (7, "1", (1,))])
+def test_merge_adjacent_by_rows(spark, chunk, dates, steps):
+    """Random pages, some with equal numbers or none, in groups that chunks cut at many places."""
+    rnd = random.Random(chunk)
+    pick = lambda *x: rnd.choice(x)
+    rows = []
+    for g in range(12):
+        page = -3
+        for i in range(60):
+            page += pick(*steps)
+            rows.append((g, g * 1000 + i, None if rnd.random() < 0.03 else page, pick(None, None, "a", "b"), pick(None, None, "x"), pick(None, None, None, "f"), pick(None, None, None, "t"), pick(None, *dates), rnd.random() < 0.2))
+    got = merge_adjacent(spark.createDataFrame(rows, EVENT_PAGES), ["group_id"], chunk=chunk).collect()
+    assert {tuple(r.source_ids): r.diagnosis for r in got} == events_by_rows(rows)
+
+
+def test_entry_table_has_few_cases():
+    """What a chunk makes of any entering event equals a walk, from a table that does not grow with its pages."""
+    rnd = random.Random(3)
+    for n in (1, 2, 5, 40, 400):
+        pages = [{"page": i, "page_id": i, "title": rnd.choice("abc"), "date": rnd.choice("123"), "signature": rnd.random() < 0.2, "filled": rnd.random() < 0.8} for i in range(n)]
+        table = list(entry_table(pages))
+        assert len(table) <= 7
+        for title in "abcz":
+            for date in "1239":
+                head = {"page": -1, "page_id": -1, "title": title, "date": date, "signature": False, "filled": True}
+                want = last_event([head, *pages])
+                out = next(o for t, d, o in table if t in (None, title) and d in (None, date))
+                assert (out if "head" in out else {**want, "head": -1, "page": out["page"]}) == want
+
+
+def test_a_hundred_thousand_pages_of_one_run(spark):
+    """One group, one run of numbers; events of a few pages, and one that spans many chunks."""
+    n = 100_000
+    d = spark.range(n).select(
+        F.lit(1).alias("group_id"), F.col("id").alias("page_id"), F.col("id").cast("int").alias("page_number"),
+        F.when(F.col("id").between(40_000, 70_000), "long").otherwise(F.concat(F.lit("t"), F.floor(F.col("id") / 3))).alias("surgery"),
+        *[F.lit(None).cast("string").alias(c) for c in ("diagnosis", "findings", "treatment")],
+        F.concat(F.lit("d"), "id").alias("date"), (F.col("id") % 3 == 2).alias("signature"),
+    )
+    got = merge_adjacent(d, ["group_id"]).select(F.size("source_ids").alias("n"), F.element_at("source_ids", 1).alias("first")).collect()
+    rows = [(1, i, i, "long" if 40_000 <= i <= 70_000 else f"t{i // 3}", None, None, None, f"d{i}", i % 3 == 2) for i in range(n)]
+    assert {(r.first, r.n) for r in got} == {(ids[0], len(ids)) for ids in events_by_rows(rows)} and max(r.n for r in got) > 30_000
 
 
 def test_terms_in_texts(spark):
