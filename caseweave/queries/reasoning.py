@@ -17,7 +17,7 @@ from caseweave.queries.merges import fact_tables
 from caseweave.queries.predicates import RULES, any_of, class_sql
 from caseweave.queries.registry import query
 from caseweave.session import work_path
-from caseweave.streaming import streams
+from caseweave.streaming import snapshots, streams
 
 C = F.col
 S = lambda x: F.lit(x)
@@ -465,6 +465,6 @@ def _(t):
     s = as_stream(t, rows, "facts_in")
 
     def start(w, f):
-        return w.foreachBatch(streams.stream_merge(t.spark, f)).start()
+        return w.foreachBatch(snapshots.stream_merge(f, 16)).start()
 
-    return streams.latest_snapshot(t.spark, run_stream(t, s, "snapshots", start)).select("case_id", "fact_key", "summary")
+    return snapshots.read_snapshot(t.spark, run_stream(t, s, "snapshots", start)).select("case_id", "fact_key", "summary")
