@@ -9,6 +9,7 @@ from caseweave.queries.predicates import any_of, hits_of
 from caseweave.queries.registry import query
 from caseweave.session import work_path
 from caseweave.sources import pages as sp
+from caseweave.sources.logs import read_log_tail
 
 C = F.col
 S = lambda x: F.lit(x)
@@ -275,8 +276,9 @@ def _(t):
         C("event_id").cast("string").alias("classifier_version"), F.when(C("event_type") != "error", text("p", C("user_id"))).alias("ocr_text"),
         F.struct(C("event_type").alias("type"), (F.get_json_object("props", "$.k").cast("double") / 100).alias("confidence")).alias("prediction"),
     )
-    path = work_table(t, side.select(F.to_json(F.struct("*")).alias("value")), "analysis", "text")
-    d = sp.light_analysis(t.spark.read.schema(sp.ANALYSIS).json(path))
+    # A side-car is one JSON document; here each holds the pages of 500 numbers.
+    cars = side.groupBy(F.floor(C("classifier_version").cast("bigint") / 500).alias("car")).agg(F.to_json(F.collect_list(F.struct(*side.columns))).alias("value"))
+    d = sp.read_page_analysis(t.spark, work_table(t, cars, "analysis", "text", ["car"]))
     return d.select(C("classifier_version").cast("bigint").alias("event_id"), "has_text", "text_length", C("prediction.type").alias("kind"), C("prediction.confidence").alias("confidence"))
 
 
@@ -320,8 +322,11 @@ WITH a AS (SELECT * FROM events ORDER BY event_id DESC LIMIT 400)
 SELECT event_id AS line_no, strftime(ts,'%Y-%m-%d %H:%M:%S') AS logged_at, 'ERROR' AS level, 'user.' || user_id AS logger, props AS message FROM a WHERE event_type = 'error'""")
 def _(t):
     level = F.when(C("event_type") == "error", "ERROR").otherwise("INFO")
-    log = t.events.select(C("event_id").alias("line_no"), text(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), " [", level, "] user.", C("user_id"), ": ", C("props")).alias("line"))
-    return sp.tail_log(log, 400, "error").select("line_no", "logged_at", "level", "logger", "message")
+    line = text(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), " [", level, "] user.", C("user_id"), ": ", C("event_id"), " ", C("props"))
+    path = work_table(t, t.events.repartitionByRange("event_id").sortWithinPartitions("event_id").select(line.alias("value")), "log", "text")
+    d = sp.tail_log(read_log_tail(t.spark, path, 400), 400, "error")
+    number = F.substring_index("message", " ", 1)
+    return d.select(number.cast("bigint").alias("line_no"), "logged_at", "level", "logger", F.substr("message", F.length(number) + 2).alias("message"))
 
 
 @query("s07_pivot_settings", """

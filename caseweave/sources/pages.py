@@ -109,18 +109,6 @@ def write_partitioned(df: DataFrame, path: str, keys: list[str], fmt: str = "par
 LOG_LINE = r"^(\S+ \S+) \[([A-Z]+)\] ([^:]+): (.*)$"
 
 
-def read_log(spark: SparkSession, path: str) -> DataFrame:
-    """Lines with an order that follows file and position."""
-    d = spark.read.text(path)
-    return d.select(
-        F.struct(
-            F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"),
-            F.monotonically_increasing_id().alias("i"),
-        ).alias("line_no"),
-        F.col("value").alias("line"),
-    )
-
-
 def tail_log(df: DataFrame, n: int = 100, level: str | None = None, longest: int = 500) -> DataFrame:
     """The last ``n`` lines, and only then the level filter."""
     d = df.orderBy(F.col("line_no").desc()).limit(min(n, longest))

@@ -1,6 +1,9 @@
+import io
+import random
+
 import pytest
-from pyspark.sql import functions as F
 
+from caseweave.sources.logs import last_lines, read_log_tail
 from caseweave.streaming import snapshots as sn
 
 FACT = "case_id int, fact_key string, fact_type string, summary string, quote string, review_status string, importance string, ord int"
@@ -75,3 +78,46 @@ def test_old_versions_expire(spark, tmp_path):
         sn.merge_batch(facts(spark, [(1, "a", f"v{n}", 1)] + ([(2, "b", "v", 1)] if n == 0 else [])), n, folder, 64)
     assert sn.expire(spark, folder, 2) == 2 and sn.versions(spark, folder) == [3, 4]
     assert held(spark, folder) == {(1, "a"): "v3", (2, "b"): "v"} and held(spark, folder, 3) == {(1, "a"): "v2", (2, "b"): "v"}
+
+
+class Counted(io.BytesIO):
+    seen = 0
+
+    def read(self, n=-1):
+        out = super().read(n)
+        self.seen += len(out)
+        return out
+
+
+@pytest.mark.parametrize("end", ["", "\n", "\r\n", "\n\n"])
+def test_last_lines_of_a_file(end):
+    rnd = random.Random(4)
+    for lines in (0, 1, 2, 30):
+        text = "\n".join("é" * rnd.randint(0, 9) for _ in range(lines)) + (end if lines else "")
+        raw = text.encode()
+        whole, at = [], 0
+        for part in raw.split(b"\n"):
+            whole.append((at, part.decode().removesuffix("\r")))
+            at += len(part) + 1
+        whole = whole[:-1] if not raw or raw.endswith(b"\n") else whole
+        for n in (0, 1, 3, 29, 30, 99):
+            for block in (1, 2, 7, 4096):
+                assert last_lines(io.BytesIO(raw), len(raw), n, block) == (whole[-n:] if n else [])
+
+
+def test_bytes_read_do_not_grow_with_the_log():
+    read = []
+    for lines in (1_000, 100_000):
+        raw = b"".join(b"line %07d\n" % i for i in range(lines))
+        f = Counted(raw)
+        assert [x for _, x in last_lines(f, len(raw), 20, 256)] == [f"line {i:07d}" for i in range(lines - 20, lines)]
+        read.append(f.seen)
+    assert read[0] == read[1] <= 512
+
+
+def test_tail_over_several_logs(spark, tmp_path):
+    for name, lines in (("a.log", "a1\na2\n"), ("b.log", ""), ("c.log", "c1\nc2"), ("_SUCCESS", "x\n")):
+        (tmp_path / name).write_text(lines)
+    got = [r.line for r in read_log_tail(spark, str(tmp_path), 3).orderBy("line_no").collect()]
+    assert got == ["a2", "c1", "c2"]
+    assert [r.line for r in read_log_tail(spark, f"file://{tmp_path}/a.log", 9).orderBy("line_no").collect()] == ["a1", "a2"]
