@@ -28,7 +28,9 @@ def test_sections_by_rows(spark):
     a, b = "甲" * 90, "乙" * 1300
     assert _sections(spark, f"{a}\n\n第一章 总则\n{a}") == [(None, None, a), ("第一章", "总则", f"第一章 总则\n{a}")]
     assert _sections(spark, f"2 标题\n{b}\n{a}\n短") == [("2", "标题", f"2 标题\n{b}"), ("2", "标题", f"{a}\n短")]
-    assert _sections(spark, f"{'丙' * 3000}") == [(None, None, "丙" * 2400)]
+    assert _sections(spark, f"{'丙' * 3000}") == [(None, None, "丙" * 2400), (None, None, "丙" * 600)]
+    assert _sections(spark, f"1 总则\n{'丙' * 2395}") == [("1", "总则", f"1 总则\n{'丙' * 2395}")]
+    assert _sections(spark, f"1 总则\n{'丙' * 2396}\n{a}") == [("1", "总则", f"1 总则\n{'丙' * 2395}"), ("1", "总则", "丙"), ("1", "总则", a)]
     assert _sections(spark, f"{'丙' * 3000}", None) == [(None, None, "丙" * 3000)]
     assert _sections(spark, f"短\n3 范围\n{a}") == [("3", "范围", f"3 范围\n{a}")]
     assert _sections(spark, "\n".join(f"{i} 题" for i in range(40))) == [(None, None, "\n".join(f"{i} 题" for i in range(40)))]
