@@ -243,10 +243,10 @@ def _(t):
 
 
 @query("x23_event_identity", """
-SELECT count(DISTINCT (lang, regexp_replace(substring(text,1,200),'@WS@+','','g')[1:80], source)) AS n_identities FROM documents""")
+SELECT doc_id, sha256(concat_ws(chr(1), lang, '', regexp_replace(substring(text,1,200),'@WS@+','','g')[1:80], source || ',' || doc_id)) AS identity FROM documents""")
 def _(t):
-    d = t.documents.select(ex.event_identity(C("lang"), F.lit(None).cast("string"), F.substring("text", 1, 200), F.array("source")).alias("id"))
-    return d.agg(F.count_distinct("id").alias("n_identities"))
+    ids = F.array(C("source"), C("doc_id").cast("string"))
+    return t.documents.select("doc_id", ex.event_identity(C("lang"), F.lit(None).cast("string"), F.substring("text", 1, 200), ids).alias("identity"))
 
 
 # --- sources -----------------------------------------------------------------
@@ -297,8 +297,8 @@ def _(t):
 
 @query("s04_import_library", """
 WITH f AS (SELECT d.doc_id, lang, n_chars, l.quality q, toxic, lang = 'de' doc FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE lang <> 'es')
-SELECT CASE WHEN q IS NOT NULL AND q = 1 THEN 'protected' WHEN q IS NOT NULL THEN 'skipped' WHEN NOT doc AND n_chars < 300 THEN 'needs_ocr' WHEN n_chars > 1200 THEN 'imported' ELSE 'failed' END AS status, count(*) AS n
-FROM f GROUP BY 1""")
+SELECT CASE WHEN q IS NOT NULL AND q = 1 THEN 'protected' WHEN q IS NOT NULL THEN 'skipped' WHEN NOT doc AND n_chars < 300 THEN 'needs_ocr' WHEN n_chars > 1200 THEN 'imported' ELSE 'failed' END AS status,
+ doc_id || CASE WHEN doc THEN '.docx' ELSE '.PDF' END AS file_name, CASE WHEN q IS NOT NULL THEN doc_id END AS doc_id FROM f""")
 def _(t):
     ext = F.when(C("lang") == "de", "docx").when(C("lang") == "es", "txt").otherwise("PDF")
     d = t.documents.withColumn("path", text("/lib/", C("source"), "/", C("doc_id"), ".", ext))
@@ -307,7 +307,7 @@ def _(t):
         "doc_id", F.when(C("toxic") == 1, S("/moved")).otherwise(C("path")).alias("path"), text(C("doc_id"), ".", ext).alias("file_name")
     )
     stats = t.labels.select("doc_id", (C("quality") == 1).alias("protected"))
-    return sp.import_library(files, known, stats).groupBy("status").agg(F.count(S(1)).alias("n"))
+    return sp.import_library(files, known, stats).select("file_name", "doc_id", "status")
 
 
 @query("s05_round_trip", "SELECT lang, source, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents GROUP BY 1, 2")

@@ -314,7 +314,7 @@ def _(t):
 @query("w04_merge_adjacent", """
 WITH RECURSIVE p AS (SELECT conv_id AS group_id, conv_id * 1000 + turn AS page_id, turn AS page, CASE WHEN role = 'user' THEN split_part(text, ' ', 1) END AS surgery,
  CASE WHEN role = 'assistant' THEN substr(text, 1, 20) END AS diagnosis, CASE WHEN length(text) > 400 THEN text END AS treatment, CASE WHEN length(text) % 2 = 0 THEN '2024-01-01' END AS date, length(text) < 120 AS signature FROM conversations),
-o AS (SELECT *, regexp_replace(COALESCE(surgery, '手术记录'), '\\s+', '', 'g') AS t, COALESCE(date, '') AS d, COALESCE(surgery, diagnosis, treatment) IS NOT NULL AS filled, row_number() OVER (PARTITION BY group_id ORDER BY page, page_id) AS i FROM p),
+o AS MATERIALIZED (SELECT *, regexp_replace(COALESCE(surgery, '手术记录'), '\\s+', '', 'g') AS t, COALESCE(date, '') AS d, COALESCE(surgery, diagnosis, treatment) IS NOT NULL AS filled, row_number() OVER (PARTITION BY group_id ORDER BY page, page_id) AS i FROM p),
 w AS (SELECT group_id, 0::BIGINT AS i, NULL::BIGINT AS head, NULL::VARCHAR AS t, NULL::VARCHAR AS d, NULL::BIGINT AS page, NULL::BIGINT AS page_id, false AS used FROM (SELECT DISTINCT group_id FROM p)
  UNION ALL SELECT group_id, i, CASE WHEN begins THEN id ELSE head END, CASE WHEN begins THEN nt ELSE t END, CASE WHEN begins THEN nd ELSE d END, CASE WHEN begins OR joins THEN np ELSE page END, id, begins OR joins
  FROM (SELECT *, NOT joins AND filled AS begins FROM (SELECT w.group_id, o.i, w.head, w.t, w.d, w.page, o.page_id AS id, o.page::BIGINT AS np, o.t AS nt, o.d AS nd, o.filled,

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from caseweave.functions import predicates as pr
 from caseweave.functions.classify import PREDICTION, classify_page
 from caseweave.operators import aggregates as ag
+from caseweave.operators import merge as me
 from caseweave.operators import sequence as sq
 from caseweave.operators.ordering import event_order
 from caseweave.plans import assembly as asm
@@ -35,13 +36,14 @@ def joined(c, sep=","):
 # --- corpus ------------------------------------------------------------------
 
 
-@query("r01_chunk_documents", """
-WITH RECURSIVE t AS (SELECT doc_id, lang, regexp_replace(CASE WHEN lang = 'es' THEN replace(text, chr(10), ' ') ELSE regexp_replace(text, '\\n', chr(10) || '3.1 ', 'g') END, '\\r\\n|\\r|\\f', chr(10), 'g') AS x FROM documents),
+# Sections of DOCS (doc_id, x), line by line.
+SECTIONS = """
+WITH RECURSIVE t AS (SELECT doc_id, regexp_replace(x, '\\r\\n|\\r|\\f', chr(10), 'g') AS x FROM (DOCS)),
 n AS (SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(x, '[ \\t]+', ' ', 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), '(?m)^[—\\-－]@WS@*[0-9]+@WS@*[—\\-－]@WS@*$', '', 'g'), '@WC@') AS x FROM t),
 u AS (SELECT doc_id, unnest(range(0, len(string_split(x, chr(10))))) AS p, string_split(x, chr(10)) AS ls FROM n),
 l AS (SELECT doc_id, trim(ls[p + 1], '@WC@') AS line, row_number() OVER (PARTITION BY doc_id ORDER BY p) AS i FROM u WHERE trim(ls[p + 1], '@WC@') <> ''),
 r AS (SELECT *, length(line) <= 120 AND regexp_matches(line, '^[0-9]+(\\.[0-9]+){0,5}@WS@+.+$') AND length(trim(regexp_extract(line, '^[0-9]+(\\.[0-9]+){0,5}@WS@+(.+)$', 2), '@WC@')) <= 90 AS h FROM l),
-h AS (SELECT doc_id, i, line, h, CASE WHEN h THEN regexp_extract(line, '^[0-9]+(\\.[0-9]+){0,5}') END AS hc, CASE WHEN h THEN trim(regexp_extract(line, '^[0-9]+(\\.[0-9]+){0,5}@WS@+(.+)$', 2), '@WC@') END AS ht FROM r),
+h AS MATERIALIZED (SELECT doc_id, i, line, h, CASE WHEN h THEN regexp_extract(line, '^[0-9]+(\\.[0-9]+){0,5}') END AS hc, CASE WHEN h THEN trim(regexp_extract(line, '^[0-9]+(\\.[0-9]+){0,5}@WS@+(.+)$', 2), '@WC@') END AS ht FROM r),
 w AS (SELECT doc_id, 0::BIGINT AS i, '' AS body, '' AS code, '' AS title, NULL::VARCHAR AS done, '' AS dcode, '' AS dtitle FROM n
  UNION ALL SELECT doc_id, i, CASE WHEN length(b) >= 1200 THEN '' ELSE b END, c, t, CASE WHEN ends THEN body WHEN length(b) >= 1200 THEN b END, CASE WHEN ends THEN code ELSE c END, CASE WHEN ends THEN title ELSE t END
  FROM (SELECT w.doc_id, h.i, w.body, w.code, w.title, h.h AND w.body <> '' AS ends, CASE WHEN h.h OR w.body = '' THEN h.line ELSE w.body || chr(10) || h.line END AS b, COALESCE(h.hc, w.code) AS c, COALESCE(h.ht, w.title) AS t
@@ -51,12 +53,31 @@ s AS (SELECT doc_id, i, dcode AS code, dtitle AS title, done AS text FROM w WHER
 c AS (SELECT doc_id, i, NULLIF(code, '') AS code, NULLIF(title, '') AS title, unnest(range(0, length(text), 2400)) AS o, text, 2400 AS size FROM s
  UNION ALL SELECT doc_id, 0, NULL, NULL, unnest(range(0, length(x), 1200)), x, 1200 FROM n WHERE doc_id NOT IN (SELECT doc_id FROM s)),
 e AS (SELECT doc_id, i, o, code, title, size, CASE WHEN size = 1200 THEN trim(substr(text, o + 1, size), '@WC@') ELSE substr(text, o + 1, size) END AS text FROM c)
-SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i, o) - 1 AS pos, code, title, md5(text) AS digest FROM e WHERE size = 2400 OR length(text) >= 80""")
-def _(t):
-    # One language comes as one long line each, so that sections go over their longest.
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i, o) - 1 AS pos, code, title, md5(text) AS digest FROM e WHERE size = 2400 OR length(text) >= 80"""
+OLD = "CASE WHEN lang = 'es' THEN replace(text, chr(10), ' ') ELSE replace(text, chr(10), chr(10) || '3.1 ') END"
+
+
+def numbered_docs(t):
+    """Each line a heading; one language comes as one long line each, so that sections go over their longest."""
     line = F.when(C("lang") == "es", F.replace("text", S("\n"), S(" "))).otherwise(F.regexp_replace("text", "\n", "\n3.1 "))
-    d = co.chunk_documents(t.documents.select("doc_id", C("source").alias("doc_title"), line.alias("text")))
-    return d.select("doc_id", "pos", "code", "title", F.md5("text").alias("digest"))
+    return t.documents.select("doc_id", C("source").alias("doc_title"), line.alias("text"))
+
+
+@query("r01_chunk_documents", SECTIONS.replace("DOCS", f"SELECT doc_id, {OLD} AS x FROM documents"))
+def _(t):
+    return co.chunk_documents(numbered_docs(t)).select("doc_id", "pos", "code", "title", F.md5("text").alias("digest"))
+
+
+@query("d16_rebuild_chunks", SECTIONS.replace("DOCS", f"SELECT doc_id, CASE WHEN quality = 1 THEN text ELSE {OLD} END AS x FROM {LABELLED}"))
+def _(t):
+    """Saved reviews name the documents whose chunks are made anew; all other chunks stay as they were."""
+    pages = t.documents.select(C("doc_id").alias("page_id"), "doc_id", S("").alias("reviewed"), S("pending").alias("review_status"), S(0).alias("confidence"), S("").alias("notes"))
+    reviews = t.labels.select(
+        C("doc_id").alias("page_id"), F.when(C("quality") == 1, "completed").otherwise("unknown").alias("status"), S("x").alias("reviewed"), NULL("int").alias("confidence"), NULL("string").alias("notes")
+    )
+    _, touched = me.apply_review(pages, reviews)
+    now = t.documents.select("doc_id", C("source").alias("doc_title"), "text")
+    return co.rebuild_chunks(co.chunk_documents(numbered_docs(t)), now, touched).select("doc_id", "pos", "code", "title", F.md5("text").alias("digest"))
 
 
 BANK = ["tion", "inha", "rest", "eron"]
