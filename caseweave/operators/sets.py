@@ -25,10 +25,18 @@ def with_direct_hits(scored: DataFrame, direct: DataFrame, score: float = 10.0)
 
 
 def stale_keys(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Keys of one side only: change is ``stale`` (old only) or ``new``."""
-    o, n = old.select(*keys).distinct(), new.select(*keys).distinct()
-    gone = o.join(n, keys, "left_anti").withColumn("change", F.lit("stale"))
-    return gone.unionByName(n.join(o, keys, "left_anti").withColumn("change", F.lit("new")))
+    """Keys of one side only: change is ``stale`` (old only) or ``new``. A key with a null matches no other.
+
+    One grouping over both sides: each is read once, and a task holds one row per key.
+    """
+    side = lambda d, is_old: d.select(*keys, F.lit(is_old).alias("_old"), F.lit(not is_old).alias("_new"))
+    d = side(old, True).unionByName(side(new, False)).groupBy(*keys).agg(F.max("_old").alias("_old"), F.max("_new").alias("_new"))
+    alone = F.lit(False)
+    for k in keys:
+        alone = alone | F.col(k).isNull()
+    stale = F.when(F.col("_old") & (~F.col("_new") | alone), "stale")
+    fresh = F.when(F.col("_new") & (~F.col("_old") | alone), "new")
+    return d.select(*keys, F.explode(F.array_compact(F.array(stale, fresh))).alias("change"))
 
 
 def overlaps(a: Column, b: Column) -> Column:
