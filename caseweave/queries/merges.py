@@ -1,4 +1,6 @@
 """D01-D21, U01, G03-G05 and G08 over the given tables."""
+from collections.abc import Mapping
+
 from pyspark.sql import functions as F
 
 from caseweave import fixed
@@ -450,16 +452,31 @@ def stored(t, name, make):
     return t.spark.read.parquet(_STORED[key])
 
 
-def fact_tables(t):
-    made = {}
+class FactTables(Mapping):
+    """The tables of a case base by name; a table is rendered and stored when it is first read."""
+
+    NAMES = ("groups", "pages", "events", "reports", "records", "facts", "cases")
+
+    def __init__(self, t):
+        self.t, self.made = t, {}
+
+    def _make(self, name):
+        if not self.made:
+            self.made = render_fact_tables(self.t)
+        return self.made[name]
 
-    def make(name):
-        if not made:
-            made.update(render_fact_tables(t))
-        return made[name]
+    def __getitem__(self, name):
+        return stored(self.t, name, lambda: self._make(name))
 
-    names = ("groups", "pages", "events", "reports", "records", "facts", "cases")
-    return {n: stored(t, n, lambda n=n: make(n)) for n in names}
+    def __iter__(self):
+        return iter(self.NAMES)
+
+    def __len__(self):
+        return len(self.NAMES)
+
+
+def fact_tables(t):
+    return FactTables(t)
 
 
 def render_fact_tables(t):
