@@ -20,6 +20,12 @@ from caseweave.operators.split import first_rows, in_parts
 from caseweave.sources.pages import sequence_key
 
 
+def join_dealt(d: DataFrame, right: DataFrame, key: str, by: list[str]) -> DataFrame:
+    """Left join on ``key``. Rows without a key match nothing; a hash of ``by`` deals them to all tasks instead of one."""
+    dealt = d.withColumn("_deal", F.when(F.col(key).isNull(), F.xxhash64(*by)).otherwise(F.xxhash64(key)))
+    return dealt.join(right.withColumn("_deal", F.xxhash64(key)), [key, "_deal"], "left").drop("_deal")
+
+
 def canonical_name(df: DataFrame, groups: DataFrame) -> DataFrame:
     """The name of the group when it has one, else the own name, else empty."""
     g = groups.select("group_id", F.col("name").alias("_group_name"))
@@ -68,7 +74,8 @@ def resolve_sources(facts: DataFrame, pages: DataFrame) -> DataFrame:
     sizes = pages.filter(F.col("group_id").isNotNull()).groupBy("group_id").agg(F.count(F.lit(1)).alias("_n"))
     rank = F.struct(F.col("page_number").isNull().alias("null_last"), "page_number", "page_id")
     lists = pages.filter(F.col("group_id").isNotNull()).groupBy("group_id").agg(F.array_sort(F.collect_list(rank)).alias("_list"))
-    d = f.join(by_id, "fact_id", "left").join(sizes, "group_id", "left").join(lists, "group_id", "left")
+    groups = sizes.join(lists, "group_id")
+    d = join_dealt(f.join(by_id, "fact_id", "left"), groups, "group_id", ["fact_id"])
     explicit = F.size(F.col("source_ids")) > 0
     by_group = ~explicit & F.col("group_id").isNotNull()
     ids = (
@@ -279,7 +286,7 @@ def event_lists(records: DataFrame, events: DataFrame) -> tuple[DataFrame, DataF
     grp = lambda c: F.concat(F.lit("group:"), F.col(c).cast("string"))
     links = records.select("record_id", F.explode(F.array_compact(F.array(rec("record_id"), grp("group_id")))).alias("list_key"))
     home = records.select(F.col("record_id"), F.col("group_id").alias("_home"))
-    e = events.join(home, "record_id", "left")
+    e = join_dealt(events, home, "record_id", events.columns)
     inside = F.col("_home").eqNullSafe(F.col("group_id")) & F.col("group_id").isNotNull()
     keys = F.array_compact(F.array(F.when(F.col("record_id").isNotNull() & ~inside, rec("record_id")), grp("group_id")))
     return links, e.withColumn("list_key", F.explode(keys)).drop("_home")
