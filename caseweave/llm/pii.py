@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from caseweave.llm.common import hash_sample, kept
+from caseweave.llm.common import kept, matrix
 
 KINDS = ["email", "ip", "card", "phone"]
 Span = tuple[int, int, int]  # kind, start, end
@@ -182,63 +182,118 @@ def describe(text: str, span: Span) -> list[float]:
     ]
 
 
+WIDTH = len(describe("0", (1, 0, 1)))
+
+
 class Trees:
-    """Boosted trees of a fixed depth for the log-odds, on quantile bins."""
+    """Boosted trees of a fixed depth for the log-odds, on quantile bins of all rows.
+
+    A level is one pass over the coded rows: every task sums gradients by node, feature and bin, Spark adds
+    these sums, and the driver picks the splits from them. Sums are whole numbers of 1 / ``UNIT`` and leaves
+    whole numbers of 1 / ``GRID``, so results do not depend on the order or the number of the tasks.
+    """
+
+    UNIT, GRID, TASK_ROWS = 1 << 24, 1 << 10, 100_000
 
     def __init__(self, rounds: int = 40, depth: int = 3, rate: float = 0.3, bins: int = 16):
         self.rounds, self.depth, self.rate, self.bins = rounds, depth, rate, bins
         self.trees: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
-    def fit(self, x: np.ndarray, y: np.ndarray) -> Trees:
-        cuts = [np.unique(np.quantile(c, np.linspace(0, 1, self.bins + 1)[1:-1])) for c in x.T]
-        code = np.column_stack([np.searchsorted(q, c) for q, c in zip(cuts, x.T, strict=True)])
-        score = np.zeros(len(x))
-        size = self.bins + 1
+    def fit(self, rows: DataFrame) -> Trees:
+        """``rows``: x (features), y (0 or 1)."""
+        probs = F.array(*[F.lit(k / self.bins) for k in range(1, self.bins)])
+        n, *found = rows.agg(F.count("y"), *[F.percentile(F.col("x")[f], probs) for f in range(WIDTH)]).first()
+        cuts = [np.unique(c) for c in found]
+        fits = np.arange(self.bins)[None, :] < np.array([len(c) for c in cuts])[:, None]
+
+        def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                code = np.column_stack([np.searchsorted(q, c) for q, c in zip(cuts, matrix(b.column(0), WIDTH).T, strict=True)]).astype(np.uint8)
+                yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in code], pa.binary()), b.column(1)], ["code", "y"])
+
+        coded = kept(rows.select("x", "y").repartition(n // self.TASK_ROWS + 1).mapInArrow(encode, "code binary, y int"), "coded")
+        grown = Trees(self.rounds, self.depth, self.rate, self.bins)  # the same trees on codes
         for _ in range(self.rounds):
-            p = 1 / (1 + np.exp(-score))
-            g, h = y - p, p * (1 - p) + 1e-9
-            node = np.zeros(len(x), int)
-            feature, cut = np.zeros(2**self.depth - 1, int), np.full(2**self.depth - 1, np.inf)
+            feature, cut, at = np.zeros(2**self.depth - 1, int), np.full(2**self.depth - 1, np.inf), np.full(2**self.depth - 1, np.inf)
             for level in range(self.depth):
-                first, n = 2**level - 1, 2**level
-                best = np.full(n, 1e-6)
-                for f in range(x.shape[1]):
-                    at = (node - first) * size + code[:, f]
-                    gs, hs = (np.bincount(at, v, n * size).reshape(n, size) for v in (g, h))
-                    gl, hl = gs.cumsum(1)[:, :-1], hs.cumsum(1)[:, :-1]
-                    gt, ht = gs.sum(1, keepdims=True), hs.sum(1, keepdims=True)
-                    gain = gl**2 / (hl + 1) + (gt - gl) ** 2 / (ht - hl + 1) - gt**2 / (ht + 1)
-                    k = gain.argmax(1)
-                    for i in np.flatnonzero(gain[np.arange(n), k] > best):
-                        if k[i] < len(cuts[f]):
-                            best[i], feature[first + i], cut[first + i] = gain[i, k[i]], f, cuts[f][k[i]]
-                node = 2 * node + 1 + (x[np.arange(len(x)), feature[node]] > cut[node])
-            leaf = node - (2**self.depth - 1)
-            value = self.rate * np.bincount(leaf, g, 2**self.depth) / (np.bincount(leaf, h, 2**self.depth) + 1)
-            score += value[leaf]
+                first, nodes = 2**level - 1, np.arange(2**level)
+                g, h = grown._sums(coded, (feature, at), level)
+                gl, hl = g.cumsum(2)[:, :, :-1], h.cumsum(2)[:, :, :-1]
+                gt, ht = g.sum(2, keepdims=True), h.sum(2, keepdims=True)
+                gain = np.where(fits, gl**2 / (hl + 1) + (gt - gl) ** 2 / (ht - hl + 1) - gt**2 / (ht + 1), 0.0).reshape(len(nodes), -1)
+                best = gain.argmax(1)
+                split = gain[nodes, best] > 1e-6
+                f, k = np.divmod(best, self.bins)
+                for i in np.flatnonzero(split):
+                    feature[first + i], at[first + i], cut[first + i] = f[i], k[i], cuts[f[i]][k[i]]
+            left = [np.where(split, part[nodes, f, k], total[:, 0, 0]) for part, total in ((gl, gt), (hl, ht))]
+            gs, hs = (np.column_stack([part, total[:, 0, 0] - part]).ravel() for part, total in zip(left, (gt, ht), strict=True))
+            value = np.rint(self.rate * gs / (hs + 1) * self.GRID) / self.GRID
+            grown.trees.append((feature, at, value))
             self.trees.append((feature, cut, value))
         return self
 
-    def scores(self, x: np.ndarray) -> np.ndarray:
-        out, rows = np.zeros(len(x)), np.arange(len(x))
+    def _sums(self, coded: DataFrame, tree: tuple, level: int) -> tuple[np.ndarray, np.ndarray]:
+        """Sums of gradients and their slopes by node of ``level``, feature and bin, over all rows."""
+        shape = (2**level, WIDTH, self.bins + 1)
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((2, np.prod(shape)), np.int64)
+            for b in batches:
+                code = np.frombuffer(b"".join(b.column(0).to_pylist()), np.uint8).reshape(-1, WIDTH)
+                p = 1 / (1 + np.exp(-self.odds(code)))
+                node = _reached(code, *tree, level) - (2**level - 1)
+                cell = ((node[:, None] * WIDTH + np.arange(WIDTH)) * shape[2] + code).ravel()
+                for k, v in enumerate((b.column(1).to_numpy() - p, p * (1 - p))):
+                    total[k] += np.bincount(cell, np.repeat(np.rint(v * self.UNIT), WIDTH), total.shape[1]).astype(np.int64)
+            hit = np.flatnonzero(total.any(0))
+            yield pa.RecordBatch.from_arrays([pa.array(hit), pa.array(total[0, hit]), pa.array(total[1, hit])], ["cell", "g", "h"])
+
+        out = np.zeros((2, np.prod(shape)))
+        for r in coded.mapInArrow(add, "cell long, g long, h long").groupBy("cell").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect():
+            out[:, r.cell] = r.g, r.h
+        return tuple((out / self.UNIT).reshape(2, *shape))
+
+    def odds(self, x: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(x))
         for feature, cut, value in self.trees:
-            node = np.zeros(len(x), int)
-            for _ in range(self.depth):
-                node = 2 * node + 1 + (x[rows, feature[node]] > cut[node])
-            out += value[node - (2**self.depth - 1)]
-        return 1 / (1 + np.exp(-out))
+            out += value[_reached(x, feature, cut, self.depth) - (2**self.depth - 1)]
+        return out
+
+    def scores(self, x: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-self.odds(x)))
 
 
-def calibrate(scores: np.ndarray, right: np.ndarray, kinds: np.ndarray, precision: float, least: int = 20) -> list[float]:
+def _reached(x: np.ndarray, feature: np.ndarray, cut: np.ndarray, levels: int) -> np.ndarray:
+    node, rows = np.zeros(len(x), int), np.arange(len(x))
+    for _ in range(levels):
+        node = 2 * node + 1 + (x[rows, feature[node]] > cut[node])
+    return node
+
+
+def graded(rows: DataFrame, trees: Trees) -> pd.DataFrame:
+    """kind, odds (in 1 / ``GRID``), n and ok (right ones) of all ``rows``; as many as different odds, however many rows."""
+
+    def grade(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = matrix(b.column(0), WIDTH)
+            yield pa.RecordBatch.from_arrays([pa.array(x[:, :4].argmax(1)), pa.array(np.rint(trees.odds(x) * trees.GRID).astype(np.int64)), b.column(1)], ["kind", "odds", "y"])
+
+    d = rows.select("x", "y").mapInArrow(grade, "kind long, odds long, y int")
+    return d.groupBy("kind", "odds").agg(F.count("y").alias("n"), F.sum("y").alias("ok")).toPandas()
+
+
+def calibrate(scores: np.ndarray, right: np.ndarray, n: np.ndarray, kinds: np.ndarray, precision: float, least: int = 20) -> list[float]:
     """Per kind the lowest threshold whose held-out precision reaches ``precision`` on ``least`` rows; above 1 if none does.
 
-    It lies half way to the next lower score, and at 0.5 at least.
+    ``scores`` differ within a kind; ``n`` rows have each, ``right`` of them are right. The
+    threshold lies half way to the next lower score, and at 0.5 at least.
     """
     out = []
     for k in range(4):
         order = np.argsort(-scores[kinds == k], kind="stable")
-        s, ok = scores[kinds == k][order], right[kinds == k][order]
-        reached = np.flatnonzero((np.cumsum(ok) / np.arange(1, len(ok) + 1) >= precision) & (np.arange(1, len(ok) + 1) >= least) & np.append(s[1:] != s[:-1], True))
+        s, ok, rows = scores[kinds == k][order], right[kinds == k][order].cumsum(), n[kinds == k][order].cumsum()
+        reached = np.flatnonzero((ok / np.maximum(rows, 1) >= precision) & (rows >= least))
         below = np.append(s, 0.0)[1:]
         out.append(max(0.5, float(s[reached[-1]] + below[reached[-1]]) / 2) if len(reached) else 2.0)
     return out
@@ -301,36 +356,38 @@ def examples(text: str) -> tuple[list[list[float]], list[int]]:
     return rows, right
 
 
-def train(docs: DataFrame, max_docs: int = 20_000, max_spans: int = 30_000, precision: float = 0.995, id_col: str = "doc_id", text_col: str = "text"):
-    """Trees and thresholds from the weak labels of a bounded sample; (None, thresholds above 1) without both labels.
+def train(docs: DataFrame, precision: float = 0.995, id_col: str = "doc_id", text_col: str = "text"):
+    """Trees and thresholds from the weak labels of all documents; (None, thresholds above 1) without both labels.
 
-    About ``max_spans`` candidates of about ``max_docs`` documents reach the driver.
+    A quarter of the candidates, by their hash, is held out for the thresholds. Candidates stay in
+    Spark; sums by node and bin, and counts by score, reach the driver.
     """
-    sample = hash_sample(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(F.col(text_col).rlike("[0-9@]")), "doc_id", max_docs)
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def batch() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(rows, pa.list_(pa.float64())), pa.array(right, pa.int32())], ["doc_id", "x", "y"])
+
+        key, rows, right = [], [], []
         for b in batches:
-            key, rows, right = [], [], []
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 own, ok = examples(t)
                 key += [i] * len(own)
                 rows += own
                 right += ok
-            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(rows, pa.list_(pa.float64())), pa.array(right, pa.int32())], ["doc_id", "x", "y"])
-
-    found = kept(sample.mapInArrow(extract, "doc_id long, x array<double>, y int").withColumn("h", F.xxhash64("doc_id", "x")), "candidates")
-    n = found.count()
-    if n > max_spans:  # by the hash of a candidate, so no task sends more than its share
-        found = found.where(F.pmod(F.shiftright("h", 8), F.lit(1 << 30)) < int((1 << 30) * max_spans / n))
-    got = found.toPandas()
-    if got.y.nunique() < 2:
-        return None, [2.0] * 4
-    x, y = np.array(got.x.tolist()), got.y.to_numpy(float)
-    held = got.h.to_numpy() % 4 == 0
-    if not held.any() or len(set(y[~held])) < 2:
+                if len(rows) >= 8192:
+                    yield batch()
+                    key, rows, right = [], [], []
+        yield batch()
+
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(F.col("text").rlike("[0-9@]"))
+    found = texts.mapInArrow(extract, "doc_id long, x array<double>, y int")
+    found = kept(found.select("x", "y", (F.pmod(F.xxhash64("doc_id", "x"), F.lit(4)) == 0).alias("held")), "candidates")
+    counts = {(r.held, r.y): r["count"] for r in found.groupBy("held", "y").count().collect()}
+    if not any(held for held, _ in counts) or {y for held, y in counts if not held} != {0, 1}:
         return None, [2.0] * 4
-    trees = Trees().fit(x[~held], y[~held])
-    return trees, calibrate(trees.scores(x[held]), y[held], x[held][:, :4].argmax(1), precision)
+    trees = Trees().fit(found.where(~F.col("held")))
+    got = graded(found.where("held"), trees)
+    return trees, calibrate(1 / (1 + np.exp(-got.odds.to_numpy() / trees.GRID)), got.ok.to_numpy(), got.n.to_numpy(), got.kind.to_numpy(), precision)
 
 
 def find_spans(text: str, model) -> tuple[list[Span], list[Span]]:

@@ -359,6 +359,32 @@ def private_texts(rnd, n):
     return out
 
 
+def test_pii_learns_from_all_candidates(spark, monkeypatch):
+    """More candidates than the 30,000 that a sample held: all are learnt from or held out."""
+    texts = private_texts(random.Random(8), 1800)
+    seen = []
+    monkeypatch.setattr(pii.Trees, "fit", lambda self, rows: seen.append(rows.count()) or self)
+    monkeypatch.setattr(pii, "calibrate", lambda scores, ok, n, *a: seen.append(n.sum()))
+    pii.train(table(spark, texts).select("doc_id", "text"))
+    assert len(seen) == 2 and sum(seen) == sum(len(pii.examples(t)[1]) for t in texts) > 30_000
+
+
+def test_pii_trees(spark, monkeypatch):
+    """Leaves agree with sums over all rows, and do not depend on the number of tasks."""
+    own, right = zip(*(pii.examples(t) for t in private_texts(random.Random(8), 150)))
+    x, y = np.array([r for rows in own for r in rows]), np.array([r for ys in right for r in ys])
+    rows = spark.createDataFrame([(a.tolist(), int(b)) for a, b in zip(x, y)], "x array<double>, y int").cache()
+    trees = pii.Trees(rounds=3).fit(rows)
+    feature, cut, value = trees.trees[0]
+    leaf = pii._reached(x, feature, cut, 3) - 7
+    slow = [0.3 * (y[leaf == k] - 0.5).sum() / ((leaf == k).sum() / 4 + 1) for k in range(8)]
+    assert np.allclose(value, slow, atol=1 / 1024) and np.abs(value).max() > 0.1
+    assert ((trees.scores(x) > 0.5) == y).mean() > 0.8
+    monkeypatch.setattr(pii.Trees, "TASK_ROWS", 500)
+    again = pii.Trees(rounds=3).fit(rows)
+    assert all(np.array_equal(a, b) for s, t in zip(trees.trees, again.trees) for a, b in zip(s, t))
+
+
 def test_added_spans(spark):
     rnd = random.Random(6)
     planted = {
