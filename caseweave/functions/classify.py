@@ -194,8 +194,10 @@ def reclassify(df: DataFrame, rules: Rules | None = None) -> DataFrame:
     """Recognised rows whose subtype comes out different: adds new_subtype."""
     d = df.filter((F.col("status") == "completed") & (F.col("text") != ""))
     d = d.withColumn("_t", compact_text(F.col("text")))
-    d = d.withColumn("new_subtype", classify_subtype(F.col("type"), F.col("_t"), rules)).drop("_t")
-    return d.filter(F.col("new_subtype").isNotNull() & ~F.col("new_subtype").eqNullSafe(F.col("subtype")))
+    new = classify_subtype(F.col("type"), F.col("_t"), rules)
+    # Not a filter: Catalyst moves it below the projection and cleans the text for every word again.
+    changed = F.filter(F.array(new), lambda n: n.isNotNull() & ~n.eqNullSafe(F.col("subtype")))
+    return d.withColumn("new_subtype", F.explode(changed)).drop("_t")
 
 
 def backfill_subtype(df: DataFrame, rules: Rules | None = None) -> DataFrame:
