@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -84,20 +85,6 @@ class Walk:
         self.tables[code] = (out, rule.astype(np.int8))
         return self.tables[code]
 
-    def run(self, codes, state: int) -> tuple[list[int], int]:
-        rules = []
-        for c in codes:
-            out, rule = self.table(int(c))
-            rules.append(int(rule[state]))
-            state = int(out[state])
-        return rules, state
-
-    def whole(self, codes) -> np.ndarray:
-        m = np.arange(len(self.states), dtype=np.int16)
-        for c in codes:
-            m = self.table(int(c))[0][m]
-        return m
-
 
 @functools.lru_cache(maxsize=2)
 def walk(look_ahead: bool = True) -> Walk:
@@ -148,12 +135,28 @@ def correct_sequence(df: DataFrame, text: str = "text", titles: dict = v.STANDAL
     # Read three times below (tables, walk, inherited values): kept once, without any text.
     d = cut_lineage(d)
 
-    def reduce_chunk(pdf: pd.DataFrame) -> pd.DataFrame:
+    # Rows come sorted by file, chunk and place: chunks are walked one after the other, with no table of their own.
+    def reduce_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = walk()
-        codes = pdf.sort_values("_rn")["_code"]
-        first = int(pdf["_chunk"].iloc[0]) == 0
-        m = np.full(len(w.states), w.run(codes, w.start)[1], dtype=np.int16) if first else w.whole(codes)
-        return pd.DataFrame({"file": [pdf["file"].iloc[0]], "_chunk": [pdf["_chunk"].iloc[0]], "_map": [m.tobytes()]})
+        key, m = None, None  # of a first chunk only the state it ends in matters
+
+        def batch(rows: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((kind_type, pa.int64(), pa.binary()))], ["file", "_chunk", "_map"])
+
+        rows = []
+        for b in batches:
+            kind_type = b.schema.field("file").type
+            for f, c, code in zip(*(b.column(n).to_pylist() for n in ("file", "_chunk", "_code")), strict=True):
+                if (f, c) != key:
+                    if key:
+                        rows.append((*key, m.tobytes()))
+                    key, m = (f, c), np.array([w.start], dtype=np.int16) if c == 0 else np.arange(len(w.states), dtype=np.int16)
+                m = w.table(code)[0][m]
+                if len(rows) == 4096:
+                    yield batch(rows)
+                    rows = []
+        if key:
+            yield batch([*rows, (*key, m.tobytes())])
 
     def chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         # Sorted by file and chunk: one table at a time, only the state is kept.
@@ -165,24 +168,32 @@ def correct_sequence(df: DataFrame, text: str = "text", titles: dict = v.STANDAL
                 if f != file:
                     file, state = f, w.start
                 rows.append((f, c, state))
-                state = int(np.frombuffer(m, dtype=np.int16)[state])
+                m = np.frombuffer(m, dtype=np.int16)
+                state = int(m[state if c else 0])
             yield pd.DataFrame(rows, columns=["file", "_chunk", "_state"])
 
-    def walk_chunk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_rn")
-        state = pdf["_state"].iloc[0]
-        rules, _ = walk().run(pdf["_code"], walk().start if pd.isna(state) else int(state))
-        return pd.DataFrame({"file": pdf["file"], "page_id": pdf["page_id"], "_rule": rules})
+    def walk_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w = walk()
+        key, state = None, w.start
+        for b in batches:
+            rules = []
+            for f, c, code, begin in zip(*(b.column(n).to_pylist() for n in ("file", "_chunk", "_code", "_state")), strict=True):
+                if (f, c) != key:
+                    key, state = (f, c), w.start if begin is None else begin
+                out, rule = w.table(code)
+                rules.append(int(rule[state]))
+                state = int(out[state])
+            yield pa.RecordBatch.from_arrays([b.column("file"), b.column("page_id"), pa.array(rules, pa.int32())], ["file", "page_id", "_rule"])
 
     codes = d.select("file", "page_id", "_rn", "_chunk", "_code")
     # Only files of several chunks need tables.
     big = codes.groupBy("file").agg(F.max("_chunk").alias("_last")).filter(F.col("_last") > 0).select("file")
     kind = dict(codes.dtypes)["file"]
-    maps = codes.join(big, "file", "left_semi").groupBy("file", "_chunk").applyInPandas(reduce_chunk, f"file {kind}, _chunk long, _map binary")
+    maps = codes.join(big, "file", "left_semi").repartition("file", "_chunk").sortWithinPartitions("file", "_chunk", "_rn").mapInArrow(reduce_chunks, f"file {kind}, _chunk long, _map binary")
     states = maps.repartition("file").sortWithinPartitions("file", "_chunk").mapInPandas(chain, f"file {kind}, _chunk long, _state int")
     ready = codes.join(states, ["file", "_chunk"], "left")
     page = dict(codes.dtypes)["page_id"]
-    rules = ready.groupBy("file", "_chunk").applyInPandas(walk_chunk, f"file {kind}, page_id {page}, _rule int")
+    rules = ready.repartition("file", "_chunk").sortWithinPartitions("file", "_chunk", "_rn").mapInArrow(walk_chunks, f"file {kind}, page_id {page}, _rule int")
     return inherit(d.join(rules, ["file", "page_id"]), bucket)
 
 
