@@ -103,10 +103,11 @@ def decide(corpus: DataFrame, specs: list[dict], k: int = 10, requests: DataFram
     (``requests``: case_id, request). Evidence of one kind and id is named once.
     """
     sid, t = F.col("spec_id"), F.col("text")
-    d = match_evidence(corpus, specs)
-    by_terms = evidence_score(t, F.col("kind"), F.col("source_pages"), F.col("review_status"), [], fixed.EVIDENCE_BONUS, max_range_count(t))
+    by_text = evidence_score(t, F.col("kind"), F.col("source_pages"), F.col("review_status"), [], fixed.EVIDENCE_BONUS, max_range_count(t))
+    # What depends on the text alone is counted once a text, before the rows of its specs.
+    d = match_evidence(corpus.withColumn("_points", F.when(contains_any(t, sorted({w for s in specs for w in s["include"]})), by_text)), specs)
     include = spec_of(specs, sid)["include"]
-    score = by_terms + F.aggregate(include, F.lit(0), lambda n, w: n + F.when(F.contains(t, w), F.length(w)).otherwise(0))
+    score = F.col("_points") + F.aggregate(include, F.lit(0), lambda n, w: n + F.when(F.contains(t, w), F.length(w)).otherwise(0))
     asked = [s for s in specs if s.get("asked")]
     if asked:
         if requests is None:
@@ -114,7 +115,7 @@ def decide(corpus: DataFrame, specs: list[dict], k: int = 10, requests: DataFram
         d = d.join(requests.select("case_id", F.coalesce("request", F.lit("")).alias("_request")), "case_id", "left")
         for s in asked:
             d = d.filter((sid != s["spec_id"]) | contains_any(F.col("_request"), s["asked"]))
-    d = top_evidence(d.withColumns({"score": score, "ord": F.struct("kind", "id")}), ["case_id", "spec_id"], k)
+    d = top_evidence(d.withColumns({"score": score, "ord": F.struct("kind", "id")}).drop("_points"), ["case_id", "spec_id"], k)
     for s in specs:
         own = F.when(sid == s["spec_id"], t)
         if s.get("kind") == "repair":
@@ -126,7 +127,8 @@ def decide(corpus: DataFrame, specs: list[dict], k: int = 10, requests: DataFram
         F.array_sort(F.collect_list(ev)).alias("evidence"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rn", "text"))), lambda x: x["text"]), " ").alias("text"),
     )
-    g = g.withColumn("_s", spec_of(specs, sid)).withColumns({"_n": max_range_count(t), "_hit": contains_any(t, F.col("_s.met_any"))})
+    counted = (F.col("_s.kind") == "count") | F.contains("_s.suggestion_met", F.lit("{n}")) | F.contains("_s.suggestion_uncertain", F.lit("{n}"))
+    g = g.withColumn("_s", spec_of(specs, sid)).withColumns({"_n": F.when(counted, max_range_count(t)), "_hit": contains_any(t, F.col("_s.met_any"))})
     kind, hit, s = F.col("_s.kind"), F.col("_hit"), F.col("_s")
     signs = F.lit(False)
     for x in [x for x in specs if x.get("kind") == "two_conditions"]:
