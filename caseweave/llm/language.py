@@ -13,11 +13,12 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from caseweave.llm.common import class_sample, crc_fold
+from caseweave.llm.common import class_sample, crc_fold, kept
 
 WINDOW, WIDTHS, FILTERS, EMBED = 256, (2, 3, 4), 16, 12
 LETTER = regex.compile(r"\p{L}")
@@ -31,11 +32,26 @@ def windows(text: str) -> np.ndarray:
     return out.reshape(-1, WINDOW)
 
 
+class Adam:
+    """Adam over a net's arrays, changed in place."""
+
+    def __init__(self, p: dict[str, np.ndarray]):
+        self.p, self.steps = p, 0
+        self.m = {k: np.zeros_like(v) for k, v in p.items()}
+        self.s = {k: np.zeros_like(v) for k, v in p.items()}
+
+    def step(self, g: dict[str, np.ndarray], rate: float) -> None:
+        self.steps += 1
+        for k, v in g.items():
+            self.m[k] += 0.1 * (v - self.m[k])
+            self.s[k] += 0.01 * (v * v - self.s[k])
+            self.p[k] -= rate * (self.m[k] / (1 - 0.9**self.steps)) / (np.sqrt(self.s[k] / (1 - 0.99**self.steps)) + 1e-7)
+
+
 class ByteNet:
     def __init__(self, classes: list[str], seed: int = 5):
         rng = np.random.default_rng(seed)
         self.classes = classes
-        self.x = self.y = None
         self.p = {"e": rng.normal(0, 0.5, (256, EMBED))}
         for w in WIDTHS:
             self.p[f"f{w}"] = rng.normal(0, (w * EMBED) ** -0.5, (w * EMBED, FILTERS))
@@ -48,17 +64,21 @@ class ByteNet:
         """Adam on batches drawn evenly from the classes; every step follows from the seed."""
         rng = np.random.default_rng(seed)
         by_class = [np.flatnonzero(y == k) for k in range(len(self.classes))]
-        m = {k: np.zeros_like(v) for k, v in self.p.items()}
-        s = {k: np.zeros_like(v) for k, v in self.p.items()}
+        adam = Adam(self.p)
         for step in range(1, steps + 1):
             rows = np.concatenate([rng.choice(r, -(-batch // len(by_class))) for r in by_class])
-            g = self._gradient(x[rows], y[rows])
-            for k, v in g.items():
-                m[k] += 0.1 * (v - m[k])
-                s[k] += 0.01 * (v * v - s[k])
-                self.p[k] -= rate * (1 - step / (steps + 1)) * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.99**step)) + 1e-7)
+            adam.step(self._gradient(x[rows], y[rows]), rate * (1 - step / (steps + 1)))
         return self
 
+    def fit_all(self, x: np.ndarray, y: np.ndarray, shown: np.ndarray, adam: Adam, rng: np.random.Generator, batch: int = 64, rate: float = 0.002) -> int:
+        """Adam over all given windows in random order, each shown ``shown[class]`` times on average and once at least; how many were shown."""
+        often = shown[y]
+        rows = rng.permutation(np.repeat(np.arange(len(x)), np.maximum(1, (often + rng.random(len(x))).astype(int))))
+        for at in range(0, len(rows), batch):
+            take = rows[at : at + batch]
+            adam.step(self._gradient(x[take], y[take]), rate / (1 + adam.steps / 200) ** 0.5)
+        return len(rows)
+
     def _gradient(self, x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
         p, n = self.p, len(x)
         emb = p["e"][x]
@@ -116,15 +136,19 @@ class ByteNet:
         return weight @ prob / weight.sum()
 
 
-def train(docs: DataFrame, max_rows: int = 6_000, per_doc: int = 4, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 4, held_out: int = 2, keep: bool = False) -> ByteNet | None:
+def labelled(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+    """doc_id, lang and text of the documents with a language."""
+    return docs.where(F.col(lang_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+
+
+def train(docs: DataFrame, max_rows: int = 6_000, per_doc: int = 4, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 4, held_out: int = 2) -> ByteNet | None:
     """Learn from evenly spaced windows of about 1.5 x ``max_rows`` documents outside the held-out fold.
 
     Half of ``max_rows`` is dealt evenly to the languages of all rows, so a rare one is learned
     however large the table is. The network sees ``per_doc`` windows of a training document; predictions read whole texts.
-    None if no document has a language. ``keep``: the windows and their classes stay with the network.
+    None if no document has a language. ``train_all`` goes on from here with every window.
     """
-    known = docs.where(F.col(lang_col).isNotNull() & (crc_fold(id_col, folds) != held_out) & (F.length(text_col) > 0))
-    known = known.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    known = labelled(docs, id_col, text_col, lang_col).where((crc_fold("doc_id", folds) != held_out) & (F.length("text") > 0))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -142,10 +166,66 @@ def train(docs: DataFrame, max_rows: int = 6_000, per_doc: int = 4, id_col: str
     classes = sorted(got.lang.unique())
     parts = [np.frombuffer(x, np.uint8).reshape(-1, WINDOW) for x in got.x]
     y = np.repeat(got.lang.map(classes.index).to_numpy(), [len(p) for p in parts])
-    net = ByteNet(classes).fit(np.concatenate(parts), y)
-    if keep:
-        net.x, net.y = np.concatenate(parts), y
-    return net
+    return ByteNet(classes).fit(np.concatenate(parts), y)
+
+
+def train_all(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 4, held_out: int = 2, at_once: int = 8_192) -> tuple[ByteNet, np.ndarray] | None:
+    """Learn from all windows of all documents outside the held-out fold: the net, and byte pairs counted by class.
+
+    The net of ``train`` is where the tasks begin. Each shows it every window of its documents, those of rare
+    languages oftener (half of all showings are dealt evenly to the languages), and the nets of the tasks are
+    averaged by what they saw. Only sums leave the executors. None if no document has a language.
+    """
+    net = train(docs, id_col=id_col, text_col=text_col, lang_col=lang_col, folds=folds, held_out=held_out)
+    if net is None:
+        return None
+    known = labelled(docs, id_col, text_col, lang_col).where((crc_fold("doc_id", folds) != held_out) & F.col("lang").isin(net.classes) & (F.length("text") > 0))
+    sizes = {r.lang: r.n for r in known.groupBy("lang").agg(F.sum(F.ceil(F.octet_length("text") / WINDOW)).alias("n")).collect()}
+    shown = np.array([0.5 + 0.5 * sum(sizes.values()) / (len(net.classes) * sizes[c]) for c in net.classes])
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = ByteNet(net.classes)
+        own.p = {k: v.copy() for k, v in net.p.items()}
+        adam, rng = Adam(own.p), np.random.default_rng([7, TaskContext.get().partitionId()])
+        pairs, seen, held, n = np.zeros((len(net.classes), 1 << 16), np.int64), 0, [], 0
+
+        def take() -> int:
+            x, y = np.concatenate([w for w, _ in held]), np.repeat([k for _, k in held], [len(w) for w, _ in held])
+            held.clear()
+            for k in np.unique(y):
+                pairs[k] += pair_counts(x[y == k])
+            return own.fit_all(x, y, shown, adam, rng)
+
+        for b in batches:
+            for lang, text in zip(b.column(0), b.column(1), strict=True):
+                held.append((windows(text.as_py()), net.classes.index(lang.as_py())))
+                n += len(held[-1][0])
+                if n >= at_once:
+                    seen, n = seen + take(), 0
+        if held:
+            seen += take()
+        if seen:
+            flat = np.concatenate([own.p[k].ravel() for k in own.p]).astype(float)
+            at, code = pairs.nonzero()
+            out = {
+                "kind": np.concatenate([[-2], np.full(len(flat), -1), at]), "i": np.concatenate([[0], np.arange(len(flat)), code]),
+                "v": np.concatenate([[float(seen)], flat * seen, pairs[at, code].astype(float)]),
+            }
+            yield pa.RecordBatch.from_arrays([pa.array(out["kind"], pa.int32()), pa.array(out["i"], pa.int32()), pa.array(out["v"], pa.float64())], ["kind", "i", "v"])
+
+    sums = known.select("lang", "text").mapInArrow(learn, "kind int, i int, v double").groupBy("kind", "i").agg(F.sum("v").alias("v")).toPandas()
+    flat = sums[sums.kind == -1].sort_values("i").v.to_numpy() / sums[sums.kind == -2].v.item()
+    for k, v in net.p.items():
+        net.p[k], flat = flat[: v.size].reshape(v.shape).astype(np.float32), flat[v.size :]
+    pairs, own = np.zeros((len(net.classes), 1 << 16)), sums[sums.kind >= 0]
+    pairs[own.kind.to_numpy(), own.i.to_numpy()] = own.v.to_numpy()
+    return net, pairs
+
+
+def pair_counts(x: np.ndarray) -> np.ndarray:
+    """How often each pair of neighbouring bytes stands in the windows."""
+    w = x.astype(np.int32)
+    return np.bincount((w[:, :-1] << 8 | w[:, 1:])[(w[:, :-1] > 0) & (w[:, 1:] > 0)], minlength=1 << 16)
 
 
 class Gate:
@@ -158,12 +238,10 @@ class Gate:
     expected one, theirs less 2; short texts have the more room. Without held-out documents everything passes.
     """
 
-    def __init__(self, net: ByteNet, x: np.ndarray, y: np.ndarray):
+    def __init__(self, net: ByteNet, pairs: np.ndarray):
         self.net, self.pairs, self.usual, self.score, self.typical = net, [], [], 0.0, -np.inf
-        for k in range(len(net.classes)):
-            w = x[y == k].astype(np.int32)
-            code = (w[:, :-1] << 8 | w[:, 1:])[(w[:, :-1] > 0) & (w[:, 1:] > 0)]
-            p = np.bincount(code, minlength=1 << 16) + 0.05
+        for counts in pairs:
+            p = counts + 0.05
             p /= p.sum()
             self.pairs.append(np.log(p).astype(np.float32))
             self.usual.append(float(p @ np.log(p)))
@@ -178,10 +256,16 @@ class Gate:
         # the room of a short text: pairs spread by about 2 around their mean, which makes 4 / sqrt(n)
         return float(p[k]), float(self.pairs[k][raw[:-1] << 8 | raw[1:]].mean()) - self.usual[k] + 4 / (len(raw) - 1) ** 0.5
 
-    def calibrate(self, scores: np.ndarray, typical: np.ndarray, quantile: float = 0.002) -> Gate:
-        if len(scores):
-            self.score = float(np.quantile(scores, quantile)) - 0.3
-            self.typical = float(np.quantile(typical, quantile)) - 2.0
+    def calibrate(self, measures: DataFrame, quantile: float = 0.002) -> Gate:
+        """The low ends of all ``measures`` (score, typical); only values up to their quantile are collected."""
+        place = quantile * (measures.count() - 1)
+
+        def low(name: str) -> float:
+            values = [r[0] for r in measures.select(name).orderBy(name).limit(int(place) + 2).collect()]
+            return values[int(place)] + (values[min(int(place) + 1, len(values) - 1)] - values[int(place)]) * (place - int(place))
+
+        if place >= 0:
+            self.score, self.typical = low("score") - 0.3, low("typical") - 2.0
         return self
 
     def passes(self, text: str, tables: list[list[np.ndarray]], min_score: float) -> bool:
@@ -189,12 +273,10 @@ class Gate:
         return score >= max(min_score, self.score) and typical >= self.typical
 
 
-def gate(docs: DataFrame, net: ByteNet, max_rows: int = 2_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 4, held_out: int = 2) -> Gate:
-    """The network's gate, calibrated on about 1.5 x ``max_rows`` labelled documents of the held-out fold, whole texts."""
-    known = docs.where((crc_fold(id_col, folds) == held_out) & F.col(lang_col).isin(net.classes) & F.col(text_col).rlike(r"\p{L}"))
-    known = known.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    chosen, rates = class_sample(known, "doc_id", "lang", max_rows)
-    out = Gate(net, net.x, net.y)
+def gate(docs: DataFrame, net: ByteNet, pairs: np.ndarray, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 4, held_out: int = 2) -> Gate:
+    """The network's gate, calibrated on all labelled documents of the held-out fold, whole texts."""
+    known = labelled(docs, id_col, text_col, lang_col).where((crc_fold("doc_id", folds) == held_out) & F.col("lang").isin(net.classes) & F.col("text").rlike(r"\p{L}"))
+    out = Gate(net, pairs)
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = out.net.folded()
@@ -202,9 +284,7 @@ def gate(docs: DataFrame, net: ByteNet, max_rows: int = 2_000, id_col: str = "do
             rows = [out.measure(t, tables, out.net.classes.index(k)) for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.float64()) for i in (0, 1)], ["score", "typical"])
 
-    net.x = net.y = None  # not sent to the executors
-    got = chosen.select("lang", "text").mapInArrow(measured, "score double, typical double").limit(2 * max(max_rows, 20 * len(rates))).toPandas()
-    return out.calibrate(got.score.to_numpy(), got.typical.to_numpy())
+    return out.calibrate(kept(known.select("lang", "text").mapInArrow(measured, "score double, typical double"), "measures"))
 
 
 def predictor(net: ByteNet | None):
@@ -241,10 +321,10 @@ def languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
 
 def known_language(docs: DataFrame, min_score: float = 0.3, text_col: str = "text", id_col: str = "doc_id", lang_col: str = "lang") -> DataFrame:
     """``docs`` without those that are in no learned language: without a letter, or turned away by the gate or by ``min_score``."""
-    net = train(docs, id_col=id_col, text_col=text_col, lang_col=lang_col, keep=True)
-    if net is None:
+    learned = train_all(docs, id_col, text_col, lang_col)
+    if learned is None:
         return docs.limit(0)
-    judge = gate(docs, net, id_col=id_col, text_col=text_col, lang_col=lang_col)
+    judge = gate(docs, *learned, id_col, text_col, lang_col)
 
     @F.pandas_udf(T.BooleanType())
     def known(text: pd.Series) -> pd.Series:
