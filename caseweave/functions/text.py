@@ -20,7 +20,7 @@ WS = (
     r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 )
 # The same blanks for Java: single signs below 256 are one table look-up, signs beyond U+3000 leave at once.
-_FAST_WS = (
+FAST_WS = (
     r"[\t\n\x{0b}\f\r\x{1c}\x{1d}\x{1e}\x{1f}\x{20}\x{85}\x{a0}"
     r"[\x{1680}-\x{3000}&&[\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]]]"
 )
@@ -49,12 +49,12 @@ def strip(c: Column, chars: str = WS_CHARS) -> Column:
 
 def collapse(c: Column) -> Column:
     """Runs of blanks to one blank, ends trimmed."""
-    return strip(sub(c, _FAST_WS + "+", " "))
+    return strip(sub(c, FAST_WS + "+", " "))
 
 
 def squeeze(c: Column) -> Column:
     """All blanks removed."""
-    return sub(c, _FAST_WS + "+")
+    return sub(c, FAST_WS + "+")
 
 
 def blank_to_null(c: Column) -> Column:

@@ -122,11 +122,10 @@ def decide(corpus: DataFrame, specs: list[dict], k: int = 10, requests: DataFram
             d = d.filter((sid != s["spec_id"]) | has_procedure(own, **s["procedure"]))
         if s.get("kind") == "deformity":
             d = d.filter((sid != s["spec_id"]) | has_positive_hit(own, **s["positive"]))
-    ev = F.struct("rn", *[c for c in EVIDENCE_COLS if c not in ("case_id", "text")])
-    g = d.groupBy("case_id", "spec_id").agg(
-        F.array_sort(F.collect_list(ev)).alias("evidence"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rn", "text"))), lambda x: x["text"]), " ").alias("text"),
-    )
+    # Rows and texts are collected in one list; ``rn`` orders it, as no two rows of a spec share one.
+    ev = ["rn", *[c for c in EVIDENCE_COLS if c not in ("case_id", "text")]]
+    g = d.groupBy("case_id", "spec_id").agg(F.array_sort(F.collect_list(F.struct(*ev, "text"))).alias("_l"))
+    g = g.select("case_id", "spec_id", F.transform("_l", lambda x: F.struct(*[x[c].alias(c) for c in ev])).alias("evidence"), F.array_join("_l.text", " ").alias("text"))
     counted = (F.col("_s.kind") == "count") | F.contains("_s.suggestion_met", F.lit("{n}")) | F.contains("_s.suggestion_uncertain", F.lit("{n}"))
     g = g.withColumn("_s", spec_of(specs, sid)).withColumns({"_n": F.when(counted, max_range_count(t)), "_hit": contains_any(t, F.col("_s.met_any"))})
     kind, hit, s = F.col("_s.kind"), F.col("_hit"), F.col("_s")
